@@ -18,7 +18,10 @@ def is_ipv4(text: Column) -> Column:
 
 def answer_records(answers: Column) -> Column:
     """The records of an answer field; an empty field is one empty record."""
-    return F.split(answers, rf"\Q{RECORD_SEPARATOR}\E", -1)
+    several = F.contains(answers, F.lit(RECORD_SEPARATOR))
+    return F.when(several, F.split(answers, rf"\Q{RECORD_SEPARATOR}\E", -1)).otherwise(
+        F.array(answers)
+    )
 
 
 def addresses(records: Column) -> Column:
@@ -44,3 +47,14 @@ def all_ttls(ttls: Column) -> Column:
 def ttls_valid(ttls: Column) -> Column:
     """True when ``all_ttls`` holds no null item."""
     return ~F.exists(ttls, lambda ttl: ttl.isNull())
+
+
+def ttl_bounds(ttls: Column) -> tuple[Column, Column]:
+    """Smallest and largest TTL of a list; null when one is not an integer."""
+    several, listed, last = F.contains(ttls, F.lit(",")), all_ttls(ttls), last_ttl(ttls)
+    valid = ttls_valid(listed)
+
+    def bound(of_list: Column) -> Column:
+        return F.when(~several, last).when(valid, of_list)
+
+    return bound(F.array_min(listed)), bound(F.array_max(listed))

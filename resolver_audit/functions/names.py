@@ -21,7 +21,9 @@ def second_level_domain(name: Column) -> Column:
     One trailing dot is ignored. An empty name has no second-level domain
     (null); the root name ``.`` has the empty one.
     """
-    bare = F.regexp_replace(name, r"\.\z", "")
+    bare = F.when(
+        F.endswith(name, F.lit(".")), F.substring(name, F.lit(1), F.length(name) - 1)
+    ).otherwise(name)
     two = F.substring_index(bare, ".", -2)
     return (
         F.when(name == "", F.lit(None).cast("string"))

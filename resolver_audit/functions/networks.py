@@ -22,18 +22,18 @@ def ip_number(ip: Column) -> Column:
     return F.when(routable_text(ip), number)
 
 
-def network_label(ip: Column, asn: Column) -> Column:
+def network_label(ip: Column, asn: Column, has_lookup: Column) -> Column:
     """ASN label of ``ip`` given its longest-prefix match ``asn`` (null: unrouted).
 
     Unrouted addresses are pooled by their first two octets, addresses in
     127.0.0.0/16 and addresses that cannot be looked up stand for themselves.
     """
     pooled = F.concat(F.substring_index(ip, ".", 2), F.lit(".0.0"))
-    itself = ip.startswith("127.0.") | ~routable_text(ip)
+    itself = ip.startswith("127.0.") | ~has_lookup
     return F.when(itself, ip).otherwise(F.coalesce(asn, pooled))
 
 
-def raw_network_label(ip: Column, asn: Column) -> Column:
+def raw_network_label(ip: Column, asn: Column, has_lookup: Column) -> Column:
     """As ``network_label`` but all unrouted addresses share one label."""
     looked_up = F.when(ip.isNotNull(), F.coalesce(asn, F.lit(UNROUTED)))
-    return F.when(~routable_text(ip), ip).otherwise(looked_up)
+    return F.when(~has_lookup, ip).otherwise(looked_up)

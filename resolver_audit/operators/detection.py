@@ -6,21 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resolver_audit.functions.names import second_level_domain
-from resolver_audit.operators.profiles import CATEGORICAL, LINK, PAIR, judged_links
-from resolver_audit.operators.thresholds import DIGITS, percentile_summary, unusual_values
+from resolver_audit.operators.profiles import (
+    CATEGORICAL,
+    LINK,
+    PAIR,
+    domain_features,
+    judged_links,
+)
+from resolver_audit.operators.thresholds import (
+    DIGITS,
+    percentile_summary,
+    res_dom_max_ttl,
+    ttl_fence,
+    unusual_values,
+)
+from resolver_audit.settings import AuditSettings
 
 # The order in which anomaly types are listed.
 TYPE_ORDER = ("ttl", "clen", "nip", "asn")
 
 
-def ttl_anomalies(ranges: DataFrame, fences: DataFrame, considered: DataFrame) -> DataFrame:
+def ttl_anomalies(ranges: DataFrame, fences: DataFrame) -> DataFrame:
     """Pairs all of whose TTLs lie above the fence of their domain.
 
     All lie above exactly when the smallest does.
     """
-    judged = fences.join(considered.select("domain"), "domain", "left_semi")
     return (
-        ranges.join(judged, "domain")
+        ranges.join(fences, "domain")
         .filter(F.col("min_ttl") > F.col("fence"))
         .select(*PAIR, F.lit("ttl").alias("feature"))
     )
@@ -52,18 +64,21 @@ def anomalies_res_dom(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy(*PAIR).agg(types.alias("types"))
 
 
+def of_considered(rows: DataFrame, considered: DataFrame) -> DataFrame:
+    """Rows of the domains that are resolved often enough to judge."""
+    return rows.join(considered.select("domain"), "domain", "left_semi")
+
+
 def find_anomalies_res_dom(
-    counters: DataFrame, ranges: DataFrame, fences: DataFrame, considered: DataFrame
+    counters: DataFrame, ranges: DataFrame, settings: AuditSettings
 ) -> DataFrame:
-    """Flagged pairs from (resolver, domain) counters and TTL ranges.
+    """Flagged pairs from the counters and TTL ranges of considered domains.
 
     ``counters`` need not be summed.
     """
-    by_domain = counters.groupBy("domain", "feature", "value").agg(F.sum("n").alias("n"))
-    unusual = unusual_values(by_domain, considered)
-    flagged = ttl_anomalies(ranges, fences, considered).unionByName(
-        feature_anomalies(counters, unusual)
-    )
+    unusual = unusual_values(domain_features(counters))
+    fences = ttl_fence(res_dom_max_ttl(ranges, settings.ttl_granularity), settings)
+    flagged = ttl_anomalies(ranges, fences).unionByName(feature_anomalies(counters, unusual))
     return anomalies_res_dom(flagged)
 
 
@@ -74,39 +89,40 @@ def unflagged(rows: DataFrame, anomalies: DataFrame) -> DataFrame:
     )
 
 
-def sld_per_asn(normal_rows: DataFrame) -> DataFrame:
-    """Distinct second-level domains per network label."""
-    return (
-        normal_rows.select("asn", second_level_domain(F.col("domain")).alias("sld"))
-        .filter(F.col("sld").isNotNull())
-        .distinct()
-        .groupBy("asn")
-        .agg(F.count("sld").alias("n_sld"))
-    )
-
-
-def count_per_asn_sld(normal_rows: DataFrame) -> DataFrame:
-    """Returned addresses per (raw network label, second-level domain)."""
+def network_slds(normal_rows: DataFrame) -> DataFrame:
+    """Returned addresses per network label, raw label and second-level domain."""
     return (
         normal_rows.select(
+            "asn",
             "asn_raw",
             second_level_domain(F.col("domain")).alias("sld"),
             (F.col("n") * F.col("n_ips")).alias("n"),
         )
         .filter(F.col("sld").isNotNull())
-        .groupBy("asn_raw", "sld")
+        .groupBy("asn", "asn_raw", "sld")
         .agg(F.sum("n").alias("n"))
     )
 
 
-def learn_params(normal_rows: DataFrame) -> DataFrame:
+def sld_per_asn(slds: DataFrame) -> DataFrame:
+    """Distinct second-level domains per network label."""
+    return slds.groupBy("asn").agg(F.countDistinct("sld").alias("n_sld"))
+
+
+def count_per_asn_sld(slds: DataFrame) -> DataFrame:
+    """Returned addresses per (raw network label, second-level domain)."""
+    return slds.groupBy("asn_raw", "sld").agg(F.sum("n").alias("n"))
+
+
+def learn_params(slds: DataFrame) -> DataFrame:
     """Percentile summaries of both samples: rows ``param, pct, value``."""
-    samples = {
-        "sld_asn": percentile_summary(sld_per_asn(normal_rows), "n_sld"),
-        "sld_count": percentile_summary(count_per_asn_sld(normal_rows), "n"),
-    }
-    return samples["sld_asn"].select(F.lit("sld_asn").alias("param"), "pct", "value").unionByName(
-        samples["sld_count"].select(F.lit("sld_count").alias("param"), "pct", "value")
+    per_asn = percentile_summary(sld_per_asn(slds), "n_sld")
+    per_sld = percentile_summary(count_per_asn_sld(slds), "n")
+    columns = ["param", "pct", "value"]
+    return (
+        per_asn.withColumn("param", F.lit("sld_asn"))
+        .select(*columns)
+        .unionByName(per_sld.withColumn("param", F.lit("sld_count")).select(*columns))
     )
 
 
@@ -120,21 +136,17 @@ def threshold(params: DataFrame, param: str, pct: int) -> Column:
 
 
 def suspicious_res_asn(
-    fixed: DataFrame, slds: DataFrame, params: DataFrame, percentile_pick: int = 50
+    links: DataFrame, params: DataFrame, percentile_pick: int = 50
 ) -> DataFrame:
     """(resolver, network) with many second-level domains, many responses each, constant answers.
 
-    ``fixed`` is the result of ``fixed_features``, ``slds`` that of ``res_asn_slds``.
+    ``links`` has ``resolver, asn, n, n_sld, fixed`` as ``link_profile`` returns them.
     """
     per_sld = F.round(F.col("n") / F.nullif(F.col("n_sld"), F.lit(0)), DIGITS)
-    constant = fixed.filter(F.size("fixed") > 1)
-    return (
-        constant.join(slds, LINK)
-        .filter(
-            (per_sld > threshold(params, "sld_count", percentile_pick))
-            & (F.col("n_sld") > threshold(params, "sld_asn", percentile_pick))
-        )
-        .select(*LINK, "n", "n_sld", "fixed")
+    return links.filter(
+        (F.size("fixed") > 1)
+        & (per_sld > threshold(params, "sld_count", percentile_pick))
+        & (F.col("n_sld") > threshold(params, "sld_asn", percentile_pick))
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resolver_audit.operators.responses import with_answer_profile, with_ttls
-from resolver_audit.operators.routing import BROADCAST_ENTRIES, with_networks
+from resolver_audit.operators.routing import Routes, with_networks
 
 RESPONSE_KEY = ["resolver", "qname", "dans", "danttls"]
 
@@ -23,9 +23,7 @@ def observations(responses: DataFrame) -> DataFrame:
     return with_answer_profile(merged)
 
 
-def addresses(
-    observed: DataFrame, view: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES
-) -> DataFrame:
+def addresses(observed: DataFrame, routes: Routes) -> DataFrame:
     """One row per observation and distinct address, labelled with its network.
 
     Adds ``ip, asn, asn_raw``, ``lead`` (exactly one row per observation) and
@@ -39,18 +37,16 @@ def addresses(
         .withColumn("n_ips", F.col("ip").isNotNull().cast("bigint"))
         .drop("_pos")
     )
-    return with_case_and_ttls(with_networks(marked, view, broadcast_entries))
+    return with_case_and_ttls(with_networks(marked, routes))
 
 
-def networks(
-    observed: DataFrame, view: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES
-) -> DataFrame:
+def networks(observed: DataFrame, routes: Routes) -> DataFrame:
     """One row per observation and distinct network among its addresses.
 
     As ``addresses`` without ``ip``; ``n_ips`` counts the observation's addresses
     in that network.
     """
-    per_address = addresses(observed, view, broadcast_entries)
+    per_address = addresses(observed, routes)
     grouped = per_address.groupBy(*RESPONSE_KEY, "asn", "asn_raw").agg(
         F.max("n").alias("n"),
         F.max("clen").alias("clen"),

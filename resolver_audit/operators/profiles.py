@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from resolver_audit.functions.answers import all_ttls
 from resolver_audit.functions.names import second_level_domain
 
 CATEGORICAL = ("clen", "nip", "asn")
 PAIR_FEATURES = ("ttl", "clen", "nip", "asn", "sip")
+FIXABLE = ("ttl", "cname", "nip")
 RESOLVER_FEATURES = ("queries", "servers", "asns")
 PAIR = ["resolver", "domain"]
 LINK = ["resolver", "asn"]
@@ -28,30 +30,48 @@ def _entry(feature: str, value: Column | str, n: Column) -> Column:
 
 
 def judged_pairs(rows: DataFrame) -> DataFrame:
-    """Rows that enter the (resolver, domain) profile: an address and an integer last TTL."""
-    return rows.filter((F.col("nip") > 0) & F.col("ttl_last").isNotNull())
+    """Rows that enter the (resolver, domain) profile: an address and an integer last TTL.
 
+    ``n`` counts each response once, on its leading row; ``n_addresses`` counts
+    its distinct addresses.
+    """
+    judged = rows.filter((F.col("nip") > 0) & F.col("ttl_last").isNotNull())
+    return judged.withColumns(
+        {
+            "n": F.when(F.col("lead"), F.col("n")).otherwise(0),
+            "n_addresses": F.col("n") * F.col("n_ips"),
+        }
+    )
+
+
+def pair_profile(pairs: DataFrame) -> DataFrame:
+    """Judged pairs merged over TTLs and spellings.
+
+    A (resolver, domain) pair has few combinations of record numbers and
+    networks, so this table is far smaller than the one it comes from; all
+    detection of unusual pairs runs on it.
+    """
+    return pairs.groupBy(*PAIR, *CATEGORICAL).agg(
+        F.sum("n").alias("n"),
+        F.sum("n_addresses").alias("n_addresses"),
+        F.min("ttl_last").alias("ttl_min"),
+        F.max("ttl_last").alias("ttl_max"),
+    )
 
-def pair_counters(rows: DataFrame, features: tuple[str, ...] = PAIR_FEATURES) -> DataFrame:
-    """``resolver, domain, feature, value, n`` of each row.
+
+def pair_counters(pairs: DataFrame, features: tuple[str, ...] = CATEGORICAL) -> DataFrame:
+    """``resolver, domain, feature, value, n`` of judged pairs or of a pair profile.
 
     ``ttl``, ``clen`` and ``nip`` count once per response, ``asn`` and ``sip`` once
-    per distinct address. ``sip`` needs rows per address.
+    per distinct address. ``ttl`` and ``sip`` need rows with one TTL and address.
     """
-    n, weighted = F.col("n"), F.col("n") * F.col("n_ips")
-    once = {"ttl": "ttl_last", "clen": "clen", "nip": "nip"}
-    each = {"asn": "asn", "sip": "ip"}
-    once_entries = [_entry(f, once[f], n) for f in features if f in once]
-    each_entries = [_entry(f, each[f], weighted) for f in features if f in each]
-    if not each_entries:
-        judged = judged_pairs(rows).filter("lead")
-        entries = F.array(*once_entries)
-    else:
-        judged = judged_pairs(rows)
-        entries = F.when(F.col("lead"), F.array(*once_entries, *each_entries)).otherwise(
-            F.array(*each_entries)
-        )
-    return judged.select(*PAIR, F.inline(entries))
+    per_response = {"ttl": "ttl_last", "clen": "clen", "nip": "nip"}
+    per_address = {"asn": "asn", "sip": "ip"}
+    n, n_addresses = F.col("n"), F.col("n_addresses")
+    once = [_entry(f, per_response[f], n) for f in features if f in per_response]
+    each = [_entry(f, per_address[f], n_addresses) for f in features if f in per_address]
+    entries = F.when(n > 0, F.array(*once, *each)).otherwise(F.array(*each))
+    return pairs.select(*PAIR, F.inline(entries))
 
 
 def sum_counters(counters: DataFrame, *keys: str) -> DataFrame:
@@ -59,14 +79,14 @@ def sum_counters(counters: DataFrame, *keys: str) -> DataFrame:
     return counters.groupBy(*keys, "feature", "value").agg(F.sum("n").alias("n"))
 
 
-def res_dom_counts(rows: DataFrame) -> DataFrame:
+def res_dom_counts(pairs: DataFrame) -> DataFrame:
     """Responses per (resolver, domain)."""
-    return judged_pairs(rows).filter("lead").groupBy(*PAIR).agg(F.sum("n").alias("n"))
+    return pairs.groupBy(*PAIR).agg(F.sum("n").alias("n"))
 
 
-def res_dom_features(rows: DataFrame, features: tuple[str, ...] = PAIR_FEATURES) -> DataFrame:
+def res_dom_features(pairs: DataFrame, features: tuple[str, ...] = PAIR_FEATURES) -> DataFrame:
     """Counters per (resolver, domain)."""
-    return sum_counters(pair_counters(rows, features), *PAIR)
+    return sum_counters(pair_counters(pairs, features), *PAIR)
 
 
 def domain_features(counters: DataFrame) -> DataFrame:
@@ -82,7 +102,7 @@ def with_global_frequency(pair_features: DataFrame, domain_features: DataFrame)
 
 def judged_links(rows: DataFrame) -> DataFrame:
     """Rows that enter the (resolver, network) profile: an address and integer TTLs only."""
-    return rows.filter(F.col("asn").isNotNull() & F.col("ttls_ok"))
+    return rows.filter(F.col("asn").isNotNull() & F.col("ttl_min").isNotNull())
 
 
 def res_asn_counts(network_rows: DataFrame) -> DataFrame:
@@ -102,7 +122,7 @@ def link_counters(network_rows: DataFrame) -> DataFrame:
                     _entry("clen", "clen", n),
                     _entry("nip", "n_servers", n),
                 ),
-                F.transform("ttls", lambda ttl: _entry("ttl", ttl, n)),
+                F.transform(all_ttls(F.col("danttls")), lambda ttl: _entry("ttl", ttl, n)),
             )
         ),
     )
@@ -119,17 +139,15 @@ def res_asn_features(network_rows: DataFrame, address_rows: DataFrame) -> DataFr
     return sum_counters(counters, *LINK)
 
 
-def sld_name(fold_case: bool = False) -> Column:
-    """The second-level domain that is counted per (resolver, network)."""
-    return second_level_domain(F.col("domain") if fold_case else F.col("qname"))
+def _name(fold_case: bool) -> Column:
+    return F.col("domain") if fold_case else F.col("qname")
 
 
 def res_asn_slds(network_rows: DataFrame, fold_case: bool = False) -> DataFrame:
     """Distinct names and second-level domains per (resolver, network)."""
-    name = F.col("domain") if fold_case else F.col("qname")
     return (
         judged_links(network_rows)
-        .select(*LINK, name.alias("name"))
+        .select(*LINK, _name(fold_case).alias("name"))
         .distinct()
         .groupBy(*LINK)
         .agg(
@@ -139,36 +157,31 @@ def res_asn_slds(network_rows: DataFrame, fold_case: bool = False) -> DataFrame:
     )
 
 
-def _fixed(ranges: dict[str, tuple[Column, Column]]) -> Column:
-    """Names of the features whose smallest value is also the largest."""
-    return F.array_compact(
-        F.array(*[F.when(low == high, F.lit(name)) for name, (low, high) in ranges.items()])
-    )
-
-
-def fixed_features(network_rows: DataFrame) -> DataFrame:
-    """``resolver, asn, n, fixed``: features with one distinct value, in the order ttl, cname, nip.
+def link_profile(network_rows: DataFrame, fold_case: bool = False) -> DataFrame:
+    """``resolver, asn, n, n_sld, fixed``: what decides whether a (resolver, network) is suspicious.
 
-    One value means minimum equals maximum, which needs no distinct count.
+    ``fixed`` lists the features with one distinct value, in the order ttl, cname,
+    nip. One value means minimum equals maximum, which needs no distinct count.
     """
     ranged = (
         judged_links(network_rows)
+        .withColumn("sld", second_level_domain(_name(fold_case)))
         .groupBy(*LINK)
         .agg(
             F.sum("n").alias("n"),
-            F.min(F.array_min("ttls")).alias("ttl_min"),
-            F.max(F.array_max("ttls")).alias("ttl_max"),
-            F.min("clen").alias("clen_min"),
-            F.max("clen").alias("clen_max"),
+            F.countDistinct("sld").alias("n_sld"),
+            F.min("ttl_min").alias("ttl_min"),
+            F.max("ttl_max").alias("ttl_max"),
+            F.min("clen").alias("cname_min"),
+            F.max("clen").alias("cname_max"),
             F.min("n_servers").alias("nip_min"),
             F.max("n_servers").alias("nip_max"),
         )
     )
-    ranges = {
-        name: (F.col(f"{column}_min"), F.col(f"{column}_max"))
-        for name, column in (("ttl", "ttl"), ("cname", "clen"), ("nip", "nip"))
-    }
-    return ranged.select(*LINK, "n", _fixed(ranges).alias("fixed"))
+    constant = [
+        F.when(F.col(f"{name}_min") == F.col(f"{name}_max"), F.lit(name)) for name in FIXABLE
+    ]
+    return ranged.select(*LINK, "n", "n_sld", F.array_compact(F.array(*constant)).alias("fixed"))
 
 
 def address_lists(address_rows: DataFrame) -> DataFrame:

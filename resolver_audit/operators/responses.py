@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from resolver_audit.functions.answers import (
     addresses,
-    all_ttls,
     answer_records,
     is_ipv4,
     last_ttl,
-    ttls_valid,
+    ttl_bounds,
 )
 from resolver_audit.sources.dns_log import LONG_LAYOUT_FIELDS, SHORT_LAYOUT_FIELDS
 
@@ -42,12 +41,10 @@ def with_answer_profile(responses: DataFrame) -> DataFrame:
 
 
 def with_ttls(responses: DataFrame) -> DataFrame:
-    """Adds ``ttl_last`` (null: not an integer), ``ttls`` and ``ttls_ok`` (all integers)."""
-    return (
-        responses.withColumn("ttl_last", last_ttl(F.col("danttls")))
-        .withColumn("ttls", all_ttls(F.col("danttls")))
-        .withColumn("ttls_ok", ttls_valid(F.col("ttls")))
-    )
+    """Adds ``ttl_last`` (null: not an integer) and ``ttl_min``, ``ttl_max`` (null: one is not)."""
+    text = F.col("danttls")
+    low, high = ttl_bounds(text)
+    return responses.withColumns({"ttl_last": last_ttl(text), "ttl_min": low, "ttl_max": high})
 
 
 def records_of(responses: DataFrame) -> DataFrame:
@@ -82,7 +79,7 @@ def rejected_rows(parsed: DataFrame) -> DataFrame:
     reasons = {
         "field_count": ~laid_out,
         "last_ttl": judged & F.col("ttl_last").isNull(),
-        "any_ttl": judged & ~F.col("ttls_ok"),
+        "any_ttl": judged & F.col("ttl_min").isNull(),
         "empty_name": judged & (F.col("qname") == ""),
     }
     counts = profiled.agg(*[F.count_if(test).alias(reason) for reason, test in reasons.items()])

@@ -9,6 +9,8 @@ large to broadcast is joined by shuffle, on the distinct addresses only.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,18 @@ def _block_count(prefix_len: Column) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), (_span(prefix_len) / BLOCK).cast("bigint"))
 
 
-def fits_broadcast(view: DataFrame, limit: int = BROADCAST_ENTRIES) -> bool:
-    """Whether the blocks of ``view`` have at most ``limit`` entries (runs one small job)."""
-    entries = view.agg(F.sum(_block_count(F.col("prefix_len"))).alias("n")).first().n
-    return (entries or 0) <= limit
+@dataclass(frozen=True)
+class Routes:
+    """An ASN view and whether its segments may be broadcast."""
+
+    view: DataFrame
+    broadcast: bool
+
+    @classmethod
+    def of(cls, view: DataFrame, limit: int = BROADCAST_ENTRIES) -> Routes:
+        """Counts the entries of ``view`` with one small job."""
+        entries = view.agg(F.sum(_block_count(F.col("prefix_len"))).alias("n")).first().n
+        return cls(view, (entries or 0) <= limit)
 
 
 def route_segments(view: DataFrame) -> DataFrame:
@@ -75,45 +85,42 @@ def route_segments(view: DataFrame) -> DataFrame:
     )
 
 
-def _match_by_segment(rows: DataFrame, view: DataFrame) -> DataFrame:
+def _match_by_segment(numbered: DataFrame, view: DataFrame) -> DataFrame:
     segments = F.broadcast(route_segments(view).withColumnRenamed("asn", "_route_asn"))
-    numbered = rows.withColumn("_number", ip_number(F.col("ip"))).withColumn(
-        "_block", F.shiftright("_number", 16)
-    )
     inside = F.col("_number").between(F.col("low"), F.col("high"))
-    matched = numbered.join(segments, (F.col("_block") == F.col("block")) & inside, "left")
-    return matched.select(*rows.columns, "_route_asn")
+    block = F.shiftright("_number", 16)
+    matched = numbered.join(segments, (block == F.col("block")) & inside, "left")
+    return matched.select(*numbered.columns, "_route_asn")
 
 
-def _match_by_shuffle(rows: DataFrame, view: DataFrame) -> DataFrame:
+def _match_by_shuffle(numbered: DataFrame, view: DataFrame) -> DataFrame:
     span = _span(F.col("prefix_len"))
     prefixes = view.select(
         "prefix_len", (F.col("network") - F.col("network") % span).alias("network"), "asn"
     )
     candidates = (
-        rows.select("ip")
+        numbered.select("_number")
         .distinct()
-        .withColumn("_number", ip_number(F.col("ip")))
-        .select("ip", "_number", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("prefix_len"))
-        .select("ip", "prefix_len", (F.col("_number") - F.col("_number") % span).alias("network"))
+        .select("_number", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("prefix_len"))
+        .withColumn("network", F.col("_number") - F.col("_number") % span)
     )
     matched = (
         candidates.join(prefixes, ["network", "prefix_len"])
-        .groupBy("ip")
+        .groupBy("_number")
         .agg(F.max(F.struct("prefix_len", "asn"))["asn"].alias("_route_asn"))
     )
-    return rows.join(matched, "ip", "left")
+    return numbered.join(matched, "_number", "left")
 
 
-def with_networks(rows: DataFrame, view: DataFrame, limit: int = BROADCAST_ENTRIES) -> DataFrame:
+def with_networks(rows: DataFrame, routes: Routes) -> DataFrame:
     """Adds ``asn`` and ``asn_raw``, the labels of column ``ip`` (null for a null address)."""
-    if fits_broadcast(view, limit):
-        matched = _match_by_segment(rows, view)
-    else:
-        matched = _match_by_shuffle(rows, view)
-    ip, route = F.col("ip"), F.col("_route_asn")
-    return (
-        matched.withColumn("asn", network_label(ip, route))
-        .withColumn("asn_raw", raw_network_label(ip, route))
-        .drop("_route_asn")
-    )
+    numbered = rows.withColumn("_number", ip_number(F.col("ip")))
+    match = _match_by_segment if routes.broadcast else _match_by_shuffle
+    matched = match(numbered, routes.view)
+    ip, route, has_lookup = F.col("ip"), F.col("_route_asn"), F.col("_number").isNotNull()
+    return matched.withColumns(
+        {
+            "asn": network_label(ip, route, has_lookup),
+            "asn_raw": raw_network_label(ip, route, has_lookup),
+        }
+    ).select(*rows.columns, "asn", "asn_raw")

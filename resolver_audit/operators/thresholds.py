@@ -21,19 +21,26 @@ DEFAULTS = AuditSettings()
 def considered_domains(
     counts: DataFrame, min_resolutions: int = DEFAULTS.min_resolutions
 ) -> DataFrame:
-    """Domains with more than ``min_resolutions`` responses, from (resolver, domain) counts."""
+    """Domains with more than ``min_resolutions`` responses, from rows with ``domain`` and ``n``."""
     return (
         counts.groupBy("domain").agg(F.sum("n").alias("n")).filter(F.col("n") > min_resolutions)
     )
 
 
-def ttl_ranges(counters: DataFrame) -> DataFrame:
-    """Smallest and largest TTL and number of responses per (resolver, domain)."""
+def ttl_ranges(profile: DataFrame) -> DataFrame:
+    """Smallest and largest last TTL per (resolver, domain), from a pair profile."""
+    return profile.groupBy(*PAIR).agg(
+        F.min("ttl_min").alias("min_ttl"), F.max("ttl_max").alias("max_ttl")
+    )
+
+
+def ttl_ranges_of_counters(counters: DataFrame) -> DataFrame:
+    """The same from TTL counters."""
     ttl = F.col("value").cast("bigint")
     return (
         counters.filter(F.col("feature") == "ttl")
         .groupBy(*PAIR)
-        .agg(F.min(ttl).alias("min_ttl"), F.max(ttl).alias("max_ttl"), F.sum("n").alias("n"))
+        .agg(F.min(ttl).alias("min_ttl"), F.max(ttl).alias("max_ttl"))
     )
 
 
@@ -150,11 +157,9 @@ def freq_cutoff(domain_counters: DataFrame) -> DataFrame:
     return _cutoff_groups(domain_counters).select("domain", "feature", "cutoff")
 
 
-def unusual_values(domain_counters: DataFrame, considered: DataFrame) -> DataFrame:
-    """Values of considered domains that are rarer than the cut-off."""
-    groups = _cutoff_groups(domain_counters).join(
-        considered.select("domain"), "domain", "left_semi"
-    )
+def unusual_values(domain_counters: DataFrame) -> DataFrame:
+    """Values that are rarer than the cut-off of their (domain, feature)."""
+    groups = _cutoff_groups(domain_counters)
     rare = F.filter("ranked", lambda entry: entry["n"] < F.col("cutoff"))
     return groups.select("domain", "feature", F.explode(rare["value"]).alias("value"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resolver_audit.operators import detection, observations, profiles, report, responses, thresholds
+from resolver_audit.operators.routing import Routes, with_networks
 from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
 
@@ -27,8 +28,8 @@ NETWORK_COLUMNS = [
     "nip",
     "n_servers",
     "ttl_last",
-    "ttls",
-    "ttls_ok",
+    "ttl_min",
+    "ttl_max",
 ]
 
 
@@ -54,6 +55,10 @@ class Audit:
     def _keep(self, name: str, frame: DataFrame) -> DataFrame:
         return self.staging.keep(name, frame) if self.staging else frame
 
+    @cached_property
+    def routes(self) -> Routes:
+        return Routes.of(self.view)
+
     @cached_property
     def responses(self) -> DataFrame:
         return responses.recursive_success(self.parsed)
@@ -66,12 +71,12 @@ class Audit:
     @cached_property
     def address_rows(self) -> DataFrame:
         """One row per distinct response and address."""
-        return observations.addresses(self.observed, self.view)
+        return observations.addresses(self.observed, self.routes)
 
     @cached_property
     def network_rows(self) -> DataFrame:
         """One row per distinct response and network: the table behind all detection."""
-        rows = observations.networks(self.observed, self.view).select(*NETWORK_COLUMNS)
+        rows = observations.networks(self.observed, self.routes).select(*NETWORK_COLUMNS)
         return self._keep("network_rows", rows)
 
     @cached_property
@@ -81,49 +86,51 @@ class Audit:
     # Unusual (resolver, domain) pairs.
 
     @cached_property
-    def pair_counters(self) -> DataFrame:
-        return profiles.pair_counters(self.network_rows, profiles.CATEGORICAL)
+    def pair_profile(self) -> DataFrame:
+        pairs = profiles.judged_pairs(self.network_rows)
+        return self._keep("pair_profile", profiles.pair_profile(pairs))
 
     @cached_property
-    def ttl_ranges(self) -> DataFrame:
-        return thresholds.ttl_ranges(profiles.pair_counters(self.network_rows, ("ttl",)))
+    def considered(self) -> DataFrame:
+        domains = thresholds.considered_domains(self.pair_profile, self.settings.min_resolutions)
+        return self._keep("considered", domains)
 
     @cached_property
-    def considered(self) -> DataFrame:
-        return thresholds.considered_domains(self.ttl_ranges, self.settings.min_resolutions)
+    def considered_profile(self) -> DataFrame:
+        return detection.of_considered(self.pair_profile, self.considered)
 
     @cached_property
-    def fences(self) -> DataFrame:
-        rounded = thresholds.res_dom_max_ttl(self.ttl_ranges, self.settings.ttl_granularity)
-        return thresholds.ttl_fence(rounded, self.settings)
+    def ttl_ranges(self) -> DataFrame:
+        return thresholds.ttl_ranges(self.considered_profile)
+
+    @cached_property
+    def pair_counters(self) -> DataFrame:
+        return profiles.pair_counters(self.considered_profile)
 
     @cached_property
     def anomalies_res_dom(self) -> DataFrame:
         found = detection.find_anomalies_res_dom(
-            self.pair_counters, self.ttl_ranges, self.fences, self.considered
+            self.pair_counters, self.ttl_ranges, self.settings
         )
         return self._keep("anomalies_res_dom", found)
 
     # Thresholds learned from the remaining traffic.
 
     @cached_property
-    def normal_rows(self) -> DataFrame:
-        return detection.unflagged(self.network_rows, self.anomalies_res_dom)
+    def network_slds(self) -> DataFrame:
+        normal = detection.unflagged(self.network_rows, self.anomalies_res_dom)
+        return self._keep("network_slds", detection.network_slds(normal))
 
     @cached_property
     def params(self) -> DataFrame:
-        return self._keep("params", detection.learn_params(self.normal_rows))
+        return self._keep("params", detection.learn_params(self.network_slds))
 
     # Confirmed manipulations.
 
     @cached_property
     def suspicious_res_asn(self) -> DataFrame:
-        found = detection.suspicious_res_asn(
-            profiles.fixed_features(self.network_rows),
-            profiles.res_asn_slds(self.network_rows, self.settings.fold_case),
-            self.params,
-            self.settings.percentile_pick,
-        )
+        links = profiles.link_profile(self.network_rows, self.settings.fold_case)
+        found = detection.suspicious_res_asn(links, self.params, self.settings.percentile_pick)
         return self._keep("suspicious_res_asn", found)
 
     @cached_property
@@ -139,7 +146,7 @@ class Audit:
         exploded = responses.with_answer_profile(rows).select(
             "resolver", "link_asn", F.explode("sips").alias("ip")
         )
-        labelled = observations.with_networks(exploded, self.view)
+        labelled = with_networks(exploded, self.routes)
         servers = labelled.filter(F.col("asn") == F.col("link_asn"))
         return profiles.address_lists(servers)
 

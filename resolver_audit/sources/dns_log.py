@@ -25,7 +25,17 @@ POSITIONS = {
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a response log, in column ``value``."""
-    return spark.read.text(path)
+    return spread(spark.read.text(path))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals the rows of an input with fewer splits than cores out evenly.
+
+    One compressed log file, or one small Parquet file, is a single task
+    otherwise. Inputs with more splits are left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:

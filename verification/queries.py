@@ -12,7 +12,7 @@ from resolver_audit.functions.fields import split_fields
 from resolver_audit.functions.names import second_level_domain
 from resolver_audit.operators import detection, profiles, thresholds
 from resolver_audit.operators import responses as rows
-from resolver_audit.operators.routing import with_networks
+from resolver_audit.operators.routing import Routes, with_networks
 from resolver_audit.plans.audit import Audit
 from resolver_audit.plans.staging import Staging
 from resolver_audit.sources import interchange
@@ -128,7 +128,8 @@ def sld_pages(spark, sf_dir):
 
 def labelled_addresses(spark, sf_dir) -> DataFrame:
     profiled = rows.with_answer_profile(rows.recursive_success(dns_log(spark, sf_dir)))
-    return with_networks(profiled.select(F.explode("sips").alias("ip")).distinct(), view(spark))
+    distinct = profiled.select(F.explode("sips").alias("ip")).distinct()
+    return with_networks(distinct, Routes.of(view(spark)))
 
 
 @query
@@ -144,19 +145,23 @@ def ip_asn_raw(spark, sf_dir):
 # Profiles per (resolver, domain) and per domain.
 
 
+def judged(rows_: DataFrame) -> DataFrame:
+    return profiles.judged_pairs(rows_)
+
+
 @query
 def res_dom_counts(spark, sf_dir):
-    return profiles.res_dom_counts(lazy_audit(spark, sf_dir).network_rows)
+    return profiles.res_dom_counts(judged(lazy_audit(spark, sf_dir).network_rows))
 
 
 @query
 def res_dom_features(spark, sf_dir):
-    return profiles.res_dom_features(lazy_audit(spark, sf_dir).address_rows)
+    return profiles.res_dom_features(judged(lazy_audit(spark, sf_dir).address_rows))
 
 
 def domain_counters(spark, sf_dir) -> DataFrame:
-    counters = profiles.pair_counters(lazy_audit(spark, sf_dir).address_rows)
-    return profiles.domain_features(counters)
+    pairs = judged(lazy_audit(spark, sf_dir).address_rows)
+    return profiles.domain_features(profiles.pair_counters(pairs, profiles.PAIR_FEATURES))
 
 
 @query
@@ -166,7 +171,7 @@ def domain_features(spark, sf_dir):
 
 @query
 def value_global_freq(spark, sf_dir):
-    pairs = profiles.res_dom_features(lazy_audit(spark, sf_dir).address_rows)
+    pairs = profiles.res_dom_features(judged(lazy_audit(spark, sf_dir).address_rows))
     return profiles.with_global_frequency(pairs, profiles.domain_features(pairs)).select(
         "resolver", "domain", "feature", "value", "n", "global_n"
     )
@@ -187,22 +192,25 @@ def value_cum_share(spark, sf_dir):
 
 @query
 def considered_domains(spark, sf_dir):
-    counts = profiles.res_dom_counts(lazy_audit(spark, sf_dir).network_rows)
-    return thresholds.considered_domains(counts)
+    return thresholds.considered_domains(lazy_audit(spark, sf_dir).pair_profile)
 
 
 # Normality and unusual pairs.
 
 
+def max_ttls(spark, sf_dir) -> DataFrame:
+    ranges = thresholds.ttl_ranges(lazy_audit(spark, sf_dir).pair_profile)
+    return thresholds.res_dom_max_ttl(ranges)
+
+
 @query
 def res_dom_max_ttl(spark, sf_dir):
-    rounded = thresholds.res_dom_max_ttl(lazy_audit(spark, sf_dir).ttl_ranges)
-    return rounded.select("resolver", "domain", "max_ttl")
+    return max_ttls(spark, sf_dir).select("resolver", "domain", "max_ttl")
 
 
 @query
 def ttl_fence(spark, sf_dir):
-    return lazy_audit(spark, sf_dir).fences
+    return thresholds.ttl_fence(max_ttls(spark, sf_dir))
 
 
 @query
@@ -217,7 +225,7 @@ def ttl_fence_wide(spark, sf_dir):
 
 @query
 def freq_cutoff(spark, sf_dir):
-    counters = lazy_audit(spark, sf_dir).pair_counters
+    counters = profiles.pair_counters(lazy_audit(spark, sf_dir).pair_profile)
     return thresholds.freq_cutoff(profiles.domain_features(counters))
 
 
@@ -244,16 +252,16 @@ def freq_cutoff_uniform(spark, sf_dir):
 
 @query
 def ttl_anomalies(spark, sf_dir):
-    audit = staged_audit(spark, sf_dir)
-    return detection.ttl_anomalies(audit.ttl_ranges, audit.fences, audit.considered)
+    ranges = staged_audit(spark, sf_dir).ttl_ranges
+    fences = thresholds.ttl_fence(thresholds.res_dom_max_ttl(ranges))
+    return detection.ttl_anomalies(ranges, fences)
 
 
 @query
 def feature_anomalies(spark, sf_dir):
-    audit = staged_audit(spark, sf_dir)
-    by_domain = profiles.domain_features(audit.pair_counters)
-    unusual = thresholds.unusual_values(by_domain, audit.considered)
-    return detection.feature_anomalies(audit.pair_counters, unusual)
+    counters = staged_audit(spark, sf_dir).pair_counters
+    unusual = thresholds.unusual_values(profiles.domain_features(counters))
+    return detection.feature_anomalies(counters, unusual)
 
 
 @query
@@ -267,23 +275,23 @@ def anomalies_res_dom(spark, sf_dir):
 
 @query
 def sld_per_asn(spark, sf_dir):
-    return detection.sld_per_asn(staged_audit(spark, sf_dir).normal_rows)
+    return detection.sld_per_asn(staged_audit(spark, sf_dir).network_slds)
 
 
 @query
 def count_per_asn_sld(spark, sf_dir):
-    return detection.count_per_asn_sld(staged_audit(spark, sf_dir).normal_rows)
+    return detection.count_per_asn_sld(staged_audit(spark, sf_dir).network_slds)
 
 
 @query
 def params_sld_asn(spark, sf_dir):
-    samples = detection.sld_per_asn(staged_audit(spark, sf_dir).normal_rows)
+    samples = detection.sld_per_asn(staged_audit(spark, sf_dir).network_slds)
     return rounded_summary(thresholds.percentile_summary(samples, "n_sld"))
 
 
 @query
 def params_sld_count(spark, sf_dir):
-    samples = detection.count_per_asn_sld(staged_audit(spark, sf_dir).normal_rows)
+    samples = detection.count_per_asn_sld(staged_audit(spark, sf_dir).network_slds)
     return rounded_summary(thresholds.percentile_summary(samples, "n"))
 
 
@@ -322,7 +330,7 @@ def res_asn_servers(spark, sf_dir):
 
 @query
 def fixed_features(spark, sf_dir):
-    fixed = profiles.fixed_features(lazy_audit(spark, sf_dir).network_rows)
+    fixed = profiles.link_profile(lazy_audit(spark, sf_dir).network_rows)
     return fixed.select("resolver", "asn", "n", joined("fixed").alias("fixed"))
 
 
@@ -369,7 +377,7 @@ def final_report(spark, sf_dir):
 
 @query
 def export_res_dom(spark, sf_dir):
-    features = profiles.res_dom_features(lazy_audit(spark, sf_dir).address_rows)
+    features = profiles.res_dom_features(judged(lazy_audit(spark, sf_dir).address_rows))
     return interchange.res_dom_lines(interchange.res_dom_table(features))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from resolver_audit.sources.asn_view import asn_view
+from resolver_audit.sources.dns_log import spread
 
 DNS_LOG_SQL = """
 WITH b AS (
@@ -76,11 +77,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LINE_COLUMNS = ["l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_returnflag"]
+
+
 def dns_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed responses, unfiltered."""
     return spark.sql(
         DNS_LOG_SQL,
-        lineitem=table(spark, sf_dir, "lineitem"),
+        lineitem=spread(table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS)),
         orders=table(spark, sf_dir, "orders"),
     )
 
