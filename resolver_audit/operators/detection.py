@@ -11,7 +11,6 @@ from resolver_audit.operators.profiles import (
     LINK,
     PAIR,
     domain_features,
-    judged_links,
 )
 from resolver_audit.operators.thresholds import (
     DIGITS,
@@ -159,18 +158,17 @@ def without_tags(anomalies: DataFrame, tags: tuple[str, ...]) -> DataFrame:
 
 
 def confirmed_pairs(
-    network_rows: DataFrame, suspicious: DataFrame, anomalies: DataFrame, fold_case: bool = False
+    names: DataFrame, suspicious: DataFrame, anomalies: DataFrame
 ) -> DataFrame:
     """Flagged pairs answered with an address of a suspicious network: ``resolver, domain, asn``.
 
-    Names are compared as they were asked; ``fold_case`` compares them folded.
+    ``names`` has the names asked per (resolver, network) in column ``domain``; the
+    flagged pairs are case-folded, so names in another spelling do not match.
     """
-    name = F.col("domain") if fold_case else F.col("qname")
     return (
-        judged_links(network_rows)
-        .select(*LINK, name.alias("domain"))
-        .join(anomalies.select(*PAIR), PAIR, "left_semi")
+        names.join(anomalies.select(*PAIR), PAIR, "left_semi")
         .join(suspicious.select(*LINK), LINK, "left_semi")
+        .select(*PAIR, "asn")
         .distinct()
     )
 

@@ -143,16 +143,20 @@ def _name(fold_case: bool) -> Column:
     return F.col("domain") if fold_case else F.col("qname")
 
 
+def link_names(network_rows: DataFrame, fold_case: bool = False) -> DataFrame:
+    """``resolver, asn, domain``: names per (resolver, network), as asked unless folded."""
+    return judged_links(network_rows).select(*LINK, _name(fold_case).alias("domain"))
+
+
 def res_asn_slds(network_rows: DataFrame, fold_case: bool = False) -> DataFrame:
     """Distinct names and second-level domains per (resolver, network)."""
     return (
-        judged_links(network_rows)
-        .select(*LINK, _name(fold_case).alias("name"))
+        link_names(network_rows, fold_case)
         .distinct()
         .groupBy(*LINK)
         .agg(
-            F.count("name").alias("n_queries"),
-            F.countDistinct(second_level_domain(F.col("name"))).alias("n_sld"),
+            F.count("domain").alias("n_queries"),
+            F.countDistinct(second_level_domain(F.col("domain"))).alias("n_sld"),
         )
     )
 

@@ -7,10 +7,20 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resolver_audit.operators import detection, observations, profiles, report, responses, thresholds
+from resolver_audit.operators import (
+    detection,
+    observations,
+    profiles,
+    report,
+    responses,
+    thresholds,
+)
 from resolver_audit.operators.routing import Routes, with_networks
 from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
+from resolver_audit.sources import interchange
+
+RESPONSE_COLUMNS = ["client", *observations.RESPONSE_KEY]
 
 # Columns of the stored network rows; everything after the log scan needs only these.
 NETWORK_COLUMNS = [
@@ -38,6 +48,8 @@ class Audit:
 
     Results are properties, built on first use. With ``staging``, the tables that
     several results share are written once; without, everything stays lazy.
+    ``from_text`` says that ``parsed`` comes straight from text lines: the audited
+    responses are then stored as well, so that the text is read once.
     """
 
     def __init__(
@@ -46,11 +58,13 @@ class Audit:
         view: DataFrame,
         settings: AuditSettings = AuditSettings(),
         staging: Staging | None = None,
+        from_text: bool = False,
     ):
         self.parsed = parsed
         self.view = view
         self.settings = settings
         self.staging = staging
+        self.from_text = from_text
 
     def _keep(self, name: str, frame: DataFrame) -> DataFrame:
         return self.staging.keep(name, frame) if self.staging else frame
@@ -61,7 +75,8 @@ class Audit:
 
     @cached_property
     def responses(self) -> DataFrame:
-        return responses.recursive_success(self.parsed)
+        audited = responses.recursive_success(self.parsed).select(*RESPONSE_COLUMNS)
+        return self._keep("responses", audited) if self.from_text else audited
 
     @cached_property
     def observed(self) -> DataFrame:
@@ -153,15 +168,30 @@ class Audit:
     @cached_property
     def anomalies_res_asn(self) -> DataFrame:
         confirmed = detection.confirmed_pairs(
-            self.network_rows,
+            profiles.link_names(self.network_rows, self.settings.fold_case),
             self.suspicious_res_asn,
             detection.without_tags(self.anomalies_res_dom, self.settings.ignored_tags),
-            self.settings.fold_case,
         )
         return detection.anomalies_res_asn(
             confirmed, self.suspicious_res_asn, self.suspicious_servers
         )
 
+    # Counter tables in export form.
+
+    @cached_property
+    def res_dom_table(self) -> DataFrame:
+        pairs = profiles.judged_pairs(self.address_rows)
+        return interchange.res_dom_table(profiles.res_dom_features(pairs))
+
+    @cached_property
+    def res_asn_table(self) -> DataFrame:
+        features = profiles.res_asn_features(self.network_rows, self.address_rows)
+        return interchange.res_asn_table(features)
+
+    @cached_property
+    def res_table(self) -> DataFrame:
+        return profiles.res_profile(profiles.resolver_values(self.address_rows, self.clients))
+
     # Resolvers.
 
     @cached_property

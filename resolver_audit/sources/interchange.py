@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resolver_audit.functions.names import second_level_domain
 from resolver_audit.operators.profiles import LINK, PAIR
 
 # Column order of the exported lines and of the report files.
@@ -67,6 +68,40 @@ def table_counters(table: DataFrame, keys: list[str], features: tuple[str, ...])
     return table.select(*keys, F.inline(F.concat(*[entries(f) for f in features])))
 
 
+def links_of_table(table: DataFrame) -> DataFrame:
+    """A (resolver, network) table as ``resolver, asn, n, n_sld, fixed, servers``."""
+    slds = F.transform(F.map_keys("queries"), second_level_domain)
+    counted = {"ttl": "ttl", "cname": "clen", "nip": "nip"}
+    constant = [F.when(F.size(c) == 1, F.lit(name)) for name, c in counted.items()]
+    return table.select(
+        *LINK,
+        "n",
+        F.size(F.array_distinct(F.array_compact(slds))).cast("bigint").alias("n_sld"),
+        F.array_compact(F.array(*constant)).alias("fixed"),
+        F.array_join(F.sort_array(F.map_keys("servers")), ":").alias("servers"),
+    )
+
+
+def names_of_table(table: DataFrame) -> DataFrame:
+    """The names of a (resolver, network) table: ``resolver, asn, domain``."""
+    return table.select(*LINK, F.explode(F.map_keys("queries")).alias("domain"))
+
+
+def stats_of_table(table: DataFrame) -> DataFrame:
+    """A resolver table as the statistics of ``profiles.resolver_stats``."""
+    sizes = {
+        "clients": "clients",
+        "queried_domains": "queries",
+        "returned_servers": "servers",
+        "returned_asns": "asns",
+    }
+    return table.select(
+        "resolver",
+        F.col("n").alias("count"),
+        *[F.size(F.array_distinct(c)).cast("bigint").alias(name) for name, c in sizes.items()],
+    )
+
+
 # Lines.
 
 
@@ -130,6 +165,10 @@ def res_from_lines(lines: DataFrame) -> DataFrame:
     return _from_lines(lines, ["resolver", "n"], RES_LISTS, LIST)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
@@ -184,6 +223,11 @@ def params_from_json(document: DataFrame) -> DataFrame:
     return points("sld_asn").unionByName(points("sld_count"))
 
 
+def write_params(params: DataFrame, path: str) -> None:
+    """One JSON document: a single row of two times seven points."""
+    params_json(params).write.mode("overwrite").text(path)
+
+
 def read_params(spark: SparkSession, path: str) -> DataFrame:
     return params_from_json(spark.read.text(path))
 

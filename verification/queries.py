@@ -377,20 +377,17 @@ def final_report(spark, sf_dir):
 
 @query
 def export_res_dom(spark, sf_dir):
-    features = profiles.res_dom_features(judged(lazy_audit(spark, sf_dir).address_rows))
-    return interchange.res_dom_lines(interchange.res_dom_table(features))
+    return interchange.res_dom_lines(lazy_audit(spark, sf_dir).res_dom_table)
 
 
 @query
 def export_res_asn(spark, sf_dir):
-    audit = lazy_audit(spark, sf_dir)
-    features = profiles.res_asn_features(audit.network_rows, audit.address_rows)
-    return interchange.res_asn_lines(interchange.res_asn_table(features))
+    return interchange.res_asn_lines(lazy_audit(spark, sf_dir).res_asn_table)
 
 
 @query
 def export_res(spark, sf_dir):
-    return interchange.res_lines(profiles.res_profile(all_resolver_values(spark, sf_dir)))
+    return interchange.res_lines(lazy_audit(spark, sf_dir).res_table)
 
 
 @query
