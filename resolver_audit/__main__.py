@@ -45,6 +45,19 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def size_shuffles(spark: SparkSession, log: str) -> None:
+    """Gives a large log more shuffle partitions than the default, unless the session sets them.
+
+    Condensing a log leaves well under a quarter of it to shuffle, so a quarter of
+    its splits keeps a partition within one split's size; adaptive execution merges
+    the small ones of later stages.
+    """
+    if not spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions"):
+        splits = spark.read.text(log).rdd.getNumPartitions()
+        default = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.shuffle.partitions", max(default, splits // 4))
+
+
 def main(arguments: list[str] | None = None) -> None:
     given = vars(parser().parse_args(arguments))
     command = given.pop("command")
@@ -56,6 +69,8 @@ def main(arguments: list[str] | None = None) -> None:
     }
     if tuned:
         given["settings"] = AuditSettings(**tuned)
+    if "log" in given:
+        size_shuffles(spark, given["log"])
     step = {
         "run": steps.run,
         "aggregate-res-dom": steps.aggregate_res_dom,

@@ -8,6 +8,7 @@ from golden import ANOMALIES, CONFIRMED, MIN_RESOLUTIONS, REPORT, VIEW, lines
 
 from resolver_audit.__main__ import main
 from resolver_audit.plans import steps
+from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
 from resolver_audit.sources import interchange
 
@@ -89,7 +90,7 @@ def test_step_by_step(spark, log):
 
 def test_ignored_tags(spark, log):
     settings = AuditSettings(min_resolutions=MIN_RESOLUTIONS, ignored_tags=("clen",))
-    audit = steps.audit_of_log(spark, str(log / "log"), str(log / "view"), settings)
+    audit = steps.audit_of_log(spark, str(log / "log"), str(log / "view"), settings, Staging(spark))
     assert audit.anomalies_res_dom.count() == 3
     assert audit.anomalies_res_asn.count() == 0
 
@@ -102,7 +103,8 @@ def test_fold_case(spark, log):
 
     def confirmed(fold_case):
         settings = AuditSettings(min_resolutions=MIN_RESOLUTIONS, fold_case=fold_case)
-        audit = steps.audit_of_log(spark, str(log / "log"), str(log / "view"), settings)
+        staging = Staging(spark)
+        audit = steps.audit_of_log(spark, str(log / "log"), str(log / "view"), settings, staging)
         assert audit.anomalies_res_dom.count() == 3
         return sorted(r.domain for r in audit.anomalies_res_asn.collect())
 

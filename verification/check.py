@@ -40,10 +40,10 @@ def oracle_rows(connection, sql: str) -> tuple[list[str], Counter]:
     return [names[i] for i in order], rows
 
 
-def compare(spark: SparkSession, connection, sf_dir: str, name: str) -> str:
-    """An empty string when query and SQL agree, else what differs."""
-    columns, rows = spark_rows(REGISTRY[name](spark, sf_dir))
-    expected_columns, expected = oracle_rows(connection, ORACLES[name])
+def compare(frame, connection, sql: str) -> str:
+    """An empty string when a query's rows and those of its SQL agree, else what differs."""
+    columns, rows = spark_rows(frame)
+    expected_columns, expected = oracle_rows(connection, sql)
     if columns != expected_columns:
         return f"columns {columns} instead of {expected_columns}"
     if rows != expected:
@@ -67,7 +67,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     failures = 0
     for name in names or list(ORACLES):
         started = time.time()
-        difference = compare(spark, connection, sf_dir, name)
+        difference = compare(REGISTRY[name](spark, sf_dir), connection, ORACLES[name])
         failures += bool(difference)
         print(f"{name}: {difference or 'ok'} ({time.time() - started:.1f} s)", flush=True)
     return failures

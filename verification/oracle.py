@@ -189,8 +189,8 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     ),
     "ranked_values": (
         """SELECT *, row_number() OVER (PARTITION BY domain, feature ORDER BY n DESC, value) - 1 AS rank
-           FROM domain_counters""",
-        ["domain_counters"],
+           FROM categorical""",
+        ["categorical"],
     ),
     "considered": (
         """SELECT domain, CAST(sum(n) AS bigint) AS n FROM pair_counts

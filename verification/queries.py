@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resolver_audit.functions.answers import all_ttls, last_ttl
-from resolver_audit.functions.fields import split_fields
+from resolver_audit.functions.fields import split_fields as fields_of
 from resolver_audit.functions.names import second_level_domain
 from resolver_audit.operators import detection, profiles, thresholds
 from resolver_audit.operators import responses as rows
@@ -25,7 +25,7 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    REGISTRY[function.__name__.rstrip("_")] = function
+    REGISTRY[function.__name__] = function
     return function
 
 
@@ -47,8 +47,8 @@ def joined(items: Column | str) -> Column:
 
 
 @query
-def split_fields_(spark, sf_dir):
-    fields = split_fields(F.col("line"))
+def split_fields(spark, sf_dir):
+    fields = fields_of(F.col("line"))
     return dns_lines(spark, sf_dir).select(
         "id", F.size(fields).cast("bigint").alias("n_fields"), F.array_join(fields, "\t").alias("fields")
     )
@@ -159,14 +159,16 @@ def res_dom_features(spark, sf_dir):
     return profiles.res_dom_features(judged(lazy_audit(spark, sf_dir).address_rows))
 
 
-def domain_counters(spark, sf_dir) -> DataFrame:
+@query
+def domain_features(spark, sf_dir):
     pairs = judged(lazy_audit(spark, sf_dir).address_rows)
     return profiles.domain_features(profiles.pair_counters(pairs, profiles.PAIR_FEATURES))
 
 
-@query
-def domain_features(spark, sf_dir):
-    return domain_counters(spark, sf_dir)
+def categorical_counters(spark, sf_dir) -> DataFrame:
+    """Per domain, the features that are ranked: their values are few."""
+    profile = lazy_audit(spark, sf_dir).pair_profile
+    return profiles.domain_features(profiles.pair_counters(profile))
 
 
 @query
@@ -179,12 +181,12 @@ def value_global_freq(spark, sf_dir):
 
 @query
 def value_rank(spark, sf_dir):
-    return thresholds.value_rank(domain_counters(spark, sf_dir))
+    return thresholds.value_rank(categorical_counters(spark, sf_dir))
 
 
 @query
 def value_cum_share(spark, sf_dir):
-    shares = thresholds.value_cum_share(domain_counters(spark, sf_dir))
+    shares = thresholds.value_cum_share(categorical_counters(spark, sf_dir))
     for name in ("share", "cum_share", "prev_cum"):
         shares = shares.withColumn(name, F.round(name, 9))
     return shares
@@ -225,8 +227,7 @@ def ttl_fence_wide(spark, sf_dir):
 
 @query
 def freq_cutoff(spark, sf_dir):
-    counters = profiles.pair_counters(lazy_audit(spark, sf_dir).pair_profile)
-    return thresholds.freq_cutoff(profiles.domain_features(counters))
+    return thresholds.freq_cutoff(categorical_counters(spark, sf_dir))
 
 
 def wide_cutoff(spark, sf_dir, value: Column) -> DataFrame:
