@@ -19,8 +19,6 @@ HEADLINE = (
     "ttl_fence",
     "freq_cutoff_skewed",
     "anomalies_res_dom",
-    "params_sld_count",
-    "fixed_features",
     "resolver_stats",
     "final_report",
 )

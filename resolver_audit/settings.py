@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# Defaults of a run.
 @dataclass(frozen=True)
 class AuditSettings:
     """Every tunable of the audit, with the values a run uses by default.
