@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from resolver_audit.llm import toxicity, weak_quality
 from resolver_audit.llm.license_scan import LicenseScan
+from resolver_audit.llm.signature_join import SignatureJoin
 from resolver_audit.llm.storage import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,11 @@ def op3_toxicity(spark, sf_dir):
     )
 
 
+@query
+def op4_signature_join(spark, sf_dir):
+    return SignatureJoin().join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_weak_quality(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")

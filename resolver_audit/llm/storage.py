@@ -11,6 +11,7 @@ from pathlib import Path
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @cache
@@ -64,3 +65,12 @@ def ship_code(spark: SparkSession) -> None:
         return
     if not any(name.endswith("-code.zip") for name in spark.sparkContext.listFiles):
         spark.sparkContext.addPyFile(_code())
+
+
+#: A side of a join is broadcast explicitly only when it has been counted to be this small.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(frame: DataFrame) -> DataFrame:
+    """For stored frames of a few numbers a row: broadcast up to BROADCAST_ROWS rows, else Spark's own choice."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
