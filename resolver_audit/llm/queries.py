@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resolver_audit.llm import toxicity, weak_quality
+from resolver_audit.llm.decontamination import Decontamination
 from resolver_audit.llm.license_scan import LicenseScan
+from resolver_audit.llm.rans import TokenFiles
 from resolver_audit.llm.signature_join import SignatureJoin
 from resolver_audit.llm.storage import ship_code
 
@@ -54,6 +56,22 @@ def op4_signature_join(spark, sf_dir):
     return SignatureJoin().join(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_decontamination(spark, sf_dir):
+    return Decontamination().matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op7_rans_tokens(spark, sf_dir):
+    return TokenFiles(tokenizer_path("word_bpe_49k.json")).round_trip(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_weak_quality(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -18,6 +18,13 @@ CHUNK_BYTES = 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z of UTF-8 bytes in lower case."""
+    return _LOWER[data]
+
+
 #: Letters and digits of ASCII, and everything beyond ASCII.
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = True
