@@ -11,14 +11,21 @@ from resolver_audit.llm import toxicity, weak_quality
 from resolver_audit.llm.decontamination import Decontamination
 from resolver_audit.llm.license_scan import LicenseScan
 from resolver_audit.llm.rans import TokenFiles
+from resolver_audit.llm.resharding import Resharding
 from resolver_audit.llm.signature_join import SignatureJoin
 from resolver_audit.llm.storage import ship_code
+from resolver_audit.llm.vp_search import VpSearch
+from resolver_audit.llm.warc import WarcArchive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 REGISTRY: dict[str, Query] = {}
 
 
+#: Measured against brute force: see README.
+VP_FACTOR = 0.35
+
+
 def query(function: Query) -> Query:
     REGISTRY[function.__name__] = function
     return function
@@ -56,6 +63,11 @@ def op4_signature_join(spark, sf_dir):
     return SignatureJoin().join(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_warc(spark, sf_dir):
+    return WarcArchive().round_trip(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_decontamination(spark, sf_dir):
     return Decontamination().matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -72,6 +84,23 @@ def op7_rans_tokens(spark, sf_dir):
     return TokenFiles(tokenizer_path("word_bpe_49k.json")).round_trip(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_vp_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return VpSearch(factor=VP_FACTOR).search(vectors, F.pmod("vec_id", F.lit(20)) == 0)
+
+
+@query
+def op9_min_cost_resharding(spark, sf_dir):
+    # The old layout: twelve shards by text, of which the sixteen new ones keep as much as they can.
+    old = F.pmod(F.xxhash64(F.lit("old"), "text"), F.lit(12))
+    plan = Resharding(shards=16).plan(table(spark, sf_dir, "documents"), old)
+    return plan.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "old",
+    )
+
+
 @query
 def op10_weak_quality(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
