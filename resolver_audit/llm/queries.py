@@ -12,6 +12,7 @@ from resolver_audit.llm.decontamination import Decontamination
 from resolver_audit.llm.license_scan import LicenseScan
 from resolver_audit.llm.rans import TokenFiles
 from resolver_audit.llm.resharding import Resharding
+from resolver_audit.llm.sentencepiece_lattice import SentencePieceLattice
 from resolver_audit.llm.signature_join import SignatureJoin
 from resolver_audit.llm.storage import ship_code
 from resolver_audit.llm.vp_search import VpSearch
@@ -41,6 +42,12 @@ def op1_license_scan(spark, sf_dir):
     return LicenseScan().scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_sentencepiece_lattice(spark, sf_dir):
+    path = tokenizer_path("piece_bpe_32k.model")
+    return SentencePieceLattice(path).digests(table(spark, sf_dir, "documents"))
+
+
 def held_out(doc_id) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
