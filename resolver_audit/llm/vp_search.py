@@ -196,7 +196,7 @@ class VpSearch:
         length = fine.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
         return fine.filter(F.size("vector") == (length["n"] if length else 0))
 
-    def search(self, vectors: DataFrame, is_query: Column) -> DataFrame:
+    def search(self, vectors: DataFrame, is_query: Column | str) -> DataFrame:
         """query_id, rank, vec_id, score: the nearest other rows of each row that is_query marks."""
         good = stored(self.usable(vectors), "vectors")
         square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
