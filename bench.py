@@ -14,11 +14,23 @@ from verification.queries import REGISTRY
 
 HEADLINE = (
     "dns_responses",
+    "rejected_rows",
+    "answer_profile",
     "ip_asn",
     "res_dom_features",
+    "domain_features",
     "ttl_fence",
+    "freq_cutoff",
     "freq_cutoff_skewed",
     "anomalies_res_dom",
+    "params_sld_asn",
+    "params_sld_count",
+    "res_asn_features",
+    "res_asn_slds",
+    "fixed_features",
+    "suspicious_res_asn",
+    "anomalies_res_asn",
+    "export_res_asn",
     "resolver_stats",
     "final_report",
 )

@@ -10,7 +10,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from resolver_audit.plans import steps
-from resolver_audit.settings import AuditSettings
+from resolver_audit.settings import SUMMARY_POINTS, AuditSettings
 
 # command -> its positional paths, named as the parameters of its step
 COMMANDS = {
@@ -23,7 +23,12 @@ COMMANDS = {
     "aggregate-res": ("log", "out"),
     "final-report": ("aggregated", "anomalies", "out"),
 }
-TUNABLE = ("run", "find-anomalies-res-dom", "find-anomalies-res-asn")
+# command -> the settings it uses
+TUNABLE = {
+    "run": tuple(vars(AuditSettings())),
+    "find-anomalies-res-dom": ("min_resolutions", "ttl_granularity", "fence_low", "fence_high", "fence_reach"),
+    "find-anomalies-res-asn": ("percentile_pick", "fold_case", "ignored_tags"),
+}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,41 +41,29 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument(path)
         if "log" in paths:
             sub.add_argument("--asn-view", required=True)
-        if command in TUNABLE:
-            sub.add_argument("--min-resolutions", type=int, default=defaults.min_resolutions)
-            sub.add_argument("--percentile-pick", type=int, default=defaults.percentile_pick)
+        for name in TUNABLE.get(command, ()):
+            flag, default = "--" + name.replace("_", "-"), getattr(defaults, name)
+            if name == "fold_case":
+                sub.add_argument(flag, action="store_true")
+            elif name == "percentile_pick":
+                sub.add_argument(flag, type=int, default=default, choices=SUMMARY_POINTS)
+            elif name == "ignored_tags":
+                sub.add_argument(flag, nargs="*", default=default)
+            else:
+                sub.add_argument(flag, type=type(default), default=default)
         if command == "run":
-            sub.add_argument("--fold-case", action="store_true")
             sub.add_argument("--aggregates", action="store_true")
     return top
 
 
-def size_shuffles(spark: SparkSession, log: str) -> None:
-    """Gives a large log more shuffle partitions than the default, unless the session sets them.
-
-    Condensing a log leaves well under a quarter of it to shuffle, so a quarter of
-    its splits keeps a partition within one split's size; adaptive execution merges
-    the small ones of later stages.
-    """
-    if not spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions"):
-        splits = spark.read.text(log).rdd.getNumPartitions()
-        default = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        spark.conf.set("spark.sql.shuffle.partitions", max(default, splits // 4))
-
-
 def main(arguments: list[str] | None = None) -> None:
     given = vars(parser().parse_args(arguments))
     command = given.pop("command")
     spark = SparkSession.builder.appName(f"resolver audit: {command}").getOrCreate()
-    tuned = {
-        name: given.pop(name)
-        for name in ("min_resolutions", "percentile_pick", "fold_case")
-        if name in given
-    }
+    tuned = {name: given.pop(name) for name in TUNABLE.get(command, ())}
     if tuned:
+        tuned |= {"ignored_tags": tuple(tuned["ignored_tags"])} if "ignored_tags" in tuned else {}
         given["settings"] = AuditSettings(**tuned)
-    if "log" in given:
-        size_shuffles(spark, given["log"])
     step = {
         "run": steps.run,
         "aggregate-res-dom": steps.aggregate_res_dom,

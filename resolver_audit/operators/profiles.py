@@ -225,17 +225,19 @@ def resolver_values(
     return sum_counters(seen.unionByName(asked), "resolver")
 
 
-def resolver_stats(values: DataFrame) -> DataFrame:
-    """Traffic statistics of every resolver, from ``resolver_values``."""
-    def distinct(feature: str) -> Column:
-        return F.count_if(F.col("feature") == feature)
+STATISTICS = {
+    "clients": "clients",
+    "queries": "queried_domains",
+    "servers": "returned_servers",
+    "asns": "returned_asns",
+}
 
+
+def resolver_stats(values: DataFrame, features: tuple[str, ...] = tuple(STATISTICS)) -> DataFrame:
+    """Traffic statistics of every resolver, from ``resolver_values`` of the same features."""
     return values.groupBy("resolver").agg(
         F.sum(F.when(F.col("feature") == "queries", F.col("n"))).alias("count"),
-        distinct("clients").alias("clients"),
-        distinct("queries").alias("queried_domains"),
-        distinct("servers").alias("returned_servers"),
-        distinct("asns").alias("returned_asns"),
+        *[F.count_if(F.col("feature") == f).alias(STATISTICS[f]) for f in features],
     )
 
 

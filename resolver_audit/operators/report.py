@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The published column names, and what stands for no manipulation.
 REPORT_COLUMNS = [
     "resolver",
     "queried_domains",

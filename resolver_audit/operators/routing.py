@@ -1,10 +1,8 @@
-"""Longest-prefix match of addresses against the ASN view, as an equi-join.
+"""Longest-prefix match of addresses against the ASN view, as one equi-join.
 
-Nested prefixes are first resolved on the view's side: every /16 block is cut
-into disjoint segments, each with the network of its most specific prefix. An
-address then matches at most one segment of its block, so the lookup is one
-broadcast hash join that neither shuffles nor multiplies the traffic. A view too
-large to broadcast is joined by shuffle, on the distinct addresses only.
+Every distinct address is paired with the networks it has at the prefix lengths that occur
+in the view, joined to the view on (network, prefix_len), and keeps its longest match. The
+labels then go back to the rows by address. Which side is broadcast is Spark's choice.
 """
 
 from __future__ import annotations
@@ -16,109 +14,59 @@ from pyspark.sql import functions as F
 
 from resolver_audit.functions.networks import ip_number, network_label, raw_network_label
 
-# Entries make at most twice as many segments of about 60 bytes: 480 MB at the
-# very most. A full IPv4 routing table has about one million prefixes.
-BROADCAST_ENTRIES = 4_000_000
 
-BLOCK = 1 << 16
-
-
-def _span(prefix_len: Column) -> Column:
-    """Number of addresses below a prefix."""
-    return F.pow(F.lit(2), F.lit(32) - prefix_len).cast("bigint")
-
-
-def _block_count(prefix_len: Column) -> Column:
-    """Number of /16 blocks a prefix is entered in."""
-    return F.greatest(F.lit(1).cast("bigint"), (_span(prefix_len) / BLOCK).cast("bigint"))
+def _network(number: Column, prefix_len: Column) -> Column:
+    """First address of the network of a length that an address lies in."""
+    return number - number % F.pow(F.lit(2), F.lit(32) - prefix_len).cast("bigint")
 
 
 @dataclass(frozen=True)
 class Routes:
-    """An ASN view and whether its segments may be broadcast."""
+    """An ASN view and the prefix lengths that occur in it: at most 33 numbers."""
 
     view: DataFrame
-    broadcast: bool
+    lengths: tuple[int, ...]
 
     @classmethod
-    def of(cls, view: DataFrame, limit: int = BROADCAST_ENTRIES) -> Routes:
-        """Counts the entries of ``view`` with one small job."""
-        entries = view.agg(F.sum(_block_count(F.col("prefix_len"))).alias("n")).first().n
-        return cls(view, (entries or 0) <= limit)
-
-
-def route_segments(view: DataFrame) -> DataFrame:
-    """``block, low, high, asn``: disjoint address ranges, each inside one /16 block."""
-    span = _span(F.col("prefix_len"))
-    first = F.col("network") - F.col("network") % span
-    first_block = (first / BLOCK).cast("bigint")
-    entered = view.select(
-        F.explode(
-            F.sequence(first_block, first_block + _block_count(F.col("prefix_len")) - 1)
-        ).alias("block"),
-        F.struct("prefix_len", first.alias("low"), (first + span).alias("end"), "asn").alias(
-            "route"
-        ),
-    )
-    blocks = entered.groupBy("block").agg(
-        F.sort_array(F.collect_list("route"), asc=False).alias("routes")
-    )
+    def of(cls, view: DataFrame) -> Routes:
+        """Collects the lengths with one small job."""
+        return cls(view, tuple(sorted(r.prefix_len for r in view.select("prefix_len").distinct().collect())))
 
-    block_low = F.col("block") * BLOCK
-    block_end = block_low + BLOCK
-    edges = F.flatten(F.transform("routes", lambda r: F.array(r["low"], r["end"])))
-    inner = F.filter(edges, lambda edge: (edge > block_low) & (edge < block_end))
-    starts = F.array_sort(F.array_distinct(F.concat(F.array(block_low), inner)))
-
-    def segment(low: Column, i: Column) -> Column:
-        covering = F.filter("routes", lambda r: (r["low"] <= low) & (low < r["end"]))
-        end = F.coalesce(F.get("starts", i + 1), block_end)
-        return F.struct(
-            low.alias("low"),
-            (end - 1).alias("high"),
-            F.get(covering, F.lit(0))["asn"].alias("asn"),
-        )
-
-    cut = blocks.withColumn("starts", starts)
-    return cut.select("block", F.inline(F.transform("starts", segment))).filter(
-        F.col("asn").isNotNull()
-    )
 
-
-def _match_by_segment(numbered: DataFrame, view: DataFrame) -> DataFrame:
-    segments = F.broadcast(route_segments(view).withColumnRenamed("asn", "_route_asn"))
-    inside = F.col("_number").between(F.col("low"), F.col("high"))
-    block = F.shiftright("_number", 16)
-    matched = numbered.join(segments, (block == F.col("block")) & inside, "left")
-    return matched.select(*numbered.columns, "_route_asn")
-
-
-def _match_by_shuffle(numbered: DataFrame, view: DataFrame) -> DataFrame:
-    span = _span(F.col("prefix_len"))
-    prefixes = view.select(
-        "prefix_len", (F.col("network") - F.col("network") % span).alias("network"), "asn"
-    )
+def longest_match(numbers: DataFrame, routes: Routes) -> DataFrame:
+    """``_number, _route_asn`` of the distinct addresses in column ``_number`` that the view covers."""
+    lengths = F.array(*[F.lit(n) for n in routes.lengths]).cast("array<int>")
     candidates = (
-        numbered.select("_number")
+        numbers.filter(F.col("_number").isNotNull())
         .distinct()
-        .select("_number", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("prefix_len"))
-        .withColumn("network", F.col("_number") - F.col("_number") % span)
+        .select("_number", F.explode(lengths).alias("prefix_len"))
+        .withColumn("network", _network(F.col("_number"), F.col("prefix_len")))
+    )
+    prefixes = routes.view.select(
+        F.col("prefix_len").cast("int").alias("prefix_len"),
+        _network(F.col("network"), F.col("prefix_len")).alias("network"),
+        "asn",
     )
-    matched = (
+    return (
         candidates.join(prefixes, ["network", "prefix_len"])
         .groupBy("_number")
-        .agg(F.max(F.struct("prefix_len", "asn"))["asn"].alias("_route_asn"))
+        .agg(F.max_by("asn", "prefix_len").alias("_route_asn"))
     )
-    return numbered.join(matched, "_number", "left")
 
 
 def with_networks(rows: DataFrame, routes: Routes) -> DataFrame:
-    """Adds ``asn`` and ``asn_raw``, the labels of column ``ip`` (null for a null address)."""
+    """Adds ``asn`` and ``asn_raw``, the labels of column ``ip`` (null for a null address).
+
+    Rows without an address to look up join on negative numbers by their hash, so that they do not
+    meet in one task.
+    """
     numbered = rows.withColumn("_number", ip_number(F.col("ip")))
-    match = _match_by_segment if routes.broadcast else _match_by_shuffle
-    matched = match(numbered, routes.view)
+    matched = longest_match(numbered.select("_number"), routes).withColumnRenamed("_number", "_matched")
+    spread = -1 - F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))
+    on = F.coalesce("_number", spread) == F.col("_matched")
+    labelled = numbered.join(matched, on, "left")
     ip, route, has_lookup = F.col("ip"), F.col("_route_asn"), F.col("_number").isNotNull()
-    return matched.withColumns(
+    return labelled.withColumns(
         {
             "asn": network_label(ip, route, has_lookup),
             "asn_raw": raw_network_label(ip, route, has_lookup),

@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resolver_audit.operators.profiles import PAIR
-from resolver_audit.settings import AuditSettings
+from resolver_audit.settings import SUMMARY_POINTS, AuditSettings
 
 # Interpolated quantiles carry rounding noise of about 1e-12; thresholds are
 # rounded before anything is compared with them.
 DIGITS = 9
 
-# The points of a percentile summary.
-SUMMARY_POINTS = (0, 5, 25, 50, 75, 95, 100)
-
 DEFAULTS = AuditSettings()
 
 

@@ -159,8 +159,9 @@ class Audit:
             .withColumnRenamed("asn", "link_asn")
         )
         exploded = responses.with_answer_profile(rows).select(
-            "resolver", "link_asn", F.explode("sips").alias("ip")
+            "resolver", "link_asn", F.explode_outer("sips").alias("ip")
         )
+        # A filter on the array would be pushed below the distinct and parse every answer again.
         labelled = with_networks(exploded, self.routes)
         servers = labelled.filter(F.col("asn") == F.col("link_asn"))
         return profiles.address_lists(servers)
@@ -196,10 +197,15 @@ class Audit:
 
     @cached_property
     def resolver_stats(self) -> DataFrame:
-        """Statistics shown in the report: responses, names and clients."""
+        """Responses, clients, names, servers and networks of every resolver."""
+        return profiles.resolver_stats(profiles.resolver_values(self.address_rows, self.clients))
+
+    @cached_property
+    def report_stats(self) -> DataFrame:
+        """The statistics shown in the report: responses, clients and names."""
         values = profiles.resolver_values(self.network_rows, self.clients, ("queries",))
-        return profiles.resolver_stats(values)
+        return profiles.resolver_stats(values, ("clients", "queries"))
 
     @cached_property
     def final_report(self) -> DataFrame:
-        return report.final_report(self.resolver_stats, self.anomalies_res_asn)
+        return report.final_report(self.report_stats, self.anomalies_res_asn)

@@ -115,7 +115,7 @@ def find_anomalies_res_asn(
 ) -> None:
     lines = interchange.read_lines(spark, aggregated)
     table = Staging(spark).keep("res_asn", interchange.res_asn_from_lines(lines))
-    links = interchange.links_of_table(table)
+    links = interchange.links_of_table(table, settings.fold_case)
     suspicious = detection.suspicious_res_asn(
         links, interchange.read_params(spark, params), settings.percentile_pick
     )
@@ -123,7 +123,7 @@ def find_anomalies_res_asn(
         interchange.read_anomalies_res_dom(spark, anomalies), settings.ignored_tags
     )
     confirmed = detection.confirmed_pairs(
-        interchange.names_of_table(table), suspicious, flagged
+        interchange.names_of_table(table, settings.fold_case), suspicious, flagged
     )
     found = detection.anomalies_res_asn(
         confirmed, suspicious.drop("servers"), links.select(*LINK, "servers")

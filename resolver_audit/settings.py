@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# The points of a percentile summary.
+SUMMARY_POINTS = (0, 5, 25, 50, 75, 95, 100)
 
 # Defaults of a run.
 @dataclass(frozen=True)
@@ -27,3 +29,9 @@ class AuditSettings:
     percentile_pick: int = 50
     fold_case: bool = False
     ignored_tags: tuple[str, ...] = ("cagnaccio",)
+
+    def __post_init__(self):
+        if self.percentile_pick not in SUMMARY_POINTS:
+            raise ValueError(f"percentile_pick must be one of {SUMMARY_POINTS}")
+        if not 0 <= self.fence_low <= self.fence_high <= 1:
+            raise ValueError("fence quantiles must be ordered and between 0 and 1")

@@ -23,19 +23,13 @@ POSITIONS = {
 }
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a response log, in column ``value``."""
-    return spread(spark.read.text(path))
+def read_log(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Lines of a response log, in column ``value``.
 
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Deals the rows of an input with fewer splits than cores out evenly.
-
-    One compressed log file, or one small Parquet file, is a single task
-    otherwise. Inputs with more splits are left alone.
+    ``partitions`` deals the lines out anew, for a log of few large files that cannot be split.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    lines = spark.read.text(path)
+    return lines.repartition(partitions) if partitions else lines
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:

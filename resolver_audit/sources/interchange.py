@@ -21,6 +21,15 @@ RES_LISTS = ("clients", "queries", "servers", "asns")
 RES_DOM_ANOMALY_COLUMNS = ("resolver", "query", "type")
 RES_ASN_ANOMALY_COLUMNS = ("res", "domain", "asn", "servers", "fixed_features")
 
+# Names keep blanks at their ends; an empty name is not a missing one.
+EXACT = {
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "emptyValue": '""',
+    "nullValue": "\\N",
+    "escape": '"',
+}
+
 COUNTER = "map<string,bigint>"
 LIST = "array<string>"
 
@@ -68,9 +77,13 @@ def table_counters(table: DataFrame, keys: list[str], features: tuple[str, ...])
     return table.select(*keys, F.inline(F.concat(*[entries(f) for f in features])))
 
 
-def links_of_table(table: DataFrame) -> DataFrame:
+def _folded(names: Column, fold_case: bool) -> Column:
+    return F.array_distinct(F.transform(names, F.lower)) if fold_case else names
+
+
+def links_of_table(table: DataFrame, fold_case: bool = False) -> DataFrame:
     """A (resolver, network) table as ``resolver, asn, n, n_sld, fixed, servers``."""
-    slds = F.transform(F.map_keys("queries"), second_level_domain)
+    slds = F.transform(_folded(F.map_keys("queries"), fold_case), second_level_domain)
     counted = {"ttl": "ttl", "cname": "clen", "nip": "nip"}
     constant = [F.when(F.size(c) == 1, F.lit(name)) for name, c in counted.items()]
     return table.select(
@@ -82,9 +95,9 @@ def links_of_table(table: DataFrame) -> DataFrame:
     )
 
 
-def names_of_table(table: DataFrame) -> DataFrame:
+def names_of_table(table: DataFrame, fold_case: bool = False) -> DataFrame:
     """The names of a (resolver, network) table: ``resolver, asn, domain``."""
-    return table.select(*LINK, F.explode(F.map_keys("queries")).alias("domain"))
+    return table.select(*LINK, F.explode(_folded(F.map_keys("queries"), fold_case)).alias("domain"))
 
 
 def stats_of_table(table: DataFrame) -> DataFrame:
@@ -185,12 +198,12 @@ def write_anomalies_res_dom(anomalies: DataFrame, path: str) -> None:
             for c, name in zip(columns, RES_DOM_ANOMALY_COLUMNS)
         ]
     )
-    named.write.mode("overwrite").csv(path, header=True)
+    named.write.mode("overwrite").csv(path, header=True, **EXACT)
 
 
 def read_anomalies_res_dom(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"{c} string" for c in RES_DOM_ANOMALY_COLUMNS)
-    rows = spark.read.csv(path, header=True, schema=schema)
+    rows = spark.read.csv(path, header=True, schema=schema, **EXACT | {"emptyValue": ""})
     return rows.select(
         "resolver", F.col("query").alias("domain"), F.split("type", ":").alias("types")
     )
@@ -238,16 +251,15 @@ def write_anomalies_res_asn(anomalies: DataFrame, path: str) -> None:
     named = anomalies.select(
         *[F.col(c).alias(name) for c, name in zip(columns, RES_ASN_ANOMALY_COLUMNS)]
     )
-    named.write.mode("overwrite").csv(path, sep=" ", header=True)
+    named.write.mode("overwrite").csv(path, sep=" ", header=True, **EXACT)
 
 
 def read_anomalies_res_asn(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"{c} string" for c in RES_ASN_ANOMALY_COLUMNS)
-    return spark.read.csv(path, sep=" ", header=True, schema=schema).withColumnRenamed(
-        "res", "resolver"
-    )
+    rows = spark.read.csv(path, sep=" ", header=True, schema=schema, **EXACT | {"emptyValue": ""})
+    return rows.withColumnRenamed("res", "resolver")
 
 
 def write_report(report: DataFrame, path: str) -> None:
     """CSV with header. The part files follow the order of the report."""
-    report.write.mode("overwrite").csv(path, header=True)
+    report.write.mode("overwrite").csv(path, header=True, **EXACT)

@@ -94,3 +94,30 @@ def test_params_document(spark):
         '{"SLD_ASN":[[0.0,1.0],[50.0,2.5],[100.0,9.0]],"SLD_COUNT":[[0.0,1.0],[50.0,2.5],[100.0,9.0]]}'
     )
     assert rows(interchange.params_from_json(document)) == content
+
+
+NAMES = [" a.com", "b.com ", "", 'q"uote', "c,d;e.com", None, "\\N"[:1]]
+
+
+def test_pair_files_keep_names(spark, tmp_path):
+    content = [("r", name, ["x", "y"]) for name in NAMES]
+    frame = spark.createDataFrame(content, "resolver string, domain string, types array<string>")
+    interchange.write_anomalies_res_dom(frame, str(tmp_path / "pairs"))
+    back = interchange.read_anomalies_res_dom(spark, str(tmp_path / "pairs"))
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, frame.collect()))
+
+
+def test_confirmed_files_keep_names(spark, tmp_path):
+    frame = spark.createDataFrame(
+        [("r", name, "64500", "1.2.3.4:1.2.3.5", "") for name in NAMES],
+        "resolver string, domain string, asn string, servers string, fixed_features string",
+    )
+    interchange.write_anomalies_res_asn(frame, str(tmp_path / "pairs"))
+    back = interchange.read_anomalies_res_asn(spark, str(tmp_path / "pairs")).select(*frame.columns)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, frame.collect()))
+
+
+def test_folded_names(spark):
+    table = spark.createDataFrame([("r", "1", {"A.com": 1, "a.com": 2})], "resolver string, asn string, queries map<string,bigint>")
+    assert sorted(r.domain for r in interchange.names_of_table(table).collect()) == ["A.com", "a.com"]
+    assert [r.domain for r in interchange.names_of_table(table, True).collect()] == ["a.com"]

@@ -1,11 +1,11 @@
-"""Longest-prefix match, by segments and by shuffle, against a scan of the view."""
+"""Longest-prefix match against a scan of the view."""
 
 import ipaddress
 import random
 
 import pytest
 
-from resolver_audit.operators.routing import Routes, route_segments, with_networks
+from resolver_audit.operators.routing import Routes, with_networks
 from resolver_audit.sources.asn_view import asn_view, read_asn_view
 
 
@@ -26,18 +26,16 @@ def longest_match(prefixes, ip):
     return max(covering)[1] if covering else None
 
 
-def labels(spark, prefixes, ips, limit):
+def labels(spark, prefixes, ips):
     rows = [(str(n.network_address), n.prefixlen, asn) for n, asn in prefixes.items()]
     view = asn_view(spark.createDataFrame(rows, "network string, prefix_len int, asn string"))
-    routes = Routes.of(view, limit)
-    assert routes.broadcast == (limit > 0)
+    routes = Routes.of(view)
     frame = spark.createDataFrame([(ip,) for ip in ips], "ip string")
     return {r.ip: (r.asn, r.asn_raw) for r in with_networks(frame, routes).collect()}
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_random_views(spark, seed, limit):
+def test_random_views(spark, seed):
     rng = random.Random(seed)
     prefixes = random_view(rng, 60)
     ips = {"0.0.0.0", "255.255.255.255"}
@@ -45,7 +43,7 @@ def test_random_views(spark, seed, limit):
         low, high = int(network[0]), int(network[-1])
         near = {low, high, max(low - 1, 0), min(high + 1, 0xFFFFFFFF), rng.randint(low, high)}
         ips |= {str(ipaddress.ip_address(n)) for n in near}
-    got = labels(spark, prefixes, sorted(ips), limit)
+    got = labels(spark, prefixes, sorted(ips))
     for ip in ips:
         asn = longest_match(prefixes, ip)
         pooled = ".".join(ip.split(".")[:2]) + ".0.0"
@@ -53,11 +51,10 @@ def test_random_views(spark, seed, limit):
         assert got[ip] == (label, asn or "None"), ip
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_special_labels(spark, limit):
+def test_special_labels(spark):
     prefixes = {ipaddress.ip_network("20.0.0.0/8"): "7", ipaddress.ip_network("127.0.0.0/8"): "8"}
     ips = ["20.3.4.5", "21.3.4.5", "127.0.0.1", "127.1.0.1", "020.3.4.5", None]
-    assert labels(spark, prefixes, ips, limit) == {
+    assert labels(spark, prefixes, ips) == {
         "20.3.4.5": ("7", "7"),
         "21.3.4.5": ("21.3.0.0", "None"),
         "127.0.0.1": ("127.0.0.1", "8"),
@@ -67,14 +64,18 @@ def test_special_labels(spark, limit):
     }
 
 
-def test_segments_are_disjoint(spark):
-    prefixes = random_view(random.Random(3), 80)
-    del_default = {n: a for n, a in prefixes.items() if n.prefixlen > 8}
-    rows = [(str(n.network_address), n.prefixlen, asn) for n, asn in del_default.items()]
-    view = asn_view(spark.createDataFrame(rows, "network string, prefix_len int, asn string"))
-    found = sorted((r.low, r.high, r.block) for r in route_segments(view).collect())
-    assert all(low >> 16 == block == high >> 16 for low, high, block in found)
-    assert all(a[1] < b[0] for a, b in zip(found, found[1:]))
+def test_an_empty_view(spark):
+    assert labels(spark, {ipaddress.ip_network("1.0.0.0/8"): "1"}, ["9.9.9.9"])["9.9.9.9"][1] == "None"
+    view = asn_view(spark.createDataFrame([], "network string, prefix_len int, asn string"))
+    frame = spark.createDataFrame([("1.2.3.4",)], "ip string")
+    assert [r.asn for r in with_networks(frame, Routes.of(view)).collect()] == ["1.2.0.0"]
+
+
+def test_many_host_routes_in_one_block(spark):
+    rows = spark.range(65536).selectExpr("concat('20.1.', id div 256, '.', id % 256) AS ip", "CAST(id AS string) AS asn")
+    view = asn_view(rows.selectExpr("ip AS network", "32 AS prefix_len", "asn"))
+    found = with_networks(rows.withColumnRenamed("asn", "expected"), Routes.of(view))
+    assert found.filter("asn = expected").count() == 65536
 
 
 def test_view_file(spark, tmp_path):

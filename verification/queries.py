@@ -365,7 +365,7 @@ def res_profile(spark, sf_dir):
 
 @query
 def resolver_stats(spark, sf_dir):
-    return profiles.resolver_stats(all_resolver_values(spark, sf_dir))
+    return lazy_audit(spark, sf_dir).resolver_stats
 
 
 @query

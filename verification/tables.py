@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from resolver_audit.sources.asn_view import asn_view
-from resolver_audit.sources.dns_log import spread
 
 DNS_LOG_SQL = """
 WITH b AS (
@@ -84,7 +83,8 @@ def dns_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed responses, unfiltered."""
     return spark.sql(
         DNS_LOG_SQL,
-        lineitem=spread(table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS)),
+        # The table is one small file that is a single task otherwise.
+        lineitem=table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS).repartition("l_orderkey"),
         orders=table(spark, sf_dir, "orders"),
     )
 
