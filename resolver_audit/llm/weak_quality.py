@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from resolver_audit.llm.storage import stored
-from resolver_audit.llm.words import ALNUM, VISIBLE, Words, binary_parts, chunks, mix, split_words
+from resolver_audit.llm.words import VISIBLE, Words, binary_parts, chunks, mix, split_words
 
 JUNK, CLEAN, NOTHING = 1, 0, -1
 
