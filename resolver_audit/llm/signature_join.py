@@ -8,11 +8,12 @@ bitmaps and the range of sizes below them, and a dual traversal drops pairs of n
 greatest possible overlap is too small, and nodes that are known to be one component.
 What is left is compared on the whole sets.
 
-Components come in two steps, so that a large group of near copies costs no square of its
-size: first every class is compared with one pivot of each of its buckets; then trees search
-only buckets that still hold different components. Both steps lose no link between
-components: a pair that links meets in a bucket, and is either compared there or already in
-one component.
+Components come in steps, so that a large group of near copies costs no square of its size:
+first every class is compared with a pivot of each of its buckets, half of
+them the class with the most common shingles (nearest to what the copies come from), half of
+them random (in one or more rounds); then trees search only buckets that still hold different components. No link
+between components is lost: a pair that links meets in a bucket, and is either compared there
+or already in one component.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are
 alone. A text with fewer words than a shingle is one shingle. Rows without doc_id are alone
@@ -62,8 +63,8 @@ def digest(tokens: np.ndarray) -> int:
 
 
 def bits_of(size: int) -> int:
-    """Bits of a class's bitmap: a power of two, twice its size at least."""
-    return max(64, 1 << (2 * size - 1).bit_length())
+    """Bits of a class's bitmap: a power of two, four times its size at least."""
+    return max(64, 1 << (4 * size - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -185,12 +186,15 @@ def _children(open_: np.ndarray, other: np.ndarray, n: int, fan: int) -> tuple[n
 @dataclass(frozen=True)
 class SignatureJoin:
     """words: of a shingle. percent: least Jaccard similarity, in hundredths.
-    fan: children of a node. block: classes in a tree; larger buckets are split into several trees."""
+    fan: children of a node. block: classes in a tree; larger buckets are split into several trees.
+    rounds: of comparisons with pivots. colours: random pivots in a bucket's stead, so many."""
 
     words: int = 5
     percent: int = 80
     fan: int = 8
     block: int = 512
+    rounds: int = 1
+    colours: int = 8
 
     def frequencies(self, documents: DataFrame) -> np.ndarray:
         """Sketch of how many documents hold a shingle, over all documents; SKETCH counters, whatever the input."""
@@ -221,7 +225,7 @@ class SignatureJoin:
         return total
 
     def signed(self, documents: DataFrame) -> DataFrame:
-        """A row for each document (doc_id, cls, n, bitmap), and one for each token of its prefix (cls, n, token)."""
+        """A row for each document (doc_id, cls, n, central, bitmap), and one for each token of its prefix (cls, token)."""
         weights = documents.sparkSession.sparkContext.broadcast(self.frequencies(documents))
         n_words, percent = self.words, self.percent
 
@@ -233,25 +237,31 @@ class SignatureJoin:
                     sizes = np.zeros(len(ids), dtype=np.int32)
                     names = np.zeros(len(ids), dtype=np.int64)
                     maps = [b""] * len(ids)
+                    central = np.zeros(len(ids), dtype=np.int64)
                     prefixes, owners = [], []
                     for i, tokens in shingle_sets(part.column("text"), n_words):
                         size = len(tokens)
                         sizes[i], names[i], maps[i] = size, digest(tokens), bitmap(tokens)
+                        common = weight[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]
+                        central[i] = int(1000 * np.log(common + 1).mean())
                         if ids[i] is not None:
-                            order = np.lexsort((tokens, weight[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                            order = np.lexsort((tokens, common))
                             prefix = tokens[order[: size - (percent * size + 99) // 100 + 1]]
                             prefixes.append(prefix)
                             owners.append(np.full(len(prefix), i))
-                    yield _rows(part.column("doc_id"), pa.array(names), pa.array(sizes), pa.array(maps, pa.binary()), None)
+                    yield _rows(
+                        pa.array(names), part.column("doc_id"), pa.array(sizes), pa.array(central), pa.array(maps, pa.binary())
+                    )
                     if prefixes:
                         owner, token = np.concatenate(owners), np.concatenate(prefixes).view(np.int64)
-                        yield _rows(None, pa.array(names[owner]), pa.array(sizes[owner]), None, pa.array(token))
+                        yield _rows(pa.array(names[owner]), token=pa.array(token))
 
         source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        return source.mapInArrow(sign, "doc_id long, cls long, n int, bitmap binary, token long")
+        return source.mapInArrow(sign, "doc_id long, cls long, n int, central long, bitmap binary, token long")
 
     def sets(self, documents: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(cls, n, tokens) for wanted (doc_id, cls): each class's set from one document of it."""
+        """(cls, n, tokens) for wanted (doc_id, cls): each class's set from a document of it; rows that
+        share that doc_id and set repeat it."""
         wanted = wanted.select(F.col("doc_id").alias("wanted_id"), "cls")
         texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
             broadcast_if_small(wanted), F.col("doc_id") == F.col("wanted_id")
@@ -272,12 +282,34 @@ class SignatureJoin:
                     arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, names=["cls", "n", "tokens"])
 
-        found = texts.select("cls", "text").mapInArrow(collect, "cls long, n int, tokens binary")
-        return found.dropDuplicates(["cls"])
+        return texts.select("cls", "text").mapInArrow(collect, "cls long, n int, tokens binary")
+
+    def plausible(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and bitmaps allow a link: the test of two leaves."""
+        part = self.percent
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = [batch.column(c).to_pylist() for c in ("n_a", "n_b")]
+                keep = np.zeros(batch.num_rows, dtype=bool)
+                for i in range(batch.num_rows):
+                    a, b = (
+                        np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint64)[None, :] for c in ("map_a", "map_b")
+                    )
+                    width = min(a.shape[1], b.shape[1])
+                    a, b = folded(a, width), folded(b, width)
+                    common = int(np.bitwise_count(a & b).sum())
+                    s, t = sizes[0][i], sizes[1][i]
+                    overlap = min(s - int(np.bitwise_count(a).sum()), t - int(np.bitwise_count(b).sum())) + common
+                    keep[i] = (100 + part) * overlap >= part * (s + t)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+        a = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("map_a"))
+        b = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("map_b"))
+        return pairs.join(a, "a").join(b, "b").mapInArrow(test, "a long, b long")
 
     def linked(self, documents: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link, by their whole sets."""
-        pairs = stored(pairs, "pairs")
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
         wanted = stored(classes.select("cls", "doc_id").join(ends, "cls", "left_semi"), "wanted")
         sets = stored(self.sets(documents, wanted), "sets")
@@ -297,7 +329,7 @@ class SignatureJoin:
 
         left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("set_a"))
         right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("set_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct()
 
     def join(self, documents: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id: a row for each document."""
@@ -306,33 +338,28 @@ class SignatureJoin:
         classes = stored(
             signed.filter("token IS NULL AND n > 0 AND doc_id IS NOT NULL")
             .groupBy("cls")
-            .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")),
+            .agg(
+                F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
+                F.first("central").alias("central"), F.first("bitmap").alias("bitmap"),
+            ),
             "classes",
-        )
-        tokens = signed.filter("token IS NOT NULL").select("token", "cls", "n")
-        shared = tokens.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).filter("pivot < other")
+        )
+        tokens = signed.filter("token IS NOT NULL").select("token", "cls")
+        shared = tokens.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
         members = stored(
-            tokens.join(shared.select(F.col("token").alias("t"), "pivot"), F.col("token") == F.col("t"))
-            .select("token", "cls", "n", "pivot")
-            .distinct(),
+            tokens.join(shared.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi").distinct(),
             "members",
         )
-        sizes = classes.select(F.col("cls").alias("p"), F.col("n").alias("pivot_n"))
-        fits = f"100 * least(n, pivot_n) >= {self.percent} * greatest(n, pivot_n)"
-        stars = (
-            members.filter("cls != pivot")
-            .groupBy("cls", "pivot")
-            .agg(F.first("n").alias("n"))
-            .join(sizes, F.col("pivot") == F.col("p"))
-            .filter(fits)
-            .select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
-            .distinct()
-        )
-        star_links = stored(self.linked(documents, stars, classes), "star-links")
-        known = stored(components(star_links), "known")
-        rest = self.searched(self.open_buckets(members, known), classes, known)
-        links = stored(star_links.union(self.linked(documents, rest, classes)), "links")
-        final = components(links)
+        links = documents.sparkSession.createDataFrame([], "a long, b long")
+        known = links.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+        for turn in range(self.rounds):
+            pairs = self.stars(self.open_buckets(members, known), classes, turn)
+            pairs = stored(self.plausible(pairs, classes), "stars")
+            links = stored(links.union(self.linked(documents, pairs, classes)), "links")
+            known = stored(components(links), "known")
+        rest = stored(self.searched(self.open_buckets(members, known), classes), "rest")
+        more = stored(self.linked(documents, rest, classes), "links")
+        final = known if more.isEmpty() else components(links.union(more))
         named = (
             classes.join(final, F.col("cls") == F.col("vertex"), "left")
             .select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
@@ -345,7 +372,7 @@ class SignatureJoin:
         )
 
     def open_buckets(self, members: DataFrame, known: DataFrame) -> DataFrame:
-        """(token, cls, component, trees) of buckets that hold several components, one of those with equal members."""
+        """(token, cls, component, size) of buckets that hold several components, one of those with equal members."""
         now = members.join(known, F.col("cls") == F.col("vertex"), "left").select(
             "token", "cls", F.coalesce("component", "cls").alias("component")
         )
@@ -359,20 +386,38 @@ class SignatureJoin:
             .filter("lo < hi")
             .groupBy("size", "sum", "xor")
             .agg(F.min("token").alias("t"))
-            .select("t", F.ceil(F.col("size") / self.block).cast("int").alias("trees"))
+            .select("t", "size")
         )
-        return now.join(buckets, F.col("token") == F.col("t")).select("token", "cls", "component", "trees")
+        return stored(now.join(buckets, F.col("token") == F.col("t")).select("token", "cls", "component", "size"), "open")
+
+    def stars(self, buckets: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+        """Pairs (a, b) of classes of different components: each member with the pivot of its bucket."""
+        traits = classes.select(F.col("cls").alias("c"), "n", "central")
+        placed = buckets.join(traits, F.col("cls") == F.col("c")).drop("c")
+        colour = F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(2 * self.colours))
+        order = F.when(colour < self.colours, F.col("central")).otherwise(F.xxhash64("cls", colour))
+        pivots = placed.groupBy("token").agg(
+            F.max(F.struct(order.alias("order"), "cls", "n", "component")).alias("pivot")
+        )
+        least, most = F.least("n", "pivot.n"), F.greatest("n", "pivot.n")
+        return (
+            placed.join(pivots, "token")
+            .filter((F.col("component") != F.col("pivot.component")) & (100 * least >= self.percent * most))
+            .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b"))
+            .distinct()
+        )
 
-    def searched(self, buckets: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+    def searched(self, buckets: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs (a, b) of different components that the trees cannot rule out.
 
         A bucket with more classes than a block is dealt to several trees by hash; a task gets two at most.
         """
         part, fan = self.percent, self.fan
         signed = classes.select(F.col("cls").alias("c"), F.col("n").cast("long").alias("n"), "bitmap")
-        own = F.pmod(F.xxhash64("cls"), F.col("trees"))
+        trees = F.ceil(F.col("size") / self.block).cast("int")
         dealt = (
-            buckets.withColumn("own", own)
+            buckets.withColumn("trees", trees)
+            .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("trees")))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
             .select(
                 "token", "cls", "component", F.col("own").cast("int").alias("own"),
@@ -450,11 +495,28 @@ def _sketch_rows(total: np.ndarray, starts: range) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(starts), pa.int64()), pa.array(blobs, pa.binary())], names=["at", "counts"])
 
 
-def _rows(ids, cls, n, maps, token) -> pa.RecordBatch:
-    def column(x, kind):
-        return pa.nulls(len(cls), kind) if x is None else x
+def _rows(cls, ids=None, n=None, central=None, maps=None, token=None) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "n": pa.int32(), "central": pa.int64(), "bitmap": pa.binary(), "token": pa.int64()}
+    given = dict(zip(kinds, (ids, n, central, maps, token), strict=True))
+    columns = {k: pa.nulls(len(cls), kinds[k]) if v is None else v for k, v in given.items()} | {"cls": cls}
+    order = ["doc_id", "cls", "n", "central", "bitmap", "token"]
+    return pa.RecordBatch.from_arrays([columns[k] for k in order], names=order)
+
+
+def representatives(documents: DataFrame, join: SignatureJoin) -> DataFrame:
+    """The documents of which each is the smallest doc_id of its component; columns unchanged.
+
+    Rows that repeat a doc_id and its text become one. A doc_id with several texts goes if one of them
+    links to a smaller doc_id. Rows without doc_id stay.
+    """
+    found = stored(join.join(documents), "components")
+    dropped = found.filter("component_id != doc_id").select(F.col("doc_id").alias("other_id")).distinct()
+    repeated = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("other_id"))
+    dropped, repeated = stored(dropped, "dropped"), stored(repeated, "repeated")
+
+    def ids(frame: DataFrame) -> tuple[DataFrame, object]:
+        return broadcast_if_small(frame), F.col("doc_id").cast("long") == F.col("other_id")
 
-    return pa.RecordBatch.from_arrays(
-        [column(ids, pa.int64()), cls, n, column(maps, pa.binary()), column(token, pa.int64())],
-        names=["doc_id", "cls", "n", "bitmap", "token"],
-    )
+    kept = documents.join(*ids(dropped), "left_anti")
+    single = kept.join(*ids(repeated), "left_anti")
+    return single.unionByName(kept.join(*ids(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
