@@ -1,4 +1,8 @@
-"""Cleans a corpus and encodes what is left; each stage calls one operator."""
+"""Cleans a corpus and encodes what is left; each stage calls one operator of the llm subpackage.
+
+Each stage takes the documents that its predecessor kept, with all their columns, and the
+folder of the other tables. All but the last return rows and columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resolver_audit.llm import toxicity, weak_quality
-from resolver_audit.llm.queries import held_out, table
+from resolver_audit.llm.decontamination import Decontamination
+from resolver_audit.llm.queries import held_out, table, tokenizer_path
+from resolver_audit.llm.sentencepiece_lattice import SentencePieceLattice
+from resolver_audit.llm.signature_join import SignatureJoin, representatives
 from resolver_audit.llm.storage import ship_code, stored
 
 
@@ -22,9 +29,32 @@ def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.kept(docs, toxicity.ToxicityTrainer().fit(docs, labels))
 
 
-STAGES = [("quality", quality), ("toxicity", nontoxic)]
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id."""
+    ship_code(spark)
+    return representatives(docs, SignatureJoin())
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return Decontamination().kept(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and ids of every document."""
+    ship_code(spark)
+    return SentencePieceLattice(tokenizer_path("piece_bpe_32k.model")).encoded(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("toxicity", nontoxic),
+    ("n-gram Jaccard join", distinct),
+    ("benchmark decontamination", decontaminated),
+    ("SentencePiece encoding", encoded),
+]
 
-#: Learned models cannot be written in SQL.
+#: Learned models and merges cannot be written in SQL.
 ORACLE_SQL = None
 
 
@@ -32,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
