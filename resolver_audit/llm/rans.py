@@ -124,7 +124,8 @@ def decode_block(data: bytes, table: Table) -> np.ndarray:
         x[low] = (x[low] << shift) | words[at : at + len(low)]
         at += len(low)
         state[: len(x)] = x
-    if zlib.crc32(out.astype("<u4").tobytes()) != crc:
+    # Every lane ends where its encoding began.
+    if at != n_words or (state != _LOW).any() or zlib.crc32(out.astype("<u4").tobytes()) != crc:
         raise ValueError("checksum of a block does not match")
     return out
 
@@ -227,7 +228,7 @@ class WordEncoder:
     remembered up to a bound.
     """
 
-    MOST = 400_000
+    MOST = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -304,7 +305,7 @@ class TokenFiles:
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part_no, seq = TaskContext.get().partitionId(), 0
             for batch in batches:
-                for part in chunks(batch):
+                for part in chunks(batch, limit=8 << 20):
                     n = part.num_rows
                     offsets, ids = encoder(path).encode(part.column("text"))
                     ids = np.insert(ids, offsets[1:], end).astype("<u4" if len(ids) and ids.max() > 0xFFFF else "<u2")
