@@ -118,7 +118,7 @@ class VpTree:
             while len(who):
                 if self.vantage[node] < 0:
                     lo, hi = self.first[node], self.last[node]
-                    best.add(who, products(queries[who], self.vectors[lo:hi]), self.ids[lo:hi])
+                    best.add(who, queries[who], self.vectors[lo:hi], self.ids[lo:hi])
                     return
                 v = self.vantage[node]
                 distance = np.sqrt(np.maximum(0, norms[who] - 2 * products(queries[who], self.vectors[v : v + 1])[:, 0]))
@@ -154,18 +154,26 @@ class Best:
     def worst(self, who: np.ndarray) -> np.ndarray:
         return np.where(np.isfinite(self.scores[who, -1]), self.scores[who, -1], -1e300)
 
-    def add(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.where(ids[None, :] == self.query_ids[who, None], -np.inf, scores)
-        better = (scores >= self.scores[who, -1:]).any(axis=1)
-        who, scores = who[better], scores[better]
-        if not len(who):
+    def add(self, who: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """Takes over what is better; a fast product finds what may be, the exact one decides."""
+        rough = queries @ vectors.T
+        hair = 1e-9 * (1 + np.abs(rough).max(initial=0.0))
+        q, v = np.nonzero((rough >= self.worst(who)[:, None] - hair) & (ids[None, :] != self.query_ids[who, None]))
+        if not len(q):
             return
-        all_scores = np.hstack([self.scores[who], scores])
-        own = np.where(np.isfinite(scores), ids[None, :], np.iinfo(np.int64).max)
-        all_ids = np.hstack([self.ids[who], own])
-        order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
-        self.scores[who] = np.take_along_axis(all_scores, order, axis=1)
-        self.ids[who] = np.take_along_axis(all_ids, order, axis=1)
+        exact = np.zeros(len(q))
+        for i in range(vectors.shape[1]):
+            exact += queries[q, i] * vectors[v, i]
+        rows, count = np.unique(q, return_counts=True)
+        place = np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count)
+        line = np.repeat(np.arange(len(rows)), count)
+        scores = np.full((len(rows), self.k + int(count.max())), -np.inf)
+        names = np.full(scores.shape, np.iinfo(np.int64).max)
+        scores[:, : self.k], names[:, : self.k] = self.scores[who[rows]], self.ids[who[rows]]
+        scores[line, self.k + place], names[line, self.k + place] = exact, ids[v]
+        order = np.lexsort((names, -scores), axis=1)[:, : self.k]
+        self.scores[who[rows]] = np.take_along_axis(scores, order, axis=1)
+        self.ids[who[rows]] = np.take_along_axis(names, order, axis=1)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, i = np.nonzero(np.isfinite(self.scores))
@@ -179,7 +187,7 @@ class VpSearch:
 
     k: int = 20
     factor: float = 1.0
-    shard: int = 8192
+    shard: int = 4096
     block: int = 512
     leaf: int = 128
 
