@@ -1,12 +1,16 @@
 """Benchmark decontamination with SimHash windows and multi-index Hamming search.
 
-Each benchmark item falls in a class of window lengths a little below its own length. All
-windows of such a length inside the item are indexed by a 64-bit SimHash of their words.
-Documents are read in windows of the same lengths, at steps small enough that at least one
-window of any item-sized passage starts like an indexed one. A fingerprint within the radius
-of an indexed one agrees with it on at least one of radius + 1 bit blocks, so looking up
-every block finds all of them. A found window is laid over the item at its own offset and
-the item-sized passage is verified by weighted Jaccard similarity of five-word shingles.
+Each benchmark item falls in two classes of window lengths: a long one a little below its own
+length, and a short one that fits into the words an accepted near copy leaves unchanged
+between its edits. All windows of such a length inside the item are indexed by a 64-bit
+SimHash of their words. Documents are read in windows of the same lengths that start at every
+word. A fingerprint within the radius of an indexed one agrees with it on at least one of
+radius + 1 bit blocks, so looking up every block finds all of them. A found window is laid
+over the item at its own offset, and the item-sized passages that start there or up to a
+quarter of the item away are verified by weighted Jaccard similarity of five-word shingles.
+
+Windows and passages around which the weights of all shingles known from items fall short of
+the similarity are not read: no verification could accept them, so nothing is lost.
 
 Defined results: null and empty texts and items match nothing. An item of fewer than five
 words is one shingle. Repeated rows of a document match alike; rows without doc_id keep a
@@ -34,14 +38,24 @@ _CHUNK = 1 << 20
 
 def window_length(n_words: int) -> int:
     """The class of an item: all of it up to 12 words, else a step of a geometric ladder below 0.85 of it."""
-    if n_words <= 12:
-        return n_words
-    step = 12
-    while (larger := step * 5 // 4) <= 0.85 * n_words:
+    return n_words if n_words <= 12 else ladder(0.85 * n_words)
+
+
+def ladder(limit: float) -> int:
+    """The largest step of the ladder up to the limit, five at least."""
+    step = SHINGLE
+    while (larger := step * 5 // 4) <= limit:
         step = larger
     return step
 
 
+def window_lengths(n_words: int) -> set[int]:
+    """Both classes of an item. Edits that keep a similarity of 0.8 leave a run of the short one's length untouched."""
+    if n_words <= SHINGLE:
+        return {n_words}
+    return {window_length(n_words), ladder(min(0.45 * n_words, 22))}
+
+
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """Running counts of ones for each of 64 bits, modulo 2**16; windows are shorter than that."""
     counts = np.zeros((len(hashes) + 1, 64), dtype=np.uint16)
@@ -64,10 +78,14 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Band:
-    """Indexed windows of one length. For each bit block: fingerprints ordered by block value."""
+    """Indexed windows of one length. For each bit block: fingerprints ordered by block value.
+
+    longest, lightest: most words and least weight of an item in the class.
+    """
 
     length: int
-    step: int
+    longest: int
+    lightest: float
     prints: np.ndarray
     item: np.ndarray
     offset: np.ndarray
@@ -100,6 +118,21 @@ class Index:
     weight: dict[int, float]
     unseen: float
     bands: list[Band]
+    totals: np.ndarray
+    grams: np.ndarray
+    gram_weights: np.ndarray
+    marked: np.ndarray
+
+    def shared(self, words: Words, size: int) -> np.ndarray:
+        """The weight of the shingle of size words that starts at each word; 0 where no item has it."""
+        weights = np.zeros(len(words.hashes))
+        grams = rolling(words.hashes, size)
+        at = np.flatnonzero(self.marked[(grams & np.uint64(len(self.marked) - 1)).astype(np.int64)])
+        at = at[at + size <= np.repeat(words.first[1:], words.counts)[at]]
+        place = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
+        same = self.grams[place] == grams[at]
+        weights[at[same]] = self.gram_weights[place[same]]
+        return weights
 
 
 def index_of(items: list[tuple[int | None, str | None]], radius: int, total: int) -> Index:
@@ -114,7 +147,12 @@ def index_of(items: list[tuple[int | None, str | None]], radius: int, total: int
     classes: dict[int, list[int]] = {}
     for i, h in enumerate(hashes):
         if len(h):
-            classes.setdefault(window_length(len(h)), []).append(i)
+            for length in window_lengths(len(h)):
+                classes.setdefault(length, []).append(i)
+    totals = np.array([sum(own.values()) for own in sets])
+    known = np.array(sorted(weight), dtype=np.uint64)
+    marked = np.zeros(1 << (16 * len(known)).bit_length(), dtype=bool)
+    marked[(known & np.uint64(len(marked) - 1)).astype(np.int64)] = True
     bands = []
     for length, members in sorted(classes.items()):
         prints, item, offset = [], [], []
@@ -131,10 +169,11 @@ def index_of(items: list[tuple[int | None, str | None]], radius: int, total: int
             order = np.argsort(value, kind="stable")
             begin = np.searchsorted(value[order], np.arange((1 << int(hi - lo)) + 1))
             blocks.append((int(lo), int(hi - lo), begin, order))
-        step = min(len(hashes[i]) for i in members) - length + 1
-        bands.append(Band(length, step, p, np.concatenate(item), np.concatenate(offset), blocks))
+        longest, lightest = max(len(hashes[i]) for i in members), float(totals[members].min())
+        bands.append(Band(length, longest, lightest, p, np.concatenate(item), np.concatenate(offset), blocks))
     lengths = np.array([len(h) for h in hashes], dtype=np.int64)
-    return Index([i for i, _ in items], lengths, sets, weight, unseen, bands)
+    gram_weights = np.array([weight[int(g)] for g in known], dtype=float)
+    return Index([i for i, _ in items], lengths, sets, weight, unseen, bands, totals, known, gram_weights, marked)
 
 
 def similarity(index: Index, item: int, window: np.ndarray) -> float:
@@ -152,30 +191,62 @@ def similarity(index: Index, item: int, window: np.ndarray) -> float:
 
 def matches(words: Words, index: Index, radius: int, least: float) -> Iterator[tuple[int, int, int, float]]:
     """(text, item, first word, similarity) of the verified places in the texts."""
-    hashes = words.hashes
-    if not len(hashes):
+    if not len(words.hashes) or not index.bands:
         return
-    counts = bit_counts(hashes)
-    place = np.arange(len(hashes)) - np.repeat(words.first[:-1], words.counts)
-    left = np.repeat(words.first[1:], words.counts) - np.arange(len(hashes))
+    sizes = {min(SHINGLE, band.length) for band in index.bands}
+    weights = {size: index.shared(words, size) for size in sizes}
     doc = words.doc_of_word()
+    live = np.zeros(len(words.first) - 1, dtype=bool)
+    for known in weights.values():
+        live[doc[known > 0]] = True
+    read = live[doc]
+    if not read.any():
+        return
+    # From here on, places count the words of texts with a shingle of some item.
+    hashes, doc = words.hashes[read], doc[read]
+    n = len(hashes)
+    first = np.concatenate([[0], np.cumsum(np.where(live, words.counts, 0))])
+    begin, end = first[doc], first[doc + 1]
+    mass = {size: np.concatenate([[0], np.cumsum(known[read])]) for size, known in weights.items()}
+    strange = {size: np.concatenate([[0], np.cumsum(known[read] == 0)]) for size, known in weights.items()}
+    # Sums of the same weights in another order differ by rounding.
+    enough = least - 1e-6
+    counts = bit_counts(hashes)
+    here = np.arange(n)
     tried = set()
     for band in index.bands:
-        starts = np.flatnonzero((place % band.step == 0) & (left >= band.length))
+        size = min(SHINGLE, band.length)
+        known = mass[size]
+        lo = np.maximum(here - (band.longest - band.length), begin)
+        hi = np.minimum(here + band.longest, end)
+        starts = np.flatnonzero((known[hi] - known[lo] >= enough * band.lightest) & (end - here >= band.length))
         if not len(starts):
             continue
         window, found = band.near(simhashes(counts, starts, band.length), radius)
-        for start, which in zip(starts[window].tolist(), found.tolist(), strict=True):
-            item = int(band.item[which])
-            text = int(doc[start])
-            lo = max(int(words.first[text]), start - int(band.offset[which]))
-            hi = min(int(words.first[text + 1]), lo + int(index.lengths[item]))
-            if (item, lo) in tried:
+        item, at = band.item[found], starts[window]
+        pairs = np.unique(item * n + np.maximum(at - band.offset[found], begin[at]))
+        item, lo = pairs // n, pairs % n
+        reach = index.lengths[item] // 4
+        item, at = np.repeat(item, 2 * reach + 1), np.repeat(lo, 2 * reach + 1)
+        ends = np.cumsum(2 * reach + 1)
+        lo = at + np.arange(len(at)) - np.repeat(ends - reach - 1, 2 * reach + 1)
+        inside = (lo >= begin[at]) & (lo < end[at])
+        pairs = np.unique(item[inside] * n + lo[inside])
+        item, lo = pairs // n, pairs % n
+        hi = np.minimum(lo + index.lengths[item], end[lo])
+        # The most similarity that the weights of the passage's shingles allow.
+        last = np.maximum(hi - size + 1, lo)
+        own, other = index.totals[item], known[last] - known[lo]
+        both = np.minimum(own, other)
+        other = other + index.unseen * (strange[size][last] - strange[size][lo])
+        heavy = both >= enough * (own + other - both)
+        for i, a, b in zip(item[heavy].tolist(), lo[heavy].tolist(), hi[heavy].tolist(), strict=True):
+            if (i, a) in tried:
                 continue
-            tried.add((item, lo))
-            value = similarity(index, item, hashes[lo:hi])
+            tried.add((i, a))
+            value = similarity(index, i, hashes[a:b])
             if value >= least:
-                yield text, item, lo - int(words.first[text]), value
+                yield int(doc[a]), i, a - int(begin[a]), value
 
 
 @dataclass(frozen=True)

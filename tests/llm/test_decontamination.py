@@ -96,3 +96,47 @@ def test_rolling_fingerprints():
     for start in (0, 7, 80):
         bits = [sum((int(x) >> b) & 1 for x in h[start : start + 15]) > 7 for b in range(64)]
         assert int(simhashes(counts, np.array([start]), 15)[0]) == sum(1 << b for b, on in enumerate(bits) if on)
+
+
+def edited(words, kind, rng):
+    """Near copies: a word changed, dropped or put in around the middle, or words cut off an end."""
+    n = len(words)
+    at = int(n * rng.uniform(0.3, 0.7))
+    cut = int(rng.integers(1, max(2, n // 8)))
+    return {
+        "changed": [*words[:at], "changed", *words[at + 1 :]],
+        "dropped": words[:at] + words[at + 1 :],
+        "put in": [*words[:at], "added", *words[at:]],
+        "two changed": [*words[: n // 4], "changed", *words[n // 4 + 1 : 3 * n // 4], "changed", *words[3 * n // 4 + 1 :]],
+        "cut start": words[cut:],
+        "cut end": words[:-cut],
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["changed", "dropped", "put in", "two changed", "cut start", "cut end"])
+def test_near_copies_against_verification_at_every_word(kind):
+    import pyarrow as pa
+
+    from resolver_audit.llm.decontamination import matches, similarity
+    from resolver_audit.llm.words import ALNUM, split_words
+
+    rng = np.random.default_rng(len(kind))
+    vocabulary = [f"w{i}" for i in range(3000)]
+    lengths = [int(n) for n in rng.integers(6, 160, 60)] + [49, 50, 60, 97, 120] * 4
+    items = [[str(w) for w in rng.choice(vocabulary, n)] for n in lengths]
+    index = index_of([(i, " ".join(w)) for i, w in enumerate(items)], 4, len(items))
+    texts = []
+    for i, item in enumerate(items):
+        before, after = ([str(w) for w in rng.choice(vocabulary, rng.integers(0, 40))] for _ in range(2))
+        if i % 3 == 0:
+            before, after = ([], after) if kind == "cut start" else (before, [])
+        texts.append(" ".join([*before, *edited(item, kind, rng), *after]))
+    words = split_words(pa.array(texts), ALNUM)
+    expected = set()
+    for doc, item in enumerate(items):
+        lo, hi = words.first[doc : doc + 2]
+        places = (similarity(index, doc, words.hashes[a : min(a + len(item), hi)]) for a in range(lo, hi))
+        if max(places) >= 0.8:
+            expected.add((doc, doc))
+    assert len(expected) >= 20
+    assert {(text, item) for text, item, *_ in matches(words, index, 4, 0.8)} == expected
