@@ -7,9 +7,12 @@ verb of saying, and the target transducer marks those aimed at somebody. The com
 emits one pattern for each insult or threat, and each pattern has a weight; a document's
 score is the logistic of the weighted patterns of its matched clauses.
 
-Seed words are fixed; more insults and all weights are learned from labelled documents. A
-word counts as an insult when it stands in many different contexts of toxic documents and
-hardly in clean ones; contexts are counted once, so copies of one text teach nothing.
+Seed words are fixed; more insults and all weights are learned from labelled documents. Words
+and beginnings of words are weighed by the smoothed log-odds of their contexts in toxic
+documents against clean ones, and count as learned insults when these are high and surely so; inflected
+forms that are rare each are learned by their beginning. Learned ones are a class of their own,
+with their own weights, so that they do not weaken the seeds'. Contexts are counted once, so copies
+of one text teach nothing.
 
 Defined results: null and empty texts, and texts without a match, get the score of the bias.
 Every row gets a score by its own text; doc_id and other columns have no part in it. Without
@@ -24,14 +27,14 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from resolver_audit.llm.storage import stored
 from resolver_audit.llm.words import ALNUM, Words, chunks, mix, split_words
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, LEARNED = range(7)
 
 #: Seed words of the classes.
 LEXICON = {
@@ -43,6 +46,9 @@ LEXICON = {
     REPORT: "said says say wrote writes claimed claims quoted called sagte schrieb dijo escribió disait écrit",
 }
 
+#: Characters of the beginnings of words that are learned.
+STEMS = range(3, 9)
+
 #: Bytes that end a clause.
 _CLAUSE_END = np.zeros(256, dtype=bool)
 _CLAUSE_END[list(b".!?;\n")] = True
@@ -70,8 +76,8 @@ def compose(first: Transducer, then: Transducer, symbols: list[str]) -> Transduc
     return Transducer(first.n_states * then.n_states, arcs)
 
 
-SYMBOLS = ["other", "insult", "threat", "target", "negation", "report"]
-PATTERNS = [f"{mark}{what}" for what in ("insult", "threat") for mark in ("", "aimed ", "negated ", "reported ")]
+SYMBOLS = ["other", "insult", "threat", "target", "negation", "report", "learned"]
+PATTERNS = [f"{mark}{what}" for what in ("insult", "threat", "learned") for mark in ("", "aimed ", "negated ", "reported ")]
 
 
 def within(trigger: str, reach: int, mark: str) -> Transducer:
@@ -79,7 +85,7 @@ def within(trigger: str, reach: int, mark: str) -> Transducer:
     arcs: dict[tuple[int, str], tuple[str, int]] = {}
     for left in range(reach + 1):
         for symbol in (*SYMBOLS, *PATTERNS):
-            out = f"{mark} {symbol}" if left and symbol in ("insult", "threat") else symbol
+            out = f"{mark} {symbol}" if left and symbol in ("insult", "threat", "learned") else symbol
             arcs[left, symbol] = (out, reach if symbol == trigger else max(0, left - 1))
     return Transducer(reach + 1, arcs)
 
@@ -92,11 +98,12 @@ def grammar() -> Transducer:
 
 @dataclass
 class ToxicityModel:
-    """words: hash to class; weights: one per pattern; bias."""
+    """words: hash to class; weights: one per pattern; bias; stems: hashes of beginnings of insults."""
 
     words: dict[int, int]
     weights: list[float]
     bias: float
+    stems: frozenset[int] = frozenset()
     _tables: tuple | None = field(default=None, repr=False)
 
     def tables(self) -> tuple:
@@ -123,13 +130,18 @@ class ToxicityModel:
             return found
         at = np.minimum(np.searchsorted(hashes, words.hashes), len(hashes) - 1)
         kind = np.where(hashes[at] == words.hashes, classes[at], OTHER)
+        if self.stems:
+            stems = np.array(sorted(self.stems), dtype=np.uint64)
+            for begins in beginnings(words):
+                at = np.minimum(np.searchsorted(stems, begins), len(stems) - 1)
+                kind[(stems[at] == begins) & (kind == OTHER)] = LEARNED
         ends = np.concatenate([[0], np.cumsum(_CLAUSE_END[words.data])])
         doc = words.doc_of_word()
         new = np.ones(len(kind), dtype=bool)
         new[1:] = (np.diff(ends[words.start]) > 0) | (np.diff(doc) > 0)
         begins = np.flatnonzero(new)
         clause = np.cumsum(new) - 1
-        for c in np.unique(clause[(kind == INSULT) | (kind == THREAT)]):
+        for c in np.unique(clause[np.isin(kind, (INSULT, THREAT, LEARNED))]):
             lo = begins[c]
             hi = begins[c + 1] if c + 1 < len(begins) else len(kind)
             state = 0
@@ -148,6 +160,21 @@ def word_hash(word: str) -> int:
     return int(split_words(pa.array([word]), ALNUM).hashes[0])
 
 
+def stem_ends(words: Words) -> Iterator[np.ndarray]:
+    """For each length of STEMS, the end of each word's beginning; the word's own end where it is shorter."""
+    letters = np.flatnonzero((words.data & 0xC0) != 0x80)
+    edges = np.append(letters, len(words.data))
+    at = np.searchsorted(letters, words.start)
+    for length in STEMS:
+        yield np.minimum(edges[np.minimum(at + length, len(letters))], words.end)
+
+
+def beginnings(words: Words) -> Iterator[np.ndarray]:
+    """For each length of STEMS, the hash of each word's beginning; that of the word where it is shorter."""
+    for end in stem_ends(words):
+        yield Words(words.first, words.start, end, words.data).hashes
+
+
 def seed_words() -> dict[int, int]:
     return {word_hash(word): kind for kind, words in LEXICON.items() for word in words.split()}
 
@@ -155,12 +182,14 @@ def seed_words() -> dict[int, int]:
 @dataclass(frozen=True)
 class ToxicityTrainer:
     """sample: about so many labelled documents teach at most, chosen by a hash of doc_id.
-    contexts, odds: an insult stands in so many toxic contexts, at least so many times as
-    often as in clean ones. prior: strength of the starting weights."""
+    odds, sure: the odds of an insult's contexts in toxic documents are at least so many times
+    those in clean ones, and their logarithm lies so many standard errors above 0. smooth: contexts
+    of either kind added to each count. prior: strength of the starting weights."""
 
     sample: int = 20_000
-    contexts: int = 10
     odds: float = 20.0
+    sure: float = 3.0
+    smooth: float = 0.5
     prior: float = 0.5
 
     def fit(self, documents: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -178,23 +207,33 @@ class ToxicityTrainer:
             .select("text", F.col("toxic").cast("int").alias("toxic")),
             "toxicity-sample",
         )
-        context = "word long, context long, toxic int"
+        context = "word long, stem string, context long, toxic int"
         n = F.count(F.lit(1))
-        rows = (
+        rows = stored(
             taught.mapInArrow(_contexts, context)
-            .groupBy("word", "context")
+            .groupBy("word", "stem", "context")
             .agg(F.max("toxic").alias("toxic"))
-            .groupBy("word")
-            .agg(F.sum("toxic").alias("bad"), n.alias("n"))
+            .groupBy("word", "stem")
+            .agg(F.sum("toxic").alias("bad"), n.alias("n")),
+            "toxicity-words",
+        )
+        totals = rows.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+        length = F.explode(F.sequence(F.lit(STEMS[0]), F.least(F.lit(STEMS[-1]), F.length("stem"))))
+        stems = (
+            rows.filter(F.length("stem") >= STEMS[0])
+            .select("stem", "bad", "n", length.alias("k"))
+            .groupBy(F.expr("substring(stem, 1, k)").alias("stem"))
+            .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
         )
-        bad = F.col("bad")
-        # Words over these bounds are a fixed share of the bounded sample at most.
-        insults = rows.filter((bad >= self.contexts) & (bad >= self.odds * (F.col("n") - bad)))
+        insult = self._insult(totals["bad"] or 0, totals["n"] or 0)
         words = seed_words()
-        for row in insults.select("word").collect():
-            words.setdefault(row["word"] & 0xFFFFFFFFFFFFFFFF, INSULT)
-        start = [2.0, 2.5, 0.5, 0.5] * 2
-        model = ToxicityModel(words, start, -2.0)
+        # Words and beginnings over these bounds are a fixed share of the bounded sample at most.
+        for row in rows.filter(insult).select("word").collect():
+            words.setdefault(row["word"] & 0xFFFFFFFFFFFFFFFF, LEARNED)
+        begins = [row["stem"] for row in stems.filter(insult).select("stem").collect()]
+        stem_hashes = split_words(pa.array(begins, pa.string()), ALNUM).hashes
+        start = [2.0, 2.5, 0.5, 0.5] * 3
+        model = ToxicityModel(words, start, -2.0, frozenset(stem_hashes.tolist()))
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -213,6 +252,12 @@ class ToxicityTrainer:
         model.weights, model.bias = fitted(np.log1p(x), y, weight, np.array([*start, -2.0]), self.prior)
         return model
 
+    def _insult(self, bad: int, n: int) -> Column:
+        """Of rows with bad toxic ones of n contexts, among so many in all, those that are insults."""
+        a, b = F.col("bad") + self.smooth, F.col("n") - F.col("bad") + self.smooth
+        log_odds = F.log(a / (bad - a + 2 * self.smooth)) - F.log(b / (n - bad - b + 2 * self.smooth))
+        return (log_odds >= float(np.log(self.odds))) & (log_odds >= self.sure * F.sqrt(1 / a + 1 / b))
+
 
 def fitted(x: np.ndarray, y: np.ndarray, n: np.ndarray, start: np.ndarray, prior: float) -> tuple[list[float], float]:
     """Logistic regression by Newton steps, pulled towards the starting weights."""
@@ -238,9 +283,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = words.hashes
             before, after = np.roll(h, 1), np.roll(h, -1)
             around = mix(before * np.uint64(3) + mix(after))
-            rows = np.rec.fromarrays([h.view(np.int64), around.view(np.int64), toxic[words.doc_of_word()]])
+            *_, longest = stem_ends(words)
+            data = words.data.tobytes()
+            stem = [data[lo:hi].decode("utf-8", "replace") for lo, hi in zip(words.start.tolist(), longest.tolist(), strict=True)]
+            columns = [h.view(np.int64), pa.array(stem, pa.string()), around.view(np.int64), toxic[words.doc_of_word()]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(rows[n])) for n in rows.dtype.names], names=["word", "context", "toxic"]
+                [pa.array(c) for c in columns], names=["word", "stem", "context", "toxic"]
             )
 
 

@@ -85,3 +85,21 @@ def test_odd_texts_and_no_labels(odd, nothing, untaught):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert kept(odd, model).columns == odd.columns and kept(odd, model).count() == len(rows)
     assert scored(nothing, ToxicityTrainer().fit(nothing, none), "score").count() == 0
+
+
+def test_held_out_recall_in_every_language(spark):
+    folder = "/root/testdata/sf0.1"
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = ToxicityTrainer().fit(documents, labels.filter(~held_out(F.col("doc_id"))))
+    rows = scored(documents.select("doc_id", "text", "lang"), model, "score").join(
+        labels.filter(held_out(F.col("doc_id"))), "doc_id"
+    )
+    found = {}
+    for row in rows.collect():
+        found.setdefault((row.lang, row.toxic), []).append(row.score >= 0.5)
+    for lang in ("en", "de", "fr", "es"):
+        toxic, clean = found[lang, 1], found[lang, 0]
+        print(lang, sum(toxic), len(toxic), sum(clean), len(clean))
+        assert sum(toxic) >= 0.8 * len(toxic), lang
+        assert sum(clean) <= 0.02 * len(clean), lang
