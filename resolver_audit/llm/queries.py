@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resolver_audit.llm import toxicity, weak_quality
+from resolver_audit.llm.cross_tokenizer import CrossTokenizer
 from resolver_audit.llm.decontamination import Decontamination
 from resolver_audit.llm.license_scan import LicenseScan
 from resolver_audit.llm.rans import TokenFiles
@@ -115,3 +116,9 @@ def op10_weak_quality(spark, sf_dir):
     return weak_quality.scored(documents, model, "score").select(
         "doc_id", "score", (F.col("score") >= 0.5).alias("kept")
     )
+
+
+@query
+def op11_cross_tokenizer(spark, sf_dir):
+    aligner = CrossTokenizer(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return aligner.align(table(spark, sf_dir, "documents"))
