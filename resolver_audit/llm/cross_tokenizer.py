@@ -15,8 +15,9 @@ chunk gets its own pairs' totals back. A pair stands in a chunk once, so no pair
 often it occurs; a B id has at most as many pairs as A has ids; documents meet their totals chunk
 by chunk, and a chunk is bounded by its bytes (one longer text is a chunk of its own).
 
-Long texts are encoded in parts that are cut at single blanks between ASCII letters or digits,
-which no token of either tokenizer crosses.
+No token of either tokenizer crosses a single blank between characters that are no white space.
+So texts are cut there: into parts, which bound the arrays of a long text, and into words, of
+which each distinct one is encoded once.
 
 Defined results: texts null or empty, or which one of the tokenizers does not give back byte for
 byte (say, with U+2581 in them), have no tokens: zeros and an empty digest. Each row counts and
@@ -43,7 +44,12 @@ from resolver_audit.llm.storage import stored
 #: Characters of text that are given to the tokenizers at once.
 PART = 1 << 16
 BATCH = 1 << 18
-_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: Distinct words whose ids a task remembers.
+WORDS = 1 << 19
+#: Words that are encoded as one text.
+LOT = 1 << 13
+_CUT = re.compile(r" (?=\S)(?<=\S )")
+_ODD = re.compile(r"\s | \s")
 
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 ENCODED = f"chunk long, {DOCUMENT}, groups_sha256 string, at array<int>, times array<int>, pair array<long>, n array<long>"
@@ -112,6 +118,12 @@ class Tokens:
         before = np.concatenate([[0], total])[self.first[:-1]]
         return total + np.repeat(base - before, np.diff(self.first))
 
+    def without(self, dropped: np.ndarray) -> Tokens:
+        """The dropped documents are left without tokens."""
+        size = np.diff(self.first)
+        kept = np.where(dropped, 0, size)
+        return Tokens(self.ids[np.repeat(~dropped, size)], np.concatenate([[0], np.cumsum(kept)]))
+
 
 def galloped(keys: np.ndarray, ends: np.ndarray, guess: np.ndarray) -> np.ndarray:
     """The first place in ends that is not below each key; every key has one.
@@ -189,7 +201,17 @@ def align(ends_a: np.ndarray, first_a: np.ndarray, ends_b: np.ndarray, first_b:
     return Alignment(np.concatenate([la, ma]), np.concatenate([lb, mb]), common_a[order], common_b[order])
 
 
-def group_texts(a: Tokens, b: Tokens, aligned: Alignment) -> tuple[np.ndarray, np.ndarray]:
+class Decimals:
+    """The decimal digits of the numbers below n, one row of bytes each with room for a separator."""
+
+    def __init__(self, n: int):
+        words = [str(i).encode() for i in range(n)]
+        width = len(words[-1]) + 1
+        self.text = np.frombuffer(b"".join(w.ljust(width) for w in words), dtype=np.uint8).reshape(n, width)
+        self.size = np.array([len(w) for w in words])
+
+
+def group_texts(a: Tokens, b: Tokens, aligned: Alignment, table: Decimals) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the documents' groups as ``a1,a2|b1;a3|b2,b3``, each document closed by ``;``, and where they start."""
     ends_a, ends_b = aligned.common_a + 1, aligned.common_b + 1
     size_a, size_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
@@ -202,115 +224,184 @@ def group_texts(a: Tokens, b: Tokens, aligned: Alignment) -> tuple[np.ndarray, n
     after = np.full(total, ord(","), dtype=np.uint8)
     after[ends_a + ends_b - size_b - 1] = ord("|")
     after[ends_a + ends_b - 1] = ord(";")
-    digits = np.ones(total, dtype=np.int64)
-    for power in (10, 100, 1000, 10_000, 100_000, 1_000_000):
-        digits += ids >= power
-    stop = np.cumsum(digits + 1)
-    out = np.empty(int(stop[-1]) if total else 0, dtype=np.uint8)
-    out[stop - 1] = after
-    rest, at, place = ids, stop - 2, np.arange(total)
-    while len(place):
-        rest, digit = np.divmod(rest, 10)
-        out[at] = digit + ord("0")
-        more = rest > 0
-        rest, at, place = rest[more], at[more] - 1, place[more]
+    rows = table.text[ids]
+    size = table.size[ids]
+    rows[np.arange(total), size] = after
+    out = rows[np.arange(rows.shape[1]) <= size[:, None]]
+    stop = np.cumsum(size + 1)
     return out, np.concatenate([[0], stop])[a.first + b.first]
 
 
-class Chunk:
-    """Documents of one chunk: their rows, and the pairs they hold."""
+class Memo:
+    """Ids of the words met so far; a word is what stands between two blanks at which no token begins before it.
+
+    Forgets everything when it holds more than WORDS words.
+    """
 
     def __init__(self, encoders: Encoders):
         self.encoders = encoders
-        self.sizes_a = np.array([len(x) for x in encoders.bytes_a])
-        self.sizes_b = np.array([len(x) for x in encoders.bytes_b])
-        self.radix = len(encoders.bytes_b)
-        if len(encoders.bytes_a) * self.radix > 1 << 32:
+        self.sizes = [np.array([len(x) for x in t]) for t in (encoders.bytes_a, encoders.bytes_b)]
+        self.decimals = Decimals(max(map(len, self.sizes)))
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.whole = np.zeros(0, dtype=bool)
+        self.ids = [np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)]
+        self.first = [np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)]
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.number) > WORDS:
+            self.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        # Words with white space at an end stand alone; the others are encoded side by side.
+        inner, edge = [], []
+        for w in new:
+            (edge if w[0].isspace() or w[-1].isspace() else inner).append(w)
+        lots = [inner[i : i + LOT] for i in range(0, len(inner), LOT)] + [[w] for w in edge]
+        for lot in lots:
+            if not self._learn(lot):
+                for w in lot:
+                    self._learn([w], final=True)
+
+    def _learn(self, lot: list[str], final: bool = False) -> bool:
+        """Adds words that are encoded as one text; False if a tokenizer does not give that text back."""
+        text = " ".join(lot)
+        whole = b" " + text.encode()
+        (ids_a,), (ids_b,) = self.encoders.encode([text])
+        good = whole == b"".join(map(self.encoders.bytes_a.__getitem__, ids_a)) and (
+            whole == b"".join(map(self.encoders.bytes_b.__getitem__, ids_b))
+        )
+        if not good and not final and len(lot) > 1:
+            return False
+        ends = np.cumsum([len(w.encode()) + 1 for w in lot])
+        for side, ids in enumerate((ids_a, ids_b)):
+            ids = np.array(ids if good else [], dtype=np.int32)
+            stops = np.searchsorted(np.cumsum(self.sizes[side][ids]), ends) + 1 if good else np.zeros(1, dtype=np.int64)
+            self.first[side] = np.concatenate([self.first[side], self.first[side][-1] + stops])
+            self.ids[side] = np.concatenate([self.ids[side], ids])
+        self.whole = np.concatenate([self.whole, np.full(len(lot), good)])
+        self.number.update(zip(lot, range(len(self.number), len(self.number) + len(lot)), strict=True))
+        return True
+
+    def tokens(self, numbers: np.ndarray, first_word: np.ndarray, side: int) -> Tokens:
+        """The ids of texts that are made of the words with these numbers."""
+        begin, size = self.first[side][numbers], np.diff(self.first[side])[numbers]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(int(stop[-1])) + np.repeat(begin - stop[:-1], size)
+        return Tokens(self.ids[side][place].astype(np.int64), stop[first_word])
+
+
+def split_words(text: str) -> list[str]:
+    """The text cut at single blanks between characters that are no white space."""
+    return _CUT.split(text) if text[0] == " " or text[-1] == " " or _ODD.search(text) else text.split(" ")
+
+
+class Chunk:
+    """Documents of one chunk: their rows, and the pairs they hold."""
+
+    def __init__(self, memo: Memo):
+        self.memo = memo
+        self.sizes = memo.sizes
+        self.radix = len(memo.encoders.bytes_b)
+        if len(memo.encoders.bytes_a) * self.radix > 1 << 32:
             raise ValueError("more than 2**32 pairs of ids")
         self.bytes = 0
-        self.columns: list[pa.RecordBatch] = []
+        self.doc_ids: list[int | None] = []
+        self.digests: list = []
+        self.counts: list[np.ndarray] = []
+        self.refused: set[int] = set()
+        self.waiting: list[tuple[int, str]] = []
+        self.waiting_size = 0
         self.doc: list[np.ndarray] = []
         self.pair: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
-        self.documents = 0
-
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, Tokens, Tokens]:
-        """Which texts both tokenizers give back, and the ids of those."""
-        cut = [parts(t) if t else [] for t in texts]
-        ids_a, ids_b = self.encoders.encode([p for c in cut for p in c])
-        at = 0
-        good, a, b = np.zeros(len(texts), dtype=bool), [], []
-        for i, c in enumerate(cut):
-            mine_a = [x for ids in ids_a[at : at + len(c)] for x in ids]
-            mine_b = [x for ids in ids_b[at : at + len(c)] for x in ids]
-            at += len(c)
-            if c:
-                whole = b" " + texts[i].encode()
-                good[i] = whole == b"".join(map(self.encoders.bytes_a.__getitem__, mine_a)) and (
-                    whole == b"".join(map(self.encoders.bytes_b.__getitem__, mine_b))
-                )
-            a.append(mine_a if good[i] else [])
-            b.append(mine_b if good[i] else [])
-
-        def flat(lists):
-            first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-            return Tokens(np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(first[-1])), first)
-
-        return good, flat(a), flat(b)
-
-    def add(self, doc_ids: pa.Array, texts: list[str]) -> None:
-        good, a, b = self.tokens(texts)
-        base = np.cumsum([0] + [len(t.encode()) + 1 if g else 0 for t, g in zip(texts, good, strict=True)])[:-1]
-        aligned = align(a.ends(self.sizes_a, base), a.first, b.ends(self.sizes_b, base), b.first)
-        joined, start = group_texts(a, b, aligned)
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        number = len(self.doc_ids)
+        self.doc_ids.append(doc_id)
+        self.digests.append(None)
+        for part in parts(text) if text else ():
+            self.waiting.append((number, part))
+            self.waiting_size += len(part)
+            if self.waiting_size >= BATCH:
+                self.flush()
+        self.bytes += len(text)
+
+    def flush(self) -> None:
+        """Aligns the waiting parts. Both tokenizers end a token where a part ends, so parts are aligned alone."""
+        if not self.waiting:
+            return
+        owner = np.array([n for n, _ in self.waiting])
+        cut = [split_words(part) for _, part in self.waiting]
+        self.waiting, self.waiting_size = [], 0
+        words = [w for c in cut for w in c]
+        memo = self.memo
+        memo.learn(words)
+        numbers = np.fromiter(map(memo.number.__getitem__, words), dtype=np.int64, count=len(words))
+        first_word = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
+        damaged = np.add.reduceat(~memo.whole[numbers], first_word[:-1], dtype=np.int64) > 0
+        self.refused.update(owner[damaged].tolist())
+        a, b = (memo.tokens(numbers, first_word, side) for side in (0, 1))
+        # Where a part is damaged its tokens need not end together: its document has none.
+        if damaged.any():
+            a, b = a.without(damaged), b.without(damaged)
+        total = np.concatenate([[0], np.cumsum(self.sizes[0][a.ids])])[a.first]
+        aligned = align(a.ends(self.sizes[0], total[:-1]), a.first, b.ends(self.sizes[1], total[:-1]), b.first)
+        joined, start = group_texts(a, b, aligned, memo.decimals)
         view = memoryview(joined)
-        digests = [
-            hashlib.sha256(view[s : e - 1]).hexdigest() if e > s else ""
-            for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)
-        ]
-        doc_of_a = np.repeat(np.arange(len(texts)), np.diff(a.first))
-        doc_of_link = doc_of_a[aligned.link_a]
+        for n, s, e in zip(owner.tolist(), start[:-1].tolist(), start[1:].tolist(), strict=True):
+            if self.digests[n] is None:
+                self.digests[n] = hashlib.sha256(view[s : max(e - 1, s)])
+            else:
+                self.digests[n].update(b";" + bytes(view[s : max(e - 1, s)]))
+        part_of_a = np.repeat(np.arange(len(owner)), np.diff(a.first))
+        part_of_link = part_of_a[aligned.link_a]
         pair = a.ids[aligned.link_a] * self.radix + b.ids[aligned.link_b]
-        keys, times = np.unique((doc_of_link << 32) | pair, return_counts=True)
-        self.doc.append((keys >> 32) + self.documents)
+        keys, times = np.unique((owner[part_of_link] << 32) | pair, return_counts=True)
+        self.doc.append(keys >> 32)
         self.pair.append(keys & 0xFFFFFFFF)
         self.times.append(times)
-        n = len(texts)
-        self.columns.append(
-            pa.record_batch(
-                [
-                    doc_ids.cast(pa.int64()),
-                    pa.array(np.diff(a.first)),
-                    pa.array(np.diff(b.first)),
-                    pa.array(np.bincount(doc_of_a[aligned.common_a], minlength=n)),
-                    pa.array(np.bincount(doc_of_link, minlength=n)),
-                    pa.array(digests, pa.string()),
-                ],
-                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"],
-            )
-        )
-        self.documents += n
+        n = len(owner)
+        groups = np.bincount(part_of_a[aligned.common_a], minlength=n)
+        links = np.bincount(part_of_link, minlength=n)
+        self.counts.append(np.stack([owner, np.diff(a.first), np.diff(b.first), groups, links]))
+
+    def rows(self) -> dict[str, pa.Array]:
+        n = len(self.doc_ids)
+        counts = np.zeros((4, n), dtype=np.int64)
+        for owner, *more in self.counts:
+            for column, values in zip(counts, more, strict=True):
+                np.add.at(column, owner, values)
+        refused = sorted(self.refused)
+        counts[:, refused] = 0
+        digests = [d.hexdigest() if d is not None else "" for d in self.digests]
+        for i in refused:
+            digests[i] = ""
+        named = dict(zip(("n_a", "n_b", "n_groups", "n_links"), map(pa.array, counts), strict=True))
+        return {"doc_id": pa.array(self.doc_ids, pa.int64()), "groups_sha256": pa.array(digests, pa.string())} | named
 
     def batches(self, number: int) -> Iterator[pa.RecordBatch]:
         """A row for each document and one for the chunk; frequent pairs have small numbers."""
-        pairs, at = np.unique(np.concatenate(self.pair), return_inverse=True)
-        times = np.concatenate(self.times)
+        self.flush()
+        none = [np.zeros(0, dtype=np.int64)]
+        doc, pair, times = (np.concatenate(none + x) for x in (self.doc, self.pair, self.times))
+        if self.refused:
+            keep = ~np.isin(doc, list(self.refused))
+            doc, pair, times = doc[keep], pair[keep], times[keep]
+        # A document whose parts fell into two batches holds a pair twice; its entries still stand together.
+        pairs, at = np.unique(pair, return_inverse=True)
         counts = np.bincount(at, weights=times, minlength=len(pairs)).astype(np.int64)
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(pairs), dtype=np.int32)
         rank[order] = np.arange(len(pairs))
-        per_doc = np.bincount(np.concatenate(self.doc), minlength=self.documents)
+        per_doc = np.bincount(doc, minlength=len(self.doc_ids))
         offsets = pa.array(np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32))
-        lists = {
+        columns = self.rows() | {
             "at": pa.ListArray.from_arrays(offsets, pa.array(rank[at])),
             "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
         }
-        done = 0
-        for batch in self.columns:
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns |= {k: v.slice(done, batch.num_rows) for k, v in lists.items()}
-            done += batch.num_rows
-            yield _encoded(number, batch.num_rows, columns)
+        yield _encoded(number, len(self.doc_ids), columns)
         yield _encoded(number, 1, {"pair": pa.array([pairs[order]]), "n": pa.array([counts[order]])})
 
 
@@ -343,25 +434,17 @@ class CrossTokenizer:
         path_a, path_b, limit = self.path_a, self.path_b, self.chunk_bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoders = Encoders(path_a, path_b)
+            memo = Memo(Encoders(path_a, path_b))
             number = TaskContext.get().partitionId() << 32
-            chunk = Chunk(encoders)
+            chunk = Chunk(memo)
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
-                row = 0
-                while row < batch.num_rows:
-                    # Texts are taken from Arrow as they are needed.
-                    some, size = [], 0
-                    while row + len(some) < batch.num_rows and (not some or size < BATCH):
-                        some.append(texts[row + len(some)].as_py() or "")
-                        size += len(some[-1])
-                    chunk.add(ids.slice(row, len(some)), some)
-                    chunk.bytes += size
-                    row += len(some)
+                for row in range(batch.num_rows):
+                    chunk.add(ids[row].as_py(), texts[row].as_py() or "")
                     if chunk.bytes >= limit:
                         yield from chunk.batches(number)
-                        number, chunk = number + 1, Chunk(encoders)
-            if chunk.documents:
+                        number, chunk = number + 1, Chunk(memo)
+            if chunk.doc_ids:
                 yield from chunk.batches(number)
 
         return documents.select("doc_id", "text").mapInArrow(run, ENCODED)

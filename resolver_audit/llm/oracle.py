@@ -35,4 +35,32 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN top END AS refers_to
 FROM m""",
+    "op13_ranked_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+t AS (SELECT CAST(count(*) AS bigint) AS docs, CAST(sum(len(ws)) AS bigint) AS words FROM d WHERE len(ws) > 0),
+p AS (
+  SELECT doc_id, n, term, CAST(count(*) AS bigint) AS tf
+  FROM (SELECT doc_id, CAST(len(ws) AS bigint) AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(count(*) AS bigint) AS df FROM p GROUP BY term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS double) / CAST(2 * df + 1 AS double))) AS bigint) AS w
+  FROM f, t),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+s AS (
+  SELECT item_id, doc_id,
+         CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) AS bigint) AS score
+  FROM i JOIN w USING (term) JOIN p USING (term), t GROUP BY item_id, doc_id),
+r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS int) AS rank,
+         doc_id, score
+  FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50""",
 }

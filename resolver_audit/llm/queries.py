@@ -12,6 +12,7 @@ from resolver_audit.llm.cross_tokenizer import CrossTokenizer
 from resolver_audit.llm.decontamination import Decontamination
 from resolver_audit.llm.license_scan import LicenseScan
 from resolver_audit.llm.rans import TokenFiles
+from resolver_audit.llm.ranked_search import RankedSearch
 from resolver_audit.llm.resharding import Resharding
 from resolver_audit.llm.sentencepiece_lattice import SentencePieceLattice
 from resolver_audit.llm.signature_join import SignatureJoin
@@ -122,3 +123,8 @@ def op10_weak_quality(spark, sf_dir):
 def op11_cross_tokenizer(spark, sf_dir):
     aligner = CrossTokenizer(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
     return aligner.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    return RankedSearch().search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
