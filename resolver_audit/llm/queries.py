@@ -17,6 +17,7 @@ from resolver_audit.llm.resharding import Resharding
 from resolver_audit.llm.sentencepiece_lattice import SentencePieceLattice
 from resolver_audit.llm.signature_join import SignatureJoin
 from resolver_audit.llm.storage import ship_code
+from resolver_audit.llm.token_counts import TokenCounts
 from resolver_audit.llm.vp_search import VpSearch
 from resolver_audit.llm.warc import WarcArchive
 
@@ -125,6 +126,11 @@ def op11_cross_tokenizer(spark, sf_dir):
     return aligner.align(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_token_counts(spark, sf_dir):
+    return TokenCounts(tokenizer_path("word_bpe_49k.json")).count(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_ranked_search(spark, sf_dir):
     return RankedSearch().search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
