@@ -27,7 +27,7 @@ REGISTRY: dict[str, Query] = {}
 
 
 #: Measured against brute force: see README.
-VP_FACTOR = 0.35
+VP_FACTOR = 0.15
 
 
 def query(function: Query) -> Query:

@@ -109,36 +109,52 @@ class VpTree:
         return VpTree(*out)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, top: float, factor: float) -> Best:
-        """The k nearest of each query; queries walk the tree together as far as they take the same way."""
+        """The k nearest of each query.
+
+        First each query is compared with the leaf that it falls into, which bounds how far its k
+        nearest are. Then all queries walk the tree together: a child is visited by those whose
+        bound does not rule it out, so a leaf is compared once, with all that still need it.
+        """
         queries = queries.astype(np.float64)
         best = Best(query_ids, k)
         norms = (queries**2).sum(axis=1) + top**2
+        home = np.full(len(queries), -1)
+
+        def distances(node: int, who: np.ndarray) -> np.ndarray:
+            v = self.vantage[node]
+            return np.sqrt(np.maximum(0, norms[who] - 2 * products(queries[who], self.vectors[v : v + 1])[:, 0]))
+
+        def compare(node: int, who: np.ndarray) -> None:
+            lo, hi = self.first[node], self.last[node]
+            best.add(who, queries[who], self.vectors[lo:hi], self.ids[lo:hi])
+
+        def settle(node: int, who: np.ndarray) -> None:
+            while len(who) and self.vantage[node] >= 0:
+                _, b, c, _ = self.ranges[node]
+                near = distances(node, who) <= (b + c) / 2
+                settle(int(self.far_child[node]), who[~near])
+                node, who = node + 1, who[near]
+            if len(who):
+                home[who] = node
+                compare(node, who)
 
         def visit(node: int, who: np.ndarray) -> None:
-            while len(who):
-                if self.vantage[node] < 0:
-                    lo, hi = self.first[node], self.last[node]
-                    best.add(who, queries[who], self.vectors[lo:hi], self.ids[lo:hi])
-                    return
-                v = self.vantage[node]
-                distance = np.sqrt(np.maximum(0, norms[who] - 2 * products(queries[who], self.vectors[v : v + 1])[:, 0]))
-                a, b, c, d = self.ranges[node]
-                near_first = distance <= (b + c) / 2
-                near, far = node + 1, int(self.far_child[node])
-                bounds = {near: np.maximum(a - distance, distance - b), far: np.maximum(c - distance, distance - d)}
-                for child, mask in ((near, near_first), (far, ~near_first)):
-                    if mask.any():
-                        visit(child, who[mask])
-                for child, mask in ((far, near_first), (near, ~near_first)):
-                    rows = np.flatnonzero(mask)
-                    worst = np.sqrt(np.maximum(0, norms[who[rows]] - 2 * best.worst(who[rows])))
-                    # A hair is added so that rounding cannot lose a tie.
-                    rows = rows[bounds[child][rows] <= factor * worst + 1e-9]
-                    if len(rows):
-                        visit(child, who[rows])
+            if self.vantage[node] < 0:
+                who = who[home[who] != node]
+                if len(who):
+                    compare(node, who)
                 return
+            distance = distances(node, who)
+            a, b, c, d = self.ranges[node]
+            for child, low, high in ((node + 1, a, b), (int(self.far_child[node]), c, d)):
+                worst = np.sqrt(np.maximum(0, norms[who] - 2 * best.worst(who)))
+                # A hair is added so that rounding cannot lose a tie.
+                near = np.maximum(low - distance, distance - high) <= factor * worst + 1e-9
+                if near.any():
+                    visit(child, who[near])
 
         if len(self.ids) and len(queries):
+            settle(0, np.arange(len(queries)))
             visit(0, np.arange(len(queries)))
         return best
 
@@ -188,7 +204,7 @@ class VpSearch:
     k: int = 20
     factor: float = 1.0
     shard: int = 4096
-    block: int = 512
+    block: int = 4096
     leaf: int = 128
 
     def usable(self, vectors: DataFrame) -> DataFrame:
