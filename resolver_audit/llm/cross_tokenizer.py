@@ -32,6 +32,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from resolver_audit.llm.storage import stored
 PART = 1 << 16
 BATCH = 1 << 18
 #: Distinct words whose ids a task remembers.
-WORDS = 1 << 19
+WORDS = 1 << 17
 #: Words that are encoded as one text.
 LOT = 1 << 13
 _CUT = re.compile(r" (?=\S)(?<=\S )")
@@ -292,6 +293,12 @@ class Memo:
         return Tokens(self.ids[side][place].astype(np.int64), stop[first_word])
 
 
+@cache
+def memo_of(path_a: str, path_b: str) -> Memo:
+    """One memory for all tasks of a Python worker."""
+    return Memo(Encoders(path_a, path_b))
+
+
 def split_words(text: str) -> list[str]:
     """The text cut at single blanks between characters that are no white space."""
     return _CUT.split(text) if text[0] == " " or text[-1] == " " or _ODD.search(text) else text.split(" ")
@@ -427,14 +434,14 @@ class CrossTokenizer:
 
     path_a: str
     path_b: str
-    chunk_bytes: int = 1 << 23
+    chunk_bytes: int = 1 << 22
 
     def encoded(self, documents: DataFrame) -> DataFrame:
         """Rows of documents, and of chunks, as ENCODED names them; chunk numbers hold for one run only."""
         path_a, path_b, limit = self.path_a, self.path_b, self.chunk_bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo = Memo(Encoders(path_a, path_b))
+            memo = memo_of(path_a, path_b)
             number = TaskContext.get().partitionId() << 32
             chunk = Chunk(memo)
             for batch in batches:
