@@ -503,6 +503,14 @@ def _rows(cls, ids=None, n=None, central=None, maps=None, token=None) -> pa.Reco
     return pa.RecordBatch.from_arrays([columns[k] for k in order], names=order)
 
 
+def unused_name(frame: DataFrame, name: str) -> str:
+    """A name that no column of the frame has."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def representatives(documents: DataFrame, join: SignatureJoin) -> DataFrame:
     """The documents of which each is the smallest doc_id of its component; columns unchanged.
 
@@ -510,12 +518,13 @@ def representatives(documents: DataFrame, join: SignatureJoin) -> DataFrame:
     links to a smaller doc_id. Rows without doc_id stay.
     """
     found = stored(join.join(documents), "components")
-    dropped = found.filter("component_id != doc_id").select(F.col("doc_id").alias("other_id")).distinct()
-    repeated = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("other_id"))
+    other_id = unused_name(documents, "other_id")
+    dropped = found.filter("component_id != doc_id").select(F.col("doc_id").alias(other_id)).distinct()
+    repeated = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(other_id))
     dropped, repeated = stored(dropped, "dropped"), stored(repeated, "repeated")
 
     def ids(frame: DataFrame) -> tuple[DataFrame, object]:
-        return broadcast_if_small(frame), F.col("doc_id").cast("long") == F.col("other_id")
+        return broadcast_if_small(frame), F.col("doc_id").cast("long") == F.col(other_id)
 
     kept = documents.join(*ids(dropped), "left_anti")
     single = kept.join(*ids(repeated), "left_anti")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are split at once; bounds a task's arrays (a longer single text is taken whole).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -167,3 +167,4 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
         yield batch.slice(row, to - row)
         row = to
+    pa.default_memory_pool().release_unused()

@@ -1,6 +1,9 @@
 """The registered queries keep their columns, and the pipeline does what its stages do one by one."""
 
+import zlib
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -21,6 +24,9 @@ COLUMNS = {
     "op8_vp_search": "query_id rank vec_id score",
     "op9_min_cost_resharding": "doc_id size text_crc32 law shard slot grown_shard old",
     "op10_weak_quality": "doc_id score kept",
+    "op11_cross_tokenizer": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op12_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op13_ranked_search": "item_id rank doc_id score",
 }
 
 
@@ -34,7 +40,7 @@ def test_columns(spark, name):
     frame = REGISTRY[name](spark, SF)
     assert frame.columns == COLUMNS[name].split()
     rows = frame.count()
-    if name.split("_")[0] in ("op1", "op2", "op3", "op7", "op9", "op10"):
+    if name.split("_")[0] in ("op1", "op2", "op3", "op7", "op9", "op10", "op11", "op12"):
         assert rows == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
@@ -55,7 +61,20 @@ def test_stages(spark, documents, odd):
         assert rows <= before, name
         docs, before = spark.createDataFrame(after.collect(), documents.schema), rows
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert last.columns == ["doc_id", "ids"] and last.count() == before
+    assert last.columns == ["doc_id", "ids", "n_bytes", "text_crc32"]
+    decoded = sorted(((r.doc_id, r.n_bytes, r.text_crc32) for r in last.collect()), key=repr)
+    texts = [(r.doc_id, (r.text or "").replace("▁", " ").encode()) for r in docs.collect()]
+    assert decoded == sorted(((i, len(t), zlib.crc32(t)) for i, t in texts), key=repr)
+
+
+def test_stages_of_an_empty_table_and_of_columns_with_internal_names(spark, documents):
+    names = ["other_id", "cls", "token", "score", "kept", "key", "vertex", "n"]
+    more = documents.limit(30).select("*", *[F.lit(name).alias(name) for name in names])
+    for docs in (documents.limit(0), more):
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, docs, SF)
+            assert stage is corpus_pipeline.STAGES[-1][1] or after.columns == docs.columns, name
+            assert after.count() <= docs.count()
 
 
 def test_run(spark, documents):

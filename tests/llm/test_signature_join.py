@@ -81,6 +81,15 @@ def test_odd_texts(odd, nothing):
     assert ids == sorted([7, 8, 9, 10, 12, None, 14, 15, 16], key=repr)
 
 
+def test_columns_with_internal_names(spark):
+    names = ["other_id", "OTHER_ID_", "wanted_id", "cls", "token", "c", "component_id", "vertex"]
+    rows = [(1, "a b c d e f g", *names), (2, "a b c d e f g", *names), (3, "x y", *names)]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    stay = representatives(frame, SignatureJoin())
+    assert stay.columns == frame.columns
+    assert sorted(r.doc_id for r in stay.collect()) == [1, 3]
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 9), (9, 30), (7, 8), (8, 7), (100, 7), (1, 1), *((i, i + 1) for i in range(200, 300))]
     found = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
