@@ -41,9 +41,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and ids of every document."""
+    """Every document's doc_id and ids, and length and checksum of the text decoded from these."""
     ship_code(spark)
-    return SentencePieceLattice(tokenizer_path("piece_bpe_32k.model")).encoded(docs)
+    return SentencePieceLattice(tokenizer_path("piece_bpe_32k.model")).round_trip(docs)
 
 
 STAGES = [
@@ -51,7 +51,7 @@ STAGES = [
     ("toxicity", nontoxic),
     ("n-gram Jaccard join", distinct),
     ("benchmark decontamination", decontaminated),
-    ("SentencePiece encoding", encoded),
+    ("SentencePiece encoding and decoding", encoded),
 ]
 
 #: Learned models and merges cannot be written in SQL.
