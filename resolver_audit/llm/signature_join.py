@@ -350,7 +350,8 @@ class SignatureJoin:
             tokens.join(shared.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi").distinct(),
             "members",
         )
-        links = documents.sparkSession.createDataFrame([], "a long, b long")
+        # An empty range needs no Python worker beside those of the tasks.
+        links = documents.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
         known = links.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
         for turn in range(self.rounds):
             pairs = self.stars(self.open_buckets(members, known), classes, turn)
