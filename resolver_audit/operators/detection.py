@@ -12,6 +12,7 @@ from resolver_audit.operators.profiles import (
     PAIR,
     domain_features,
 )
+from resolver_audit.operators.skew import join_hot
 from resolver_audit.operators.thresholds import (
     DIGITS,
     percentile_summary,
@@ -31,7 +32,7 @@ def ttl_anomalies(ranges: DataFrame, fences: DataFrame) -> DataFrame:
     All lie above exactly when the smallest does.
     """
     return (
-        ranges.join(fences, "domain")
+        join_hot(ranges, fences, ["domain"])
         .filter(F.col("min_ttl") > F.col("fence"))
         .select(*PAIR, F.lit("ttl").alias("feature"))
     )
@@ -43,8 +44,11 @@ def feature_anomalies(counters: DataFrame, unusual: DataFrame) -> DataFrame:
     Only the unusual values are joined; a pair is cleared by any value without a
     partner.
     """
-    marked = counters.filter(F.col("feature").isin(*CATEGORICAL)).join(
-        unusual.withColumn("_unusual", F.lit(True)), ["domain", "feature", "value"], "left"
+    marked = join_hot(
+        counters.filter(F.col("feature").isin(*CATEGORICAL)),
+        unusual.withColumn("_unusual", F.lit(True)),
+        ["domain", "feature", "value"],
+        "left",
     )
     return (
         marked.groupBy(*PAIR, "feature")
@@ -64,8 +68,8 @@ def anomalies_res_dom(flagged: DataFrame) -> DataFrame:
 
 
 def of_considered(rows: DataFrame, considered: DataFrame) -> DataFrame:
-    """Rows of the domains that are resolved often enough to judge."""
-    return rows.join(considered.select("domain"), "domain", "left_semi")
+    """Rows of the domains that are resolved often enough to judge, dealt by (domain, place)."""
+    return join_hot(rows, considered.select("domain"), ["domain"])
 
 
 def find_anomalies_res_dom(
@@ -73,7 +77,8 @@ def find_anomalies_res_dom(
 ) -> DataFrame:
     """Flagged pairs from the counters and TTL ranges of considered domains.
 
-    ``counters`` need not be summed.
+    ``counters`` need not be summed. What is normal for a domain is found on counts of
+    (domain, value), which are added up before anything is placed by domain.
     """
     unusual = unusual_values(domain_features(counters))
     fences = ttl_fence(res_dom_max_ttl(ranges, settings.ttl_granularity), settings)

@@ -1,9 +1,15 @@
 """The log, condensed once for every later stage.
 
-``observations`` merges equal responses before anything expensive happens: the
-answer is taken apart and its addresses are looked up once per distinct response,
-and a response that makes up a third of the log leaves each map task as one row.
-``networks`` keeps that partitioning, so the log is shuffled once.
+``messages`` merges responses that differ in nothing but their TTLs and clients before
+anything expensive happens: the answer is taken apart and its addresses are looked up
+once per message. TTLs that count down do not tell messages apart; what later stages
+ask of them is kept as a state that merges (how many are valid, the smallest, the
+largest). A message that makes up a third of the log leaves each map task as one row.
+``observations`` keeps the TTLs apart, for the exported TTL counters only.
+
+Both have ``n`` responses, ``n_last`` of them with an integer last TTL between
+``last_min`` and ``last_max``, and ``n_valid`` with integer TTLs only, between
+``ttl_min`` and ``ttl_max``.
 """
 
 from __future__ import annotations
@@ -14,19 +20,42 @@ from pyspark.sql import functions as F
 from resolver_audit.operators.responses import with_answer_profile, with_ttls
 from resolver_audit.operators.routing import Routes, with_networks
 
-RESPONSE_KEY = ["resolver", "qname", "dans", "danttls"]
+MESSAGE_KEY = ["resolver", "qname", "dans"]
+RESPONSE_KEY = [*MESSAGE_KEY, "danttls"]
+TTL_STATE = ["n_last", "last_min", "last_max", "n_valid", "ttl_min", "ttl_max"]
+
+
+def messages(responses: DataFrame) -> DataFrame:
+    """Distinct (resolver, name, answer) with their number, TTL state and answer profile."""
+    merged = with_ttls(responses).groupBy(*MESSAGE_KEY).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("ttl_last").alias("n_last"),
+        F.min("ttl_last").alias("last_min"),
+        F.max("ttl_last").alias("last_max"),
+        F.count("ttl_min").alias("n_valid"),
+        F.min("ttl_min").alias("ttl_min"),
+        F.max("ttl_max").alias("ttl_max"),
+    )
+    return with_answer_profile(merged)
 
 
 def observations(responses: DataFrame) -> DataFrame:
-    """Distinct responses, whoever asked, with their number ``n`` and answer profile."""
+    """As ``messages``, one row for each list of TTLs."""
     merged = responses.groupBy(*RESPONSE_KEY).agg(F.count(F.lit(1)).alias("n"))
-    return with_answer_profile(merged)
+    n = F.col("n")
+    states = {
+        "n_last": F.when(F.col("ttl_last").isNotNull(), n).otherwise(0),
+        "last_min": F.col("ttl_last"),
+        "last_max": F.col("ttl_last"),
+        "n_valid": F.when(F.col("ttl_min").isNotNull(), n).otherwise(0),
+    }
+    return with_answer_profile(with_ttls(merged).withColumns(states).drop("ttl_last"))
 
 
 def addresses(observed: DataFrame, routes: Routes) -> DataFrame:
     """One row per observation and distinct address, labelled with its network.
 
-    Adds ``ip, asn, asn_raw``, ``lead`` (exactly one row per observation) and
+    Adds ``domain, ip, asn, asn_raw``, ``lead`` (exactly one row per observation) and
     ``n_ips`` (addresses behind the row). Observations without an address keep
     one row with a null ``ip`` and ``n_ips`` 0.
     """
@@ -37,7 +66,7 @@ def addresses(observed: DataFrame, routes: Routes) -> DataFrame:
         .withColumn("n_ips", F.col("ip").isNotNull().cast("bigint"))
         .drop("_pos")
     )
-    return with_case_and_ttls(with_networks(marked, routes))
+    return with_case(with_networks(marked, routes))
 
 
 def networks(observed: DataFrame, routes: Routes) -> DataFrame:
@@ -47,17 +76,14 @@ def networks(observed: DataFrame, routes: Routes) -> DataFrame:
     in that network.
     """
     per_address = addresses(observed, routes)
-    grouped = per_address.groupBy(*RESPONSE_KEY, "asn", "asn_raw").agg(
-        F.max("n").alias("n"),
-        F.max("clen").alias("clen"),
-        F.max("nip").alias("nip"),
-        F.max("n_servers").alias("n_servers"),
-        F.max("lead").alias("lead"),
-        F.sum("n_ips").alias("n_ips"),
+    keys = [name for name in RESPONSE_KEY if name in observed.columns]
+    carried = ["n", *TTL_STATE, "clen", "nip", "n_servers", "lead"]
+    grouped = per_address.groupBy(*keys, "asn", "asn_raw").agg(
+        *[F.max(name).alias(name) for name in carried], F.sum("n_ips").alias("n_ips")
     )
-    return with_case_and_ttls(grouped)
+    return with_case(grouped)
 
 
-def with_case_and_ttls(rows: DataFrame) -> DataFrame:
-    """Adds ``domain`` and the TTL columns derived from the response key."""
-    return with_ttls(rows.withColumn("domain", F.lower("qname")))
+def with_case(rows: DataFrame) -> DataFrame:
+    """Adds ``domain``, the case-folded name."""
+    return rows.withColumn("domain", F.lower("qname"))

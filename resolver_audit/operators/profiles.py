@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from resolver_audit.functions.answers import all_ttls
 from resolver_audit.functions.names import second_level_domain
+from resolver_audit.operators.skew import SALT, join_hot
 
 CATEGORICAL = ("clen", "nip", "asn")
 PAIR_FEATURES = ("ttl", "clen", "nip", "asn", "sip")
@@ -22,6 +23,11 @@ PAIR = ["resolver", "domain"]
 LINK = ["resolver", "asn"]
 
 
+def pair_keys(rows: DataFrame) -> list[str]:
+    """(resolver, domain), and the place of the pair where rows have been dealt."""
+    return [*PAIR, SALT] if SALT in rows.columns else PAIR
+
+
 def _entry(feature: str, value: Column | str, n: Column) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     return F.struct(
@@ -32,14 +38,14 @@ def _entry(feature: str, value: Column | str, n: Column) -> Column:
 def judged_pairs(rows: DataFrame) -> DataFrame:
     """Rows that enter the (resolver, domain) profile: an address and an integer last TTL.
 
-    ``n`` counts each response once, on its leading row; ``n_addresses`` counts
+    ``n`` counts each such response once, on its leading row; ``n_addresses`` counts
     its distinct addresses.
     """
-    judged = rows.filter((F.col("nip") > 0) & F.col("ttl_last").isNotNull())
+    judged = rows.filter((F.col("nip") > 0) & (F.col("n_last") > 0))
     return judged.withColumns(
         {
-            "n": F.when(F.col("lead"), F.col("n")).otherwise(0),
-            "n_addresses": F.col("n") * F.col("n_ips"),
+            "n": F.when(F.col("lead"), F.col("n_last")).otherwise(0),
+            "n_addresses": F.col("n_last") * F.col("n_ips"),
         }
     )
 
@@ -54,8 +60,8 @@ def pair_profile(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(*PAIR, *CATEGORICAL).agg(
         F.sum("n").alias("n"),
         F.sum("n_addresses").alias("n_addresses"),
-        F.min("ttl_last").alias("ttl_min"),
-        F.max("ttl_last").alias("ttl_max"),
+        F.min("last_min").alias("ttl_min"),
+        F.max("last_max").alias("ttl_max"),
     )
 
 
@@ -63,15 +69,15 @@ def pair_counters(pairs: DataFrame, features: tuple[str, ...] = CATEGORICAL) ->
     """``resolver, domain, feature, value, n`` of judged pairs or of a pair profile.
 
     ``ttl``, ``clen`` and ``nip`` count once per response, ``asn`` and ``sip`` once
-    per distinct address. ``ttl`` and ``sip`` need rows with one TTL and address.
+    per distinct address. ``sip`` needs rows per address, ``ttl`` such of ``observations``.
     """
-    per_response = {"ttl": "ttl_last", "clen": "clen", "nip": "nip"}
+    per_response = {"ttl": "last_min", "clen": "clen", "nip": "nip"}
     per_address = {"asn": "asn", "sip": "ip"}
     n, n_addresses = F.col("n"), F.col("n_addresses")
     once = [_entry(f, per_response[f], n) for f in features if f in per_response]
     each = [_entry(f, per_address[f], n_addresses) for f in features if f in per_address]
     entries = F.when(n > 0, F.array(*once, *each)).otherwise(F.array(*each))
-    return pairs.select(*PAIR, F.inline(entries))
+    return pairs.select(*pair_keys(pairs), F.inline(entries))
 
 
 def sum_counters(counters: DataFrame, *keys: str) -> DataFrame:
@@ -97,12 +103,15 @@ def domain_features(counters: DataFrame) -> DataFrame:
 def with_global_frequency(pair_features: DataFrame, domain_features: DataFrame) -> DataFrame:
     """Pair counters with ``global_n``, the frequency of the value over all resolvers."""
     overall = domain_features.withColumnRenamed("n", "global_n")
-    return pair_features.join(overall, ["domain", "feature", "value"])
+    return join_hot(pair_features, overall, ["domain", "feature", "value"]).drop(SALT)
 
 
 def judged_links(rows: DataFrame) -> DataFrame:
-    """Rows that enter the (resolver, network) profile: an address and integer TTLs only."""
-    return rows.filter(F.col("asn").isNotNull() & F.col("ttl_min").isNotNull())
+    """Rows that enter the (resolver, network) profile: an address and integer TTLs only.
+
+    ``n`` counts such responses.
+    """
+    return rows.filter(F.col("asn").isNotNull() & (F.col("n_valid") > 0)).withColumn("n", F.col("n_valid"))
 
 
 def res_asn_counts(network_rows: DataFrame) -> DataFrame:
@@ -111,21 +120,28 @@ def res_asn_counts(network_rows: DataFrame) -> DataFrame:
 
 
 def link_counters(network_rows: DataFrame) -> DataFrame:
-    """``resolver, asn, feature, value, n`` of names, CNAMEs, TTLs and address numbers."""
+    """``resolver, asn, feature, value, n`` of names, CNAMEs and address numbers."""
     n = F.col("n")
-    return judged_links(network_rows).select(
-        *LINK,
-        F.inline(
-            F.concat(
-                F.array(
-                    _entry("queries", "qname", n),
-                    _entry("clen", "clen", n),
-                    _entry("nip", "n_servers", n),
-                ),
-                F.transform(all_ttls(F.col("danttls")), lambda ttl: _entry("ttl", ttl, n)),
-            )
-        ),
+    entries = F.array(
+        _entry("queries", "qname", n), _entry("clen", "clen", n), _entry("nip", "n_servers", n)
+    )
+    return judged_links(network_rows).select(*LINK, F.inline(entries))
+
+
+def ttl_counters(address_rows: DataFrame) -> DataFrame:
+    """``resolver, asn, feature, value, n`` of every TTL, from addresses of ``observations``.
+
+    A response counts once per network, however many of its addresses lie in it.
+    """
+    counted = (
+        judged_links(address_rows)
+        .groupBy("resolver", "qname", "dans", "danttls", "asn")
+        .agg(F.max("n").alias("n"))
+        .groupBy(*LINK, "danttls")
+        .agg(F.sum("n").alias("n"))
     )
+    ttls = F.transform(all_ttls(F.col("danttls")), lambda ttl: _entry("ttl", ttl, F.col("n")))
+    return counted.select(*LINK, F.inline(ttls))
 
 
 def server_counters(address_rows: DataFrame) -> DataFrame:
@@ -134,9 +150,9 @@ def server_counters(address_rows: DataFrame) -> DataFrame:
 
 
 def res_asn_features(network_rows: DataFrame, address_rows: DataFrame) -> DataFrame:
-    """Counters per (resolver, network)."""
+    """Counters per (resolver, network); ``address_rows`` are those of ``observations``."""
     counters = link_counters(network_rows).unionByName(server_counters(address_rows))
-    return sum_counters(counters, *LINK)
+    return sum_counters(counters.unionByName(ttl_counters(address_rows)), *LINK)
 
 
 def _name(fold_case: bool) -> Column:

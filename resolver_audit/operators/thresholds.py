@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resolver_audit.operators.profiles import PAIR
+from resolver_audit.operators.profiles import pair_keys
 from resolver_audit.settings import SUMMARY_POINTS, AuditSettings
 
 # Interpolated quantiles carry rounding noise of about 1e-12; thresholds are
@@ -26,7 +26,7 @@ def considered_domains(
 
 def ttl_ranges(profile: DataFrame) -> DataFrame:
     """Smallest and largest last TTL per (resolver, domain), from a pair profile."""
-    return profile.groupBy(*PAIR).agg(
+    return profile.groupBy(*pair_keys(profile)).agg(
         F.min("ttl_min").alias("min_ttl"), F.max("ttl_max").alias("max_ttl")
     )
 
@@ -36,7 +36,7 @@ def ttl_ranges_of_counters(counters: DataFrame) -> DataFrame:
     ttl = F.col("value").cast("bigint")
     return (
         counters.filter(F.col("feature") == "ttl")
-        .groupBy(*PAIR)
+        .groupBy(*pair_keys(counters))
         .agg(F.min(ttl).alias("min_ttl"), F.max(ttl).alias("max_ttl"))
     )
 

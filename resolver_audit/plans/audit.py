@@ -28,7 +28,6 @@ NETWORK_COLUMNS = [
     "qname",
     "domain",
     "dans",
-    "danttls",
     "asn",
     "asn_raw",
     "n",
@@ -37,9 +36,7 @@ NETWORK_COLUMNS = [
     "clen",
     "nip",
     "n_servers",
-    "ttl_last",
-    "ttl_min",
-    "ttl_max",
+    *observations.TTL_STATE,
 ]
 
 
@@ -79,19 +76,24 @@ class Audit:
         return self._keep("responses", audited) if self.from_text else audited
 
     @cached_property
-    def observed(self) -> DataFrame:
-        """Distinct responses with their number."""
-        return observations.observations(self.responses)
+    def messages(self) -> DataFrame:
+        """Distinct messages with their number; TTLs are merged."""
+        return observations.messages(self.responses)
+
+    @cached_property
+    def message_addresses(self) -> DataFrame:
+        """One row per message and address."""
+        return observations.addresses(self.messages, self.routes)
 
     @cached_property
     def address_rows(self) -> DataFrame:
-        """One row per distinct response and address."""
-        return observations.addresses(self.observed, self.routes)
+        """One row per message, list of TTLs and address, for exported TTL counters."""
+        return observations.addresses(observations.observations(self.responses), self.routes)
 
     @cached_property
     def network_rows(self) -> DataFrame:
-        """One row per distinct response and network: the table behind all detection."""
-        rows = observations.networks(self.observed, self.routes).select(*NETWORK_COLUMNS)
+        """One row per message and network: the table behind all detection."""
+        rows = observations.networks(self.messages, self.routes).select(*NETWORK_COLUMNS)
         return self._keep("network_rows", rows)
 
     @cached_property
@@ -180,9 +182,14 @@ class Audit:
     # Counter tables in export form.
 
     @cached_property
-    def res_dom_table(self) -> DataFrame:
+    def pair_features(self) -> DataFrame:
+        """Counters of every feature per (resolver, domain)."""
         pairs = profiles.judged_pairs(self.address_rows)
-        return interchange.res_dom_table(profiles.res_dom_features(pairs))
+        return self._keep("pair_features", profiles.res_dom_features(pairs))
+
+    @cached_property
+    def res_dom_table(self) -> DataFrame:
+        return interchange.res_dom_table(self.pair_features)
 
     @cached_property
     def res_asn_table(self) -> DataFrame:
@@ -191,14 +198,14 @@ class Audit:
 
     @cached_property
     def res_table(self) -> DataFrame:
-        return profiles.res_profile(profiles.resolver_values(self.address_rows, self.clients))
+        return profiles.res_profile(profiles.resolver_values(self.message_addresses, self.clients))
 
     # Resolvers.
 
     @cached_property
     def resolver_stats(self) -> DataFrame:
         """Responses, clients, names, servers and networks of every resolver."""
-        return profiles.resolver_stats(profiles.resolver_values(self.address_rows, self.clients))
+        return profiles.resolver_stats(profiles.resolver_values(self.message_addresses, self.clients))
 
     @cached_property
     def report_stats(self) -> DataFrame:

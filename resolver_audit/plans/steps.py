@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from resolver_audit.operators import detection, report, thresholds
-from resolver_audit.operators.profiles import CATEGORICAL, LINK, PAIR
+from resolver_audit.operators.profiles import CATEGORICAL, LINK, pair_keys
 from resolver_audit.plans.audit import Audit
 from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
@@ -81,8 +81,8 @@ def find_anomalies_res_dom(
     table = Staging(spark).keep("res_dom", interchange.res_dom_from_lines(lines))
     considered = thresholds.considered_domains(table, settings.min_resolutions)
     judged = detection.of_considered(table, considered)
-    counters = interchange.table_counters(judged, PAIR, CATEGORICAL)
-    ttls = interchange.table_counters(judged, PAIR, ("ttl",))
+    counters = interchange.table_counters(judged, pair_keys(judged), CATEGORICAL)
+    ttls = interchange.table_counters(judged, pair_keys(judged), ("ttl",))
     found = detection.find_anomalies_res_dom(
         counters, thresholds.ttl_ranges_of_counters(ttls), settings
     )

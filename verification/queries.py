@@ -173,7 +173,7 @@ def categorical_counters(spark, sf_dir) -> DataFrame:
 
 @query
 def value_global_freq(spark, sf_dir):
-    pairs = profiles.res_dom_features(judged(lazy_audit(spark, sf_dir).address_rows))
+    pairs = staged_audit(spark, sf_dir).pair_features
     return profiles.with_global_frequency(pairs, profiles.domain_features(pairs)).select(
         "resolver", "domain", "feature", "value", "n", "global_n"
     )
@@ -326,7 +326,7 @@ def res_asn_slds(spark, sf_dir):
 
 @query
 def res_asn_servers(spark, sf_dir):
-    return profiles.res_asn_servers(lazy_audit(spark, sf_dir).address_rows)
+    return profiles.res_asn_servers(lazy_audit(spark, sf_dir).message_addresses)
 
 
 @query
@@ -353,7 +353,7 @@ def anomalies_res_asn(spark, sf_dir):
 
 def all_resolver_values(spark, sf_dir) -> DataFrame:
     audit = lazy_audit(spark, sf_dir)
-    return profiles.resolver_values(audit.address_rows, audit.clients)
+    return profiles.resolver_values(audit.message_addresses, audit.clients)
 
 
 @query
