@@ -178,13 +178,15 @@ def confirmed_pairs(
     )
 
 
-def anomalies_res_asn(
-    confirmed: DataFrame, suspicious: DataFrame, servers: DataFrame
-) -> DataFrame:
-    """Confirmed pairs with the addresses and fixed features of their network."""
-    evidence = suspicious.join(servers, LINK).select(
+def evidence(suspicious: DataFrame, servers: DataFrame) -> DataFrame:
+    """The address list and fixed features of each suspicious (resolver, network)."""
+    return suspicious.join(servers, LINK).select(
         *LINK, "servers", F.array_join("fixed", ":").alias("fixed_features")
     )
+
+
+def anomalies_res_asn(confirmed: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Confirmed pairs with the addresses and fixed features of their network."""
     return confirmed.join(evidence, LINK).select(
         "resolver", "domain", "asn", "servers", "fixed_features"
     )

@@ -72,14 +72,16 @@ def addresses(observed: DataFrame, routes: Routes) -> DataFrame:
 def networks(observed: DataFrame, routes: Routes) -> DataFrame:
     """One row per observation and distinct network among its addresses.
 
-    As ``addresses`` without ``ip``; ``n_ips`` counts the observation's addresses
-    in that network.
+    As ``addresses`` with the observation's addresses in that network as ``ips``
+    (few by nature: records of one message) and ``n_ips`` for their number.
     """
     per_address = addresses(observed, routes)
     keys = [name for name in RESPONSE_KEY if name in observed.columns]
     carried = ["n", *TTL_STATE, "clen", "nip", "n_servers", "lead"]
     grouped = per_address.groupBy(*keys, "asn", "asn_raw").agg(
-        *[F.max(name).alias(name) for name in carried], F.sum("n_ips").alias("n_ips")
+        *[F.max(name).alias(name) for name in carried],
+        F.sum("n_ips").alias("n_ips"),
+        F.collect_list("ip").alias("ips"),
     )
     return with_case(grouped)
 

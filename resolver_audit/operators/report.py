@@ -26,10 +26,18 @@ def manipulations(anomalies: DataFrame) -> DataFrame:
     )
 
 
-def report_rows(stats: DataFrame, anomalies: DataFrame) -> DataFrame:
+def manipulations_of(confirmed: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The same from confirmed pairs and their evidence: the address list is resolved once per network."""
+    domains = confirmed.groupBy("resolver", "asn").agg(
+        F.array_join(F.sort_array(F.collect_set("domain")), ":").alias("domains")
+    )
+    return domains.join(evidence.select("resolver", "asn", "servers"), ["resolver", "asn"])
+
+
+def report_rows(stats: DataFrame, manipulated: DataFrame) -> DataFrame:
     """One row per resolver and manipulating network, ``-`` where there is none."""
     return (
-        stats.join(manipulations(anomalies), "resolver", "left")
+        stats.join(manipulated, "resolver", "left")
         .na.fill(NOTHING, ["asn", "domains", "servers"])
         .select(*REPORT_COLUMNS)
     )
@@ -41,6 +49,6 @@ def in_report_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(*[F.desc(key) for key in keys])
 
 
-def final_report(stats: DataFrame, anomalies: DataFrame) -> DataFrame:
+def final_report(stats: DataFrame, manipulated: DataFrame) -> DataFrame:
     """The report in its published order."""
-    return in_report_order(report_rows(stats, anomalies))
+    return in_report_order(report_rows(stats, manipulated))

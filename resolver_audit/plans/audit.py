@@ -15,7 +15,7 @@ from resolver_audit.operators import (
     responses,
     thresholds,
 )
-from resolver_audit.operators.routing import Routes, with_networks
+from resolver_audit.operators.routing import Routes
 from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
 from resolver_audit.sources import interchange
@@ -27,7 +27,7 @@ NETWORK_COLUMNS = [
     "resolver",
     "qname",
     "domain",
-    "dans",
+    "ips",
     "asn",
     "asn_raw",
     "n",
@@ -152,32 +152,32 @@ class Audit:
 
     @cached_property
     def suspicious_servers(self) -> DataFrame:
-        """Address lists of the suspicious (resolver, network) only."""
-        rows = (
-            profiles.judged_links(self.network_rows)
-            .join(self.suspicious_res_asn.select(*profiles.LINK), profiles.LINK, "left_semi")
-            .select(*profiles.LINK, "dans")
-            .distinct()
-            .withColumnRenamed("asn", "link_asn")
+        """Address lists of the suspicious (resolver, network) only, from the first lookup."""
+        rows = profiles.judged_links(self.network_rows).join(
+            self.suspicious_res_asn.select(*profiles.LINK), profiles.LINK, "left_semi"
         )
-        exploded = responses.with_answer_profile(rows).select(
-            "resolver", "link_asn", F.explode_outer("sips").alias("ip")
-        )
-        # A filter on the array would be pushed below the distinct and parse every answer again.
-        labelled = with_networks(exploded, self.routes)
-        servers = labelled.filter(F.col("asn") == F.col("link_asn"))
-        return profiles.address_lists(servers)
+        return profiles.address_lists(rows.select(*profiles.LINK, F.explode("ips").alias("ip")))
 
     @cached_property
-    def anomalies_res_asn(self) -> DataFrame:
-        confirmed = detection.confirmed_pairs(
+    def evidence(self) -> DataFrame:
+        """Address list and fixed features of each suspicious (resolver, network), once."""
+        found = detection.evidence(self.suspicious_res_asn, self.suspicious_servers)
+        return self._keep("evidence", found)
+
+    @cached_property
+    def confirmed(self) -> DataFrame:
+        """Confirmed pairs, which refer to their evidence by (resolver, network)."""
+        found = detection.confirmed_pairs(
             profiles.link_names(self.network_rows, self.settings.fold_case),
             self.suspicious_res_asn,
             detection.without_tags(self.anomalies_res_dom, self.settings.ignored_tags),
         )
-        return detection.anomalies_res_asn(
-            confirmed, self.suspicious_res_asn, self.suspicious_servers
-        )
+        return self._keep("confirmed", found)
+
+    @cached_property
+    def anomalies_res_asn(self) -> DataFrame:
+        """Confirmed pairs with their evidence in every row, as the file has it."""
+        return detection.anomalies_res_asn(self.confirmed, self.evidence)
 
     # Counter tables in export form.
 
@@ -215,4 +215,5 @@ class Audit:
 
     @cached_property
     def final_report(self) -> DataFrame:
-        return report.final_report(self.report_stats, self.anomalies_res_asn)
+        found = report.manipulations_of(self.confirmed, self.evidence)
+        return report.final_report(self.report_stats, found)

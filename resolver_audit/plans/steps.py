@@ -126,7 +126,7 @@ def find_anomalies_res_asn(
         interchange.names_of_table(table, settings.fold_case), suspicious, flagged
     )
     found = detection.anomalies_res_asn(
-        confirmed, suspicious.drop("servers"), links.select(*LINK, "servers")
+        confirmed, detection.evidence(suspicious.drop("servers"), links.select(*LINK, "servers"))
     )
     interchange.write_anomalies_res_asn(found, out)
 
@@ -139,5 +139,5 @@ def aggregate_res(spark: SparkSession, log: str, asn_view: str, out: str) -> Non
 def final_report(spark: SparkSession, aggregated: str, anomalies: str, out: str) -> None:
     table = interchange.res_from_lines(interchange.read_lines(spark, aggregated))
     found = interchange.read_anomalies_res_asn(spark, anomalies)
-    rows = report.final_report(interchange.stats_of_table(table), found)
+    rows = report.final_report(interchange.stats_of_table(table), report.manipulations(found))
     interchange.write_report(rows, out)
