@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from resolver_audit.functions.answers import all_ttls
 from resolver_audit.functions.names import second_level_domain
-from resolver_audit.operators.skew import SALT, join_hot
+from resolver_audit.operators.skew import LINE, SALT, in_lines, join_hot
 
 CATEGORICAL = ("clen", "nip", "asn")
 PAIR_FEATURES = ("ttl", "clen", "nip", "asn", "sip")
@@ -260,13 +260,20 @@ def resolver_stats(values: DataFrame, features: tuple[str, ...] = tuple(STATISTI
 def res_profile(values: DataFrame) -> DataFrame:
     """Number of responses and the sorted value lists of every resolver (export form).
 
-    One row holds all names of a resolver; the report uses ``resolver_stats``.
+    A resolver with very many values has several rows, which add up and share no value;
+    the report uses ``resolver_stats``.
     """
     def members(feature: str) -> Column:
         listed = F.collect_list(F.when(F.col("feature") == feature, F.col("value")))
         return F.sort_array(listed)
 
-    return values.groupBy("resolver").agg(
-        F.sum(F.when(F.col("feature") == "queries", F.col("n"))).alias("n"),
-        *[members(f).alias(f) for f in ("clients", "queries", "servers", "asns")],
+    responses = F.sum(F.when(F.col("feature") == "queries", F.col("n")))
+    return (
+        in_lines(values, ["resolver"])
+        .groupBy("resolver", LINE)
+        .agg(
+            F.coalesce(responses, F.lit(0)).alias("n"),
+            *[members(f).alias(f) for f in ("clients", "queries", "servers", "asns")],
+        )
+        .drop(LINE)
     )

@@ -1,4 +1,4 @@
-"""Hot keys: joins of many rows with few facts about a key that may hold most of the rows.
+"""Hot keys: joins and groups whose key may hold most of the rows.
 
 A domain that half of the log asks for would be one task of every join by domain. Its rows
 are dealt to SALTS places by resolver, and the facts, one or a few per domain, are put at
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 SALTS = 32
 SALT = "_salt"
 
+#: Values that one exported row or line of a key holds, about.
+LINE_VALUES = 10_000
+LINE = "_line"
+
 
 def with_salt(rows: DataFrame, by: str = "resolver") -> DataFrame:
     """Adds the place of each row, by the value that must stay together."""
@@ -33,3 +37,19 @@ def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inn
     """
     placed = rows if SALT in rows.columns else with_salt(rows)
     return placed.join(at_every_salt(facts), [*keys, SALT], how)
+
+
+def in_lines(features: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds the line that each ``feature, value`` of a key goes to, from 0.
+
+    A key of at most LINE_VALUES values has one line. A larger one has as many as hold
+    its values, dealt by hash, so that a group by key and line is bounded. Only the
+    number of lines of large keys is joined to the rows.
+    """
+    sizes = features.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"))
+    large = sizes.filter(F.col("_values") > LINE_VALUES).select(
+        *keys, F.ceil(F.col("_values") / LINE_VALUES).cast("int").alias("_lines")
+    )
+    placed = join_hot(with_salt(features, "value"), large, keys, "left")
+    line = F.pmod(F.xxhash64("feature", "value"), F.coalesce("_lines", F.lit(1))).cast("int")
+    return placed.withColumn(LINE, line).drop("_lines", SALT)

@@ -194,11 +194,12 @@ class Audit:
     @cached_property
     def res_asn_table(self) -> DataFrame:
         features = profiles.res_asn_features(self.network_rows, self.address_rows)
-        return interchange.res_asn_table(features)
+        return interchange.res_asn_table(self._keep("link_features", features))
 
     @cached_property
     def res_table(self) -> DataFrame:
-        return profiles.res_profile(profiles.resolver_values(self.message_addresses, self.clients))
+        values = profiles.resolver_values(self.message_addresses, self.clients)
+        return profiles.res_profile(self._keep("resolver_values", values))
 
     # Resolvers.
 

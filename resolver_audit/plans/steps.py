@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from resolver_audit.operators import detection, report, thresholds
-from resolver_audit.operators.profiles import CATEGORICAL, LINK, pair_keys
+from resolver_audit.operators.profiles import CATEGORICAL, pair_keys
 from resolver_audit.plans.audit import Audit
 from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
@@ -115,7 +115,7 @@ def find_anomalies_res_asn(
 ) -> None:
     lines = interchange.read_lines(spark, aggregated)
     table = Staging(spark).keep("res_asn", interchange.res_asn_from_lines(lines))
-    links = interchange.links_of_table(table, settings.fold_case)
+    links = interchange.link_traits(table, settings.fold_case)
     suspicious = detection.suspicious_res_asn(
         links, interchange.read_params(spark, params), settings.percentile_pick
     )
@@ -125,9 +125,8 @@ def find_anomalies_res_asn(
     confirmed = detection.confirmed_pairs(
         interchange.names_of_table(table, settings.fold_case), suspicious, flagged
     )
-    found = detection.anomalies_res_asn(
-        confirmed, detection.evidence(suspicious.drop("servers"), links.select(*LINK, "servers"))
-    )
+    servers = interchange.servers_of_table(table, suspicious)
+    found = detection.anomalies_res_asn(confirmed, detection.evidence(suspicious, servers))
     interchange.write_anomalies_res_asn(found, out)
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resolver_audit.functions.names import second_level_domain
-from resolver_audit.operators.profiles import LINK, PAIR
+from resolver_audit.operators.profiles import LINK, PAIR, address_lists
+from resolver_audit.operators.skew import LINE, in_lines
 
 # Column order of the exported lines and of the report files.
 RES_DOM_MAPS = ("clen", "nip", "asn", "ttl", "sip")
@@ -34,7 +35,8 @@ COUNTER = "map<string,bigint>"
 LIST = "array<string>"
 
 
-# Counter tables: one row per key, one map per feature.
+# Counter tables: one map per feature, one row per key. A key with very many values has several
+# rows, which add up and share no value.
 
 
 def _counter(feature: str) -> Column:
@@ -42,24 +44,24 @@ def _counter(feature: str) -> Column:
     return F.map_from_entries(F.sort_array(entries)).alias(feature)
 
 
-def res_dom_table(features: DataFrame) -> DataFrame:
-    """``domain, resolver, n`` and the counters of (resolver, domain) as maps."""
-    responses = F.sum(F.when(F.col("feature") == "clen", F.col("n"))).alias("n")
+def _table(features: DataFrame, keys: list[str], maps: tuple[str, ...]) -> DataFrame:
+    responses = F.sum(F.when(F.col("feature") == "clen", F.col("n")))
     return (
-        features.groupBy(*PAIR)
-        .agg(responses, *[_counter(f) for f in RES_DOM_MAPS])
-        .select("domain", "resolver", "n", *RES_DOM_MAPS)
+        in_lines(features, keys)
+        .groupBy(*keys, LINE)
+        .agg(F.coalesce(responses, F.lit(0)).alias("n"), *[_counter(f) for f in maps])
+        .drop(LINE)
     )
 
 
+def res_dom_table(features: DataFrame) -> DataFrame:
+    """``domain, resolver, n`` and the counters of (resolver, domain) as maps."""
+    return _table(features, PAIR, RES_DOM_MAPS).select("domain", "resolver", "n", *RES_DOM_MAPS)
+
+
 def res_asn_table(features: DataFrame) -> DataFrame:
     """``resolver, asn, n`` and the counters of (resolver, network) as maps."""
-    responses = F.sum(F.when(F.col("feature") == "clen", F.col("n"))).alias("n")
-    return (
-        features.groupBy(*LINK)
-        .agg(responses, *[_counter(f) for f in RES_ASN_MAPS])
-        .select(*LINK, "n", *RES_ASN_MAPS)
-    )
+    return _table(features, LINK, RES_ASN_MAPS).select(*LINK, "n", *RES_ASN_MAPS)
 
 
 def table_counters(table: DataFrame, keys: list[str], features: tuple[str, ...]) -> DataFrame:
@@ -83,18 +85,38 @@ def _folded(names: Column, fold_case: bool) -> Column:
 
 def links_of_table(table: DataFrame, fold_case: bool = False) -> DataFrame:
     """A (resolver, network) table as ``resolver, asn, n, n_sld, fixed, servers``."""
-    slds = F.transform(_folded(F.map_keys("queries"), fold_case), second_level_domain)
+    return link_traits(table, fold_case).join(servers_of_table(table), LINK)
+
+
+def link_traits(table: DataFrame, fold_case: bool = False) -> DataFrame:
+    """The same without the address lists."""
+    counters = table_counters(table, LINK, ("clen", "nip", "ttl", "queries"))
+    is_name, value = F.col("feature") == "queries", F.col("value")
+    name = second_level_domain(F.lower(value) if fold_case else value)
+    merged = (
+        counters.withColumn("value", F.when(is_name, name).otherwise(value))
+        .groupBy(*LINK, "feature", "value")
+        .agg(F.sum("n").alias("n"))
+    )
+
+    def distinct(feature: str) -> Column:
+        return F.count_if((F.col("feature") == feature) & F.col("value").isNotNull())
+
     counted = {"ttl": "ttl", "cname": "clen", "nip": "nip"}
-    constant = [F.when(F.size(c) == 1, F.lit(name)) for name, c in counted.items()]
-    return table.select(
-        *LINK,
-        "n",
-        F.size(F.array_distinct(F.array_compact(slds))).cast("bigint").alias("n_sld"),
+    constant = [F.when(distinct(feature) == 1, F.lit(name)) for name, feature in counted.items()]
+    return merged.groupBy(*LINK).agg(
+        F.sum(F.when(F.col("feature") == "clen", F.col("n"))).alias("n"),
+        distinct("queries").alias("n_sld"),
         F.array_compact(F.array(*constant)).alias("fixed"),
-        F.array_join(F.sort_array(F.map_keys("servers")), ":").alias("servers"),
     )
 
 
+def servers_of_table(table: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """The address lists of ``links``, or of all, from a (resolver, network) table."""
+    wanted = table.join(links.select(*LINK), LINK, "left_semi") if links is not None else table
+    return address_lists(wanted.select(*LINK, F.explode(F.map_keys("servers")).alias("ip")))
+
+
 def names_of_table(table: DataFrame, fold_case: bool = False) -> DataFrame:
     """The names of a (resolver, network) table: ``resolver, asn, domain``."""
     return table.select(*LINK, F.explode(_folded(F.map_keys("queries"), fold_case)).alias("domain"))
@@ -108,11 +130,18 @@ def stats_of_table(table: DataFrame) -> DataFrame:
         "returned_servers": "servers",
         "returned_asns": "asns",
     }
-    return table.select(
-        "resolver",
-        F.col("n").alias("count"),
-        *[F.size(F.array_distinct(c)).cast("bigint").alias(name) for name, c in sizes.items()],
+
+    def entries(feature: str) -> Column:
+        name = F.lit(feature).alias("feature")
+        return F.transform(feature, lambda value: F.struct(name, value.alias("value")))
+
+    lists = F.concat(*[entries(feature) for feature in sizes.values()])
+    seen = table.select("resolver", F.inline(lists)).distinct()
+    counted = seen.groupBy("resolver").agg(
+        *[F.count_if(F.col("feature") == c).alias(name) for name, c in sizes.items()]
     )
+    totals = table.groupBy("resolver").agg(F.sum("n").alias("count"))
+    return totals.join(counted, "resolver", "left").na.fill(0, list(sizes))
 
 
 # Lines.

@@ -7,6 +7,7 @@ import pytest
 from golden import ANOMALIES, CONFIRMED, MIN_RESOLUTIONS, REPORT, VIEW, lines
 
 from resolver_audit.__main__ import main
+from resolver_audit.operators import skew
 from resolver_audit.plans import steps
 from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
@@ -58,8 +59,10 @@ def interchange_report_columns():
     return ["resolver", "queried_domains", "count", "clients", "asn", "domains", "servers"]
 
 
-def test_step_by_step(spark, log):
-    """Every step from the command line, each reading what the last one wrote."""
+@pytest.mark.parametrize("values", [skew.LINE_VALUES, 2])
+def test_step_by_step(spark, log, monkeypatch, values):
+    """Every step from the command line, each reading what the last one wrote, also in short lines."""
+    monkeypatch.setattr(skew, "LINE_VALUES", values)
     out = log / "out"
     view = ["--asn-view", str(log / "view")]
     at_least = ["--min-resolutions", str(MIN_RESOLUTIONS)]

@@ -1,6 +1,6 @@
 """Text forms: what is written can be read back."""
 
-from resolver_audit.operators import profiles
+from resolver_audit.operators import profiles, skew
 from resolver_audit.sources import interchange
 
 COUNTERS = "resolver string, domain string, feature string, value string, n bigint"
@@ -121,3 +121,27 @@ def test_folded_names(spark):
     table = spark.createDataFrame([("r", "1", {"A.com": 1, "a.com": 2})], "resolver string, asn string, queries map<string,bigint>")
     assert sorted(r.domain for r in interchange.names_of_table(table).collect()) == ["A.com", "a.com"]
     assert [r.domain for r in interchange.names_of_table(table, True).collect()] == ["a.com"]
+
+
+def test_keys_of_many_values_take_several_lines(spark, monkeypatch):
+    """Lines hold a bounded number of values; together they hold every value once, and counts add up."""
+    content = [("10.0.0.1", "64500", "queries", f"n{i}.com", i + 1) for i in range(500)]
+    content += [("10.0.0.1", "64500", f, v, n) for f, v, n in (("clen", "0", 125250), ("nip", "1", 125250), ("ttl", "60", 9))]
+    content += [("10.0.0.1", "64500", "servers", f"1.2.3.{i}", 2) for i in range(50)]
+    content += [("10.0.0.2", "64500", f, "1", 3) for f in ("queries", "clen", "nip", "ttl", "servers")]
+    frame = spark.createDataFrame(content, LINKS)
+    whole = interchange.links_of_table(interchange.res_asn_table(frame)).collect()
+    monkeypatch.setattr(skew, "LINE_VALUES", 20)
+    lines = interchange.res_asn_lines(interchange.res_asn_table(frame)).collect()
+    assert len(lines) > 20 and max(r.value.count(";") for r in lines) < 60
+    table = interchange.res_asn_from_lines(spark.createDataFrame(lines))
+    counters = interchange.table_counters(table, ["resolver", "asn"], interchange.RES_ASN_MAPS)
+    assert rows(counters) == sorted(content)
+    assert rows(interchange.links_of_table(table)) == sorted(map(tuple, whole))
+    assert sum(r.n for r in table.collect()) == 125250 + 3
+    values = frame.filter("feature in ('queries', 'servers')").select("resolver", "feature", "value", "n")
+    profile = profiles.res_profile(values)
+    assert profile.count() > 20
+    back = interchange.res_from_lines(interchange.res_lines(profile))
+    (one,) = interchange.stats_of_table(back).filter("resolver = '10.0.0.1'").collect()
+    assert (one["count"], one.queried_domains, one.returned_servers, one.clients) == (125250, 500, 50, 0)

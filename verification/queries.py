@@ -378,17 +378,17 @@ def final_report(spark, sf_dir):
 
 @query
 def export_res_dom(spark, sf_dir):
-    return interchange.res_dom_lines(lazy_audit(spark, sf_dir).res_dom_table)
+    return interchange.res_dom_lines(staged_audit(spark, sf_dir).res_dom_table)
 
 
 @query
 def export_res_asn(spark, sf_dir):
-    return interchange.res_asn_lines(lazy_audit(spark, sf_dir).res_asn_table)
+    return interchange.res_asn_lines(staged_audit(spark, sf_dir).res_asn_table)
 
 
 @query
 def export_res(spark, sf_dir):
-    return interchange.res_lines(lazy_audit(spark, sf_dir).res_table)
+    return interchange.res_lines(staged_audit(spark, sf_dir).res_table)
 
 
 @query
