@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from resolver_audit.functions.names import second_level_domain
 from resolver_audit.operators.profiles import LINK, PAIR, address_lists
+from resolver_audit.operators.report import REPORT_COLUMNS
 from resolver_audit.operators.skew import LINE, in_lines
 
 # Column order of the exported lines and of the report files.
@@ -289,6 +290,12 @@ def read_anomalies_res_asn(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumnRenamed("res", "resolver")
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The report as it was written, every cell as text."""
+    schema = ", ".join(f"`{c}` string" for c in REPORT_COLUMNS)
+    return spark.read.csv(path, header=True, schema=schema, **EXACT | {"emptyValue": ""})
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """CSV with header. The part files follow the order of the report."""
     report.write.mode("overwrite").csv(path, header=True, **EXACT)

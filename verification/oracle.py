@@ -7,7 +7,7 @@ are taken from exploded rows, nothing is merged beforehand.
 
 from __future__ import annotations
 
-from verification.tables import ASN_VIEW_SQL, DNS_LINES_SQL, DNS_LOG_SQL
+from verification.tables import ASN_VIEW_SQL, DNS_LINES_SQL, DNS_LOG_SQL, ODD_NAME, VIEW_LINES_SQL
 
 OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IPV4 = rf"{OCTET}(\.{OCTET}){{3}}"
@@ -532,4 +532,30 @@ ORACLES: dict[str, str] = {
         "resolver_values",
     ),
     "import_counters": all_of("pair_features"),
+    "file_log": statement(
+        """SELECT r.resolver, r.client, r.qname, r.rcode, r.rd, r.ra, r.dans, r.danttls,
+             lower(r.qname) AS domain FROM parsed_lines
+           WHERE r IS NOT NULL AND r.rcode = 'NOERROR' AND r.rd = '1' AND r.ra = '1'""",
+        "parsed_lines",
+    ),
+    "file_asn_view": f"""
+        SELECT {ip_number("string_split(prefix, '/')[1]")} AS network,
+          CAST(string_split(prefix, '/')[2] AS int) AS prefix_len, asn
+        FROM (SELECT string_split(value, chr(9))[1] AS prefix, string_split(value, chr(9))[2] AS asn
+              FROM ({VIEW_LINES_SQL.format(supplier='supplier')}) WHERE value NOT LIKE ';%')
+        WHERE regexp_full_match(string_split(prefix, '/')[1], '{IPV4}')
+          AND CAST(string_split(prefix, '/')[2] AS int) BETWEEN 0 AND 32""",
+    "file_anomalies_res_dom": statement(
+        f"SELECT resolver, {ODD_NAME.format(name='domain')} AS domain, types FROM pair_anomalies", "pair_anomalies"
+    ),
+    "file_anomalies_res_asn": statement(
+        f"""SELECT resolver, {ODD_NAME.format(name='domain')} AS domain, asn, servers, fixed_features
+            FROM confirmed""",
+        "confirmed",
+    ),
 }
+
+ORACLES["file_report"] = f"""
+SELECT resolver, CAST(queried_domains AS varchar) AS queried_domains, CAST(count AS varchar) AS count,
+  CAST(clients AS varchar) AS clients, asn, {ODD_NAME.format(name='domains')} AS domains, servers
+FROM ({ORACLES["final_report"]})"""

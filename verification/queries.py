@@ -16,8 +16,9 @@ from resolver_audit.operators.routing import Routes, with_networks
 from resolver_audit.plans.audit import Audit
 from resolver_audit.plans.staging import Staging
 from resolver_audit.sources import interchange
-from resolver_audit.sources.dns_log import parse_lines, well_formed
-from verification.tables import dns_lines, dns_log, table, view
+from resolver_audit.sources.asn_view import read_asn_view
+from resolver_audit.sources.dns_log import parse_lines, read_log, well_formed
+from verification.tables import ODD_NAME, VIEW_LINES_SQL, dns_lines, dns_log, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -397,3 +398,53 @@ def import_counters(spark, sf_dir):
     return interchange.table_counters(
         interchange.res_dom_from_lines(lines), ["resolver", "domain"], profiles.PAIR_FEATURES
     )
+
+
+# Files: written to the shared folder and read back.
+
+
+def folder(spark) -> str:
+    return Staging(spark).folder
+
+
+def with_odd_names(frame: DataFrame, column: str) -> DataFrame:
+    """Empty names, and such with blanks, quotes and separators, by resolver."""
+    return frame.withColumn(column, F.expr(ODD_NAME.format(name=column)))
+
+
+@query
+def file_log(spark, sf_dir):
+    path = f"{folder(spark)}/log"
+    interchange.write_lines(dns_lines(spark, sf_dir).select(F.col("line").alias("value")), path)
+    return rows.recursive_success(well_formed(parse_lines(read_log(spark, path))))
+
+
+@query
+def file_asn_view(spark, sf_dir):
+    path = f"{folder(spark)}/view"
+    lines = spark.sql(VIEW_LINES_SQL, supplier=table(spark, sf_dir, "supplier"))
+    interchange.write_lines(lines, path)
+    return read_asn_view(spark, path)
+
+
+@query
+def file_anomalies_res_dom(spark, sf_dir):
+    path = f"{folder(spark)}/pairs"
+    found = with_odd_names(staged_audit(spark, sf_dir).anomalies_res_dom, "domain")
+    interchange.write_anomalies_res_dom(found, path)
+    return interchange.read_anomalies_res_dom(spark, path).withColumn("types", joined("types"))
+
+
+@query
+def file_anomalies_res_asn(spark, sf_dir):
+    path = f"{folder(spark)}/confirmed"
+    found = with_odd_names(staged_audit(spark, sf_dir).anomalies_res_asn, "domain")
+    interchange.write_anomalies_res_asn(found, path)
+    return interchange.read_anomalies_res_asn(spark, path)
+
+
+@query
+def file_report(spark, sf_dir):
+    path = f"{folder(spark)}/report"
+    interchange.write_report(with_odd_names(staged_audit(spark, sf_dir).final_report, "domains"), path)
+    return interchange.read_report(spark, path)

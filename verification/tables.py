@@ -72,6 +72,22 @@ FROM {dns_log}
 """
 
 
+# Names as a file may have to carry them: empty, with blanks, quotes and separators.
+ODD_NAME = """CASE ascii(right(resolver, 1)) % 5
+  WHEN 0 THEN '' WHEN 1 THEN ' ' || {name} || ' ' WHEN 2 THEN '"' || {name} || '""x'
+  WHEN 3 THEN {name} || ',y;z w' ELSE {name} END"""
+
+# An ASN view as text lines: networks by supplier, some comments, some lines of another form.
+VIEW_LINES_SQL = """
+SELECT CASE WHEN s_suppkey % 11 = 0 THEN '; comment ' || CAST(s_suppkey AS string)
+            WHEN s_suppkey % 13 = 0 THEN 'no.network/8' || chr(9) || '1'
+            WHEN s_suppkey % 17 = 0 THEN '10.0.0.0/40' || chr(9) || '2'
+            ELSE CAST(1 + s_suppkey % 220 AS string) || '.' || CAST(s_suppkey % 256 AS string) || '.0.0/'
+                 || CAST(8 + s_nationkey % 25 AS string) || chr(9) || CAST(64500 + s_nationkey AS string) END AS value
+FROM {supplier}
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
