@@ -14,20 +14,21 @@ Both have ``n`` responses, ``n_last`` of them with an integer last TTL between
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resolver_audit.operators.responses import with_answer_profile, with_ttls
+from resolver_audit.operators.responses import is_recursive_success, with_answer_profile, with_ttls
 from resolver_audit.operators.routing import Routes, with_networks
+from resolver_audit.sources.dns_log import LONG_LAYOUT_FIELDS, SHORT_LAYOUT_FIELDS
 
 MESSAGE_KEY = ["resolver", "qname", "dans"]
 RESPONSE_KEY = [*MESSAGE_KEY, "danttls"]
 TTL_STATE = ["n_last", "last_min", "last_max", "n_valid", "ttl_min", "ttl_max"]
 
 
-def messages(responses: DataFrame) -> DataFrame:
-    """Distinct (resolver, name, answer) with their number, TTL state and answer profile."""
-    merged = with_ttls(responses).groupBy(*MESSAGE_KEY).agg(
+def _state() -> list[Column]:
+    """The number of responses and their TTL state, from ``ttl_last, ttl_min, ttl_max``."""
+    return [
         F.count(F.lit(1)).alias("n"),
         F.count("ttl_last").alias("n_last"),
         F.min("ttl_last").alias("last_min"),
@@ -35,13 +36,66 @@ def messages(responses: DataFrame) -> DataFrame:
         F.count("ttl_min").alias("n_valid"),
         F.min("ttl_min").alias("ttl_min"),
         F.max("ttl_max").alias("ttl_max"),
+    ]
+
+
+def condensed(parsed: DataFrame, keep_ttls: bool = False) -> DataFrame:
+    """Everything that later stages need of the log, from one pass over its parsed lines.
+
+    Rows of ``kind`` message hold a message (in ``resolver, name, dans``) with its number
+    and TTL state, rows of kind client a client (``name``) of a resolver, and one row of
+    kind malformed the number of lines in neither layout. ``keep_ttls`` keeps messages
+    with another list of TTLs (``danttls``) apart, for exported TTL counters. A line that
+    is not a successful recursive response gives nothing.
+    """
+    laid_out = F.col("n_fields").isin(SHORT_LAYOUT_FIELDS, LONG_LAYOUT_FIELDS)
+    none, ttls = F.lit(None).cast("string"), ("ttl_last", "ttl_min", "ttl_max")
+
+    def entry(kind: str, resolver, name, dans, danttls, *bounds) -> Column:
+        named = dict(resolver=resolver, name=name, dans=dans, danttls=danttls, **dict(zip(ttls, bounds)))
+        return F.struct(F.lit(kind).alias("kind"), *[column.alias(c) for c, column in named.items()])
+
+    absent = [F.lit(None).cast("bigint")] * 3
+    danttls = F.col("danttls") if keep_ttls else none
+    message = entry("message", F.col("resolver"), F.col("qname"), F.col("dans"), danttls, *map(F.col, ttls))
+    client = entry("client", F.col("resolver"), F.col("client"), none, none, *absent)
+    malformed = entry("malformed", none, none, none, none, *absent)
+    entries = F.when(laid_out & is_recursive_success(), F.array(message, client)).when(
+        ~laid_out, F.array(malformed)
+    )
+    keys = ["kind", "resolver", "name", "dans", "danttls"]
+    return with_ttls(parsed).select(F.inline(entries)).groupBy(*keys).agg(*_state())
+
+
+def merged_messages(stored: DataFrame) -> DataFrame:
+    """The messages of a condensed log, merged over lists of TTLs that were kept apart."""
+    found = stored.filter("kind = 'message'").withColumnRenamed("name", "qname")
+    add = [F.sum(c).alias(c) for c in ("n", "n_last", "n_valid")]
+    least, most = ("last_min", "ttl_min"), ("last_max", "ttl_max")
+    merged = found.groupBy(*MESSAGE_KEY).agg(
+        *add, *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most]
     )
     return with_answer_profile(merged)
 
 
+def messages(responses: DataFrame) -> DataFrame:
+    """Distinct (resolver, name, answer) with their number, TTL state and answer profile."""
+    return with_answer_profile(with_ttls(responses).groupBy(*MESSAGE_KEY).agg(*_state()))
+
+
 def observations(responses: DataFrame) -> DataFrame:
     """As ``messages``, one row for each list of TTLs."""
-    merged = responses.groupBy(*RESPONSE_KEY).agg(F.count(F.lit(1)).alias("n"))
+    return with_state(responses.groupBy(*RESPONSE_KEY).agg(F.count(F.lit(1)).alias("n")))
+
+
+def kept_observations(stored: DataFrame) -> DataFrame:
+    """The same from a condensed log that kept lists of TTLs apart."""
+    found = stored.filter("kind = 'message'").withColumnRenamed("name", "qname")
+    return with_state(found.select(*RESPONSE_KEY, "n"))
+
+
+def with_state(merged: DataFrame) -> DataFrame:
+    """Adds TTL state and answer profile to distinct responses."""
     n = F.col("n")
     states = {
         "n_last": F.when(F.col("ttl_last").isNotNull(), n).otherwise(0),

@@ -15,11 +15,14 @@ from resolver_audit.functions.answers import (
 from resolver_audit.sources.dns_log import LONG_LAYOUT_FIELDS, SHORT_LAYOUT_FIELDS
 
 
+def is_recursive_success() -> Column:
+    """Whether a response successfully answers a recursive query."""
+    return (F.col("rcode") == "NOERROR") & (F.col("rd") == "1") & (F.col("ra") == "1")
+
+
 def recursive_success(responses: DataFrame) -> DataFrame:
     """Successful answers to recursive queries, with the case-folded name as ``domain``."""
-    return responses.filter(
-        (F.col("rcode") == "NOERROR") & (F.col("rd") == "1") & (F.col("ra") == "1")
-    ).withColumn("domain", F.lower("qname"))
+    return responses.filter(is_recursive_success()).withColumn("domain", F.lower("qname"))
 
 
 def with_answer_profile(responses: DataFrame) -> DataFrame:
@@ -77,13 +80,7 @@ def rejected_rows(parsed: DataFrame) -> DataFrame:
     """
     laid_out = F.col("n_fields").isin(SHORT_LAYOUT_FIELDS, LONG_LAYOUT_FIELDS)
     profiled = with_ttls(with_answer_profile(parsed))
-    judged = (
-        laid_out
-        & (F.col("rcode") == "NOERROR")
-        & (F.col("rd") == "1")
-        & (F.col("ra") == "1")
-        & (F.col("nip") > 0)
-    )
+    judged = laid_out & is_recursive_success() & (F.col("nip") > 0)
     reasons = {
         "field_count": ~laid_out,
         "last_ttl": judged & F.col("ttl_last").isNull(),
@@ -92,3 +89,15 @@ def rejected_rows(parsed: DataFrame) -> DataFrame:
     }
     counts = profiled.agg(*[F.count_if(test).alias(reason) for reason, test in reasons.items()])
     return counts.unpivot([], list(reasons), "reason", "n")
+
+
+def rejected_of(malformed: DataFrame, network_rows: DataFrame) -> DataFrame:
+    """The same from a condensed log: its malformed lines, and its messages by network."""
+    judged = network_rows.filter((F.col("nip") > 0) & F.col("lead"))
+    counts = judged.agg(
+        F.sum(F.col("n") - F.col("n_last")).alias("last_ttl"),
+        F.sum(F.col("n") - F.col("n_valid")).alias("any_ttl"),
+        F.sum(F.when(F.col("qname") == "", F.col("n"))).alias("empty_name"),
+    ).unpivot([], ["last_ttl", "any_ttl", "empty_name"], "reason", "n")
+    lines = malformed.agg(F.sum("n").alias("n")).select(F.lit("field_count").alias("reason"), "n")
+    return lines.unionByName(counts).na.fill(0, ["n"])

@@ -45,8 +45,9 @@ class Audit:
 
     Results are properties, built on first use. With ``staging``, the tables that
     several results share are written once; without, everything stays lazy.
-    ``from_text`` says that ``parsed`` comes straight from text lines: the audited
-    responses are then stored as well, so that the text is read once.
+    ``from_text`` says that ``parsed`` holds all lines of a text log, with ``n_fields``:
+    the log is then condensed into one stored table, so that the text is read once.
+    ``keep_ttls`` keeps in it what exported TTL counters need.
     """
 
     def __init__(
@@ -56,12 +57,14 @@ class Audit:
         settings: AuditSettings = AuditSettings(),
         staging: Staging | None = None,
         from_text: bool = False,
+        keep_ttls: bool = False,
     ):
         self.parsed = parsed
         self.view = view
         self.settings = settings
         self.staging = staging
         self.from_text = from_text
+        self.keep_ttls = keep_ttls
 
     def _keep(self, name: str, frame: DataFrame) -> DataFrame:
         return self.staging.keep(name, frame) if self.staging else frame
@@ -70,14 +73,21 @@ class Audit:
     def routes(self) -> Routes:
         return Routes.of(self.view)
 
+    @cached_property
+    def condensed(self) -> DataFrame:
+        """The text log in one table, each kind of rows in files of its own."""
+        found = observations.condensed(self.parsed, self.keep_ttls)
+        return self.staging.keep("condensed", found, "kind") if self.staging else found
+
     @cached_property
     def responses(self) -> DataFrame:
-        audited = responses.recursive_success(self.parsed).select(*RESPONSE_COLUMNS)
-        return self._keep("responses", audited) if self.from_text else audited
+        return responses.recursive_success(self.parsed).select(*RESPONSE_COLUMNS)
 
     @cached_property
     def messages(self) -> DataFrame:
         """Distinct messages with their number; TTLs are merged."""
+        if self.from_text:
+            return observations.merged_messages(self.condensed)
         return observations.messages(self.responses)
 
     @cached_property
@@ -88,7 +98,11 @@ class Audit:
     @cached_property
     def address_rows(self) -> DataFrame:
         """One row per message, list of TTLs and address, for exported TTL counters."""
-        return observations.addresses(observations.observations(self.responses), self.routes)
+        if self.from_text and self.keep_ttls:
+            found = observations.kept_observations(self.condensed)
+        else:
+            found = observations.observations(self.responses)
+        return observations.addresses(found, self.routes)
 
     @cached_property
     def network_rows(self) -> DataFrame:
@@ -98,8 +112,15 @@ class Audit:
 
     @cached_property
     def clients(self) -> DataFrame:
+        if self.from_text:
+            return self.condensed.filter("kind = 'client'").select("resolver", F.col("name").alias("client"))
         return profiles.client_pairs(self.responses)
 
+    @cached_property
+    def rejected_rows(self) -> DataFrame:
+        """Number of lines of a text log that were left out, by reason."""
+        return responses.rejected_of(self.condensed.filter("kind = 'malformed'"), self.network_rows)
+
     # Unusual (resolver, domain) pairs.
 
     @cached_property

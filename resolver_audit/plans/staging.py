@@ -39,7 +39,7 @@ class Staging:
         self.spark = spark
         self.folder = folder or f"{staging_root(spark)}/resolver-audit-{uuid.uuid4().hex}"
 
-    def keep(self, name: str, frame: DataFrame) -> DataFrame:
+    def keep(self, name: str, frame: DataFrame, *partition_by: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        frame.write.mode("overwrite").parquet(path)
+        frame.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)

@@ -16,7 +16,7 @@ from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
 from resolver_audit.sources import interchange
 from resolver_audit.sources.asn_view import read_asn_view
-from resolver_audit.sources.dns_log import parse_lines, read_log, well_formed
+from resolver_audit.sources.dns_log import parse_lines, read_log
 
 # Names of the files in an output folder.
 RES_DOM = "aggregate-res-dom.csv"
@@ -26,6 +26,7 @@ RES_ASN = "aggregate-res-asn.csv"
 RES_ASN_ANOMALIES = "anomalies-res-asn-dom.csv"
 RES = "aggregate-res.csv"
 REPORT = "final-report-res.csv"
+REJECTED = "rejected-rows.csv"
 
 
 def audit_of_log(
@@ -34,11 +35,12 @@ def audit_of_log(
     asn_view: str,
     settings: AuditSettings = AuditSettings(),
     staging: Staging | None = None,
+    keep_ttls: bool = False,
 ) -> Audit:
-    """The audit of a text log."""
-    parsed = well_formed(parse_lines(read_log(spark, log)))
+    """The audit of a text log; ``keep_ttls`` for exported TTL counters."""
+    parsed = parse_lines(read_log(spark, log))
     view = read_asn_view(spark, asn_view)
-    return Audit(parsed, view, settings, staging, from_text=staging is not None)
+    return Audit(parsed, view, settings, staging, from_text=True, keep_ttls=keep_ttls)
 
 
 def run(
@@ -54,7 +56,8 @@ def run(
     The aggregate files are written on request: nothing later reads them, and
     their lines grow with the number of names of a resolver.
     """
-    audit = audit_of_log(spark, log, asn_view, settings, Staging(spark))
+    audit = audit_of_log(spark, log, asn_view, settings, Staging(spark), keep_ttls=aggregates)
+    interchange.write_rejected(audit.rejected_rows, f"{out}/{REJECTED}")
     interchange.write_anomalies_res_dom(audit.anomalies_res_dom, f"{out}/{RES_DOM_ANOMALIES}")
     interchange.write_params(audit.params, f"{out}/{PARAMS}")
     interchange.write_anomalies_res_asn(audit.anomalies_res_asn, f"{out}/{RES_ASN_ANOMALIES}")
@@ -70,7 +73,7 @@ def run(
 
 
 def aggregate_res_dom(spark: SparkSession, log: str, asn_view: str, out: str) -> None:
-    table = audit_of_log(spark, log, asn_view).res_dom_table
+    table = audit_of_log(spark, log, asn_view, staging=Staging(spark), keep_ttls=True).res_dom_table
     interchange.write_lines(interchange.res_dom_lines(table), out)
 
 
@@ -101,7 +104,7 @@ def learn_params(
 
 
 def aggregate_res_asn(spark: SparkSession, log: str, asn_view: str, out: str) -> None:
-    table = audit_of_log(spark, log, asn_view, staging=Staging(spark)).res_asn_table
+    table = audit_of_log(spark, log, asn_view, staging=Staging(spark), keep_ttls=True).res_asn_table
     interchange.write_lines(interchange.res_asn_lines(table), out)
 
 

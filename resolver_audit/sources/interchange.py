@@ -290,6 +290,11 @@ def read_anomalies_res_asn(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumnRenamed("res", "resolver")
 
 
+def write_rejected(rejected: DataFrame, path: str) -> None:
+    """CSV with header: reason, n."""
+    rejected.select("reason", "n").write.mode("overwrite").csv(path, header=True)
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """The report as it was written, every cell as text."""
     schema = ", ".join(f"`{c}` string" for c in REPORT_COLUMNS)

@@ -7,7 +7,7 @@ import pytest
 from golden import ANOMALIES, CONFIRMED, MIN_RESOLUTIONS, REPORT, VIEW, lines
 
 from resolver_audit.__main__ import main
-from resolver_audit.operators import skew
+from resolver_audit.operators import responses, skew
 from resolver_audit.plans import steps
 from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
@@ -113,3 +113,25 @@ def test_fold_case(spark, log):
 
     assert confirmed(False) == ["b.com", "c.com"]
     assert confirmed(True) == ["a.com", "b.com", "c.com"]
+
+
+@pytest.mark.parametrize("aggregates", [False, True])
+def test_the_log_is_read_once(spark, log, aggregates):
+    """After the log has been condensed nothing needs its text, also not the exported counters."""
+    source, view = str(log / "log"), str(log / "view")
+    broken = ["a,b", lines()[0].replace('"3600,60"', '"x"'), lines()[1].replace('"3600,60"', '"y,60"')]
+    (log / "log").write_text("\n".join([*lines(), *broken]) + "\n")
+    settings = AuditSettings(min_resolutions=MIN_RESOLUTIONS)
+    lazy = steps.audit_of_log(spark, source, view, settings, keep_ttls=aggregates)
+    wanted = {r.reason: r.n for r in responses.rejected_rows(lazy.parsed).collect()}
+    tables = ("res_dom_table", "res_asn_table", "res_table") if aggregates else ()
+    expected = {t: sorted(map(repr, getattr(lazy, t).collect())) for t in (*tables, "final_report")}
+    audit = steps.audit_of_log(spark, source, view, settings, Staging(spark), keep_ttls=aggregates)
+    kinds = {r.kind: r.n for r in audit.condensed.groupBy("kind").agg({"n": "sum"}).toDF("kind", "n").collect()}
+    audited = responses.recursive_success(lazy.parsed).count()
+    assert kinds == {"message": audited, "client": audited, "malformed": wanted["field_count"]}
+    (log / "log").write_text("")
+    assert {r.reason: r.n for r in audit.rejected_rows.collect()} == wanted
+    assert wanted["field_count"] >= 1 and wanted["last_ttl"] == 1 and wanted["any_ttl"] == 2
+    for name, rows in expected.items():
+        assert sorted(map(repr, getattr(audit, name).collect())) == rows
