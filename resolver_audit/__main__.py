@@ -31,6 +31,17 @@ TUNABLE = {
 }
 
 
+# commands that can hand over clustered tables in place of text
+HANDING_OVER = (
+    "aggregate-res-dom",
+    "find-anomalies-res-dom",
+    "aggregate-res-asn",
+    "find-anomalies-res-asn",
+    "aggregate-res",
+    "final-report",
+)
+
+
 def parser() -> argparse.ArgumentParser:
     defaults = AuditSettings()
     top = argparse.ArgumentParser(prog="resolver_audit", description=__doc__)
@@ -53,6 +64,8 @@ def parser() -> argparse.ArgumentParser:
                 sub.add_argument(flag, type=type(default), default=default)
         if command == "run":
             sub.add_argument("--aggregates", action="store_true")
+        if command in HANDING_OVER:
+            sub.add_argument("--tables", action="store_true")
     return top
 
 

@@ -213,14 +213,24 @@ class Audit:
         return interchange.res_dom_table(self.pair_features)
 
     @cached_property
-    def res_asn_table(self) -> DataFrame:
+    def link_features(self) -> DataFrame:
+        """Counters of every feature per (resolver, network)."""
         features = profiles.res_asn_features(self.network_rows, self.address_rows)
-        return interchange.res_asn_table(self._keep("link_features", features))
+        return self._keep("link_features", features)
 
     @cached_property
-    def res_table(self) -> DataFrame:
+    def resolver_values(self) -> DataFrame:
+        """Everything each resolver was seen with."""
         values = profiles.resolver_values(self.message_addresses, self.clients)
-        return profiles.res_profile(self._keep("resolver_values", values))
+        return self._keep("resolver_values", values)
+
+    @cached_property
+    def res_asn_table(self) -> DataFrame:
+        return interchange.res_asn_table(self.link_features)
+
+    @cached_property
+    def res_table(self) -> DataFrame:
+        return profiles.res_profile(self.resolver_values)
 
     # Resolvers.
 

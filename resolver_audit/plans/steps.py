@@ -2,20 +2,23 @@
 
 ``run`` is the whole audit in one application, over a log that is read once. The
 other functions do one step each, for runs that keep or exchange the intermediate
-files; their text forms hold one line per key, see ``sources.interchange``.
+files: as text, see ``sources.interchange``, or, with ``tables``, as long Parquet tables
+clustered by key, see ``sources.clustered``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from resolver_audit.operators import detection, report, thresholds
-from resolver_audit.operators.profiles import CATEGORICAL, pair_keys
+from resolver_audit.operators.profiles import CATEGORICAL, LINK, PAIR, pair_keys, resolver_stats
 from resolver_audit.plans.audit import Audit
 from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
 from resolver_audit.sources import interchange
 from resolver_audit.sources.asn_view import read_asn_view
+from resolver_audit.sources.clustered import read_clustered, write_clustered
 from resolver_audit.sources.dns_log import parse_lines, read_log
 
 # Names of the files in an output folder.
@@ -72,20 +75,36 @@ def run(
     return audit.final_report
 
 
-def aggregate_res_dom(spark: SparkSession, log: str, asn_view: str, out: str) -> None:
-    table = audit_of_log(spark, log, asn_view, staging=Staging(spark), keep_ttls=True).res_dom_table
-    interchange.write_lines(interchange.res_dom_lines(table), out)
+def aggregate_res_dom(
+    spark: SparkSession, log: str, asn_view: str, out: str, tables: bool = False
+) -> None:
+    audit = audit_of_log(spark, log, asn_view, staging=Staging(spark), keep_ttls=True)
+    if tables:
+        write_clustered(audit.pair_features, out, PAIR)
+    else:
+        interchange.write_lines(interchange.res_dom_lines(audit.res_dom_table), out)
 
 
 def find_anomalies_res_dom(
-    spark: SparkSession, aggregated: str, out: str, settings: AuditSettings = AuditSettings()
+    spark: SparkSession,
+    aggregated: str,
+    out: str,
+    settings: AuditSettings = AuditSettings(),
+    tables: bool = False,
 ) -> None:
-    lines = interchange.read_lines(spark, aggregated)
-    table = Staging(spark).keep("res_dom", interchange.res_dom_from_lines(lines))
-    considered = thresholds.considered_domains(table, settings.min_resolutions)
-    judged = detection.of_considered(table, considered)
-    counters = interchange.table_counters(judged, pair_keys(judged), CATEGORICAL)
-    ttls = interchange.table_counters(judged, pair_keys(judged), ("ttl",))
+    if tables:
+        features = read_clustered(spark, aggregated)
+        counts = features.filter(F.col("feature") == "clen")
+        considered = thresholds.considered_domains(counts, settings.min_resolutions)
+        ttls = judged = detection.of_considered(features, considered)
+        counters = judged.filter(F.col("feature").isin(*CATEGORICAL))
+    else:
+        lines = interchange.read_lines(spark, aggregated)
+        table = Staging(spark).keep("res_dom", interchange.res_dom_from_lines(lines))
+        considered = thresholds.considered_domains(table, settings.min_resolutions)
+        judged = detection.of_considered(table, considered)
+        counters = interchange.table_counters(judged, pair_keys(judged), CATEGORICAL)
+        ttls = interchange.table_counters(judged, pair_keys(judged), ("ttl",))
     found = detection.find_anomalies_res_dom(
         counters, thresholds.ttl_ranges_of_counters(ttls), settings
     )
@@ -103,9 +122,14 @@ def learn_params(
     interchange.write_params(detection.learn_params(slds), out)
 
 
-def aggregate_res_asn(spark: SparkSession, log: str, asn_view: str, out: str) -> None:
-    table = audit_of_log(spark, log, asn_view, staging=Staging(spark), keep_ttls=True).res_asn_table
-    interchange.write_lines(interchange.res_asn_lines(table), out)
+def aggregate_res_asn(
+    spark: SparkSession, log: str, asn_view: str, out: str, tables: bool = False
+) -> None:
+    audit = audit_of_log(spark, log, asn_view, staging=Staging(spark), keep_ttls=True)
+    if tables:
+        write_clustered(audit.link_features, out, LINK)
+    else:
+        interchange.write_lines(interchange.res_asn_lines(audit.res_asn_table), out)
 
 
 def find_anomalies_res_asn(
@@ -115,31 +139,50 @@ def find_anomalies_res_asn(
     anomalies: str,
     out: str,
     settings: AuditSettings = AuditSettings(),
+    tables: bool = False,
 ) -> None:
-    lines = interchange.read_lines(spark, aggregated)
-    table = Staging(spark).keep("res_asn", interchange.res_asn_from_lines(lines))
-    links = interchange.link_traits(table, settings.fold_case)
+    if tables:
+        features = read_clustered(spark, aggregated)
+        links = interchange.traits_of(features, settings.fold_case)
+        names = interchange.names_of(features, settings.fold_case)
+    else:
+        lines = interchange.read_lines(spark, aggregated)
+        table = Staging(spark).keep("res_asn", interchange.res_asn_from_lines(lines))
+        links = interchange.link_traits(table, settings.fold_case)
+        names = interchange.names_of_table(table, settings.fold_case)
     suspicious = detection.suspicious_res_asn(
         links, interchange.read_params(spark, params), settings.percentile_pick
     )
     flagged = detection.without_tags(
         interchange.read_anomalies_res_dom(spark, anomalies), settings.ignored_tags
     )
-    confirmed = detection.confirmed_pairs(
-        interchange.names_of_table(table, settings.fold_case), suspicious, flagged
-    )
-    servers = interchange.servers_of_table(table, suspicious)
+    confirmed = detection.confirmed_pairs(names, suspicious, flagged)
+    if tables:
+        servers = interchange.servers_of(features, suspicious)
+    else:
+        servers = interchange.servers_of_table(table, suspicious)
     found = detection.anomalies_res_asn(confirmed, detection.evidence(suspicious, servers))
     interchange.write_anomalies_res_asn(found, out)
 
 
-def aggregate_res(spark: SparkSession, log: str, asn_view: str, out: str) -> None:
-    table = audit_of_log(spark, log, asn_view, staging=Staging(spark)).res_table
-    interchange.write_lines(interchange.res_lines(table), out)
+def aggregate_res(
+    spark: SparkSession, log: str, asn_view: str, out: str, tables: bool = False
+) -> None:
+    audit = audit_of_log(spark, log, asn_view, staging=Staging(spark))
+    if tables:
+        write_clustered(audit.resolver_values, out, ["resolver"])
+    else:
+        interchange.write_lines(interchange.res_lines(audit.res_table), out)
 
 
-def final_report(spark: SparkSession, aggregated: str, anomalies: str, out: str) -> None:
-    table = interchange.res_from_lines(interchange.read_lines(spark, aggregated))
+def final_report(
+    spark: SparkSession, aggregated: str, anomalies: str, out: str, tables: bool = False
+) -> None:
+    if tables:
+        stats = resolver_stats(read_clustered(spark, aggregated))
+    else:
+        table = interchange.res_from_lines(interchange.read_lines(spark, aggregated))
+        stats = interchange.stats_of_table(table)
     found = interchange.read_anomalies_res_asn(spark, anomalies)
-    rows = report.final_report(interchange.stats_of_table(table), report.manipulations(found))
+    rows = report.final_report(stats, report.manipulations(found))
     interchange.write_report(rows, out)

@@ -91,7 +91,12 @@ def links_of_table(table: DataFrame, fold_case: bool = False) -> DataFrame:
 
 def link_traits(table: DataFrame, fold_case: bool = False) -> DataFrame:
     """The same without the address lists."""
-    counters = table_counters(table, LINK, ("clen", "nip", "ttl", "queries"))
+    return traits_of(table_counters(table, LINK, ("clen", "nip", "ttl", "queries")), fold_case)
+
+
+def traits_of(features: DataFrame, fold_case: bool = False) -> DataFrame:
+    """The same from long counters per (resolver, network)."""
+    counters = features.filter(F.col("feature").isin("clen", "nip", "ttl", "queries"))
     is_name, value = F.col("feature") == "queries", F.col("value")
     name = second_level_domain(F.lower(value) if fold_case else value)
     merged = (
@@ -112,6 +117,18 @@ def link_traits(table: DataFrame, fold_case: bool = False) -> DataFrame:
     )
 
 
+def names_of(features: DataFrame, fold_case: bool = False) -> DataFrame:
+    """The names in long counters per (resolver, network): ``resolver, asn, domain``."""
+    name = F.lower("value") if fold_case else F.col("value")
+    return features.filter(F.col("feature") == "queries").select(*LINK, name.alias("domain"))
+
+
+def servers_of(features: DataFrame, links: DataFrame) -> DataFrame:
+    """The address lists of ``links``, from long counters per (resolver, network)."""
+    rows = features.filter(F.col("feature") == "servers").join(links.select(*LINK), LINK, "left_semi")
+    return address_lists(rows.select(*LINK, F.col("value").alias("ip")))
+
+
 def servers_of_table(table: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """The address lists of ``links``, or of all, from a (resolver, network) table."""
     wanted = table.join(links.select(*LINK), LINK, "left_semi") if links is not None else table

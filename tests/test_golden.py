@@ -59,9 +59,9 @@ def interchange_report_columns():
     return ["resolver", "queried_domains", "count", "clients", "asn", "domains", "servers"]
 
 
-@pytest.mark.parametrize("values", [skew.LINE_VALUES, 2])
-def test_step_by_step(spark, log, monkeypatch, values):
-    """Every step from the command line, each reading what the last one wrote, also in short lines."""
+@pytest.mark.parametrize(("values", "tables"), [(skew.LINE_VALUES, []), (2, []), (2, ["--tables"])])
+def test_step_by_step(spark, log, monkeypatch, values, tables):
+    """Every step from the command line, each reading what the last one wrote: lines, short lines, tables."""
     monkeypatch.setattr(skew, "LINE_VALUES", values)
     out = log / "out"
     view = ["--asn-view", str(log / "view")]
@@ -71,10 +71,10 @@ def test_step_by_step(spark, log, monkeypatch, values):
         return str(out / name)
 
     source = str(log / "log")
-    main(["aggregate-res-dom", source, path(steps.RES_DOM), *view])
-    main(["find-anomalies-res-dom", path(steps.RES_DOM), path(steps.RES_DOM_ANOMALIES), *at_least])
+    main(["aggregate-res-dom", source, path(steps.RES_DOM), *view, *tables])
+    main(["find-anomalies-res-dom", path(steps.RES_DOM), path(steps.RES_DOM_ANOMALIES), *at_least, *tables])
     main(["learn-params", source, path(steps.RES_DOM_ANOMALIES), path(steps.PARAMS), *view])
-    main(["aggregate-res-asn", source, path(steps.RES_ASN), *view])
+    main(["aggregate-res-asn", source, path(steps.RES_ASN), *view, *tables])
     main(
         [
             "find-anomalies-res-asn",
@@ -82,10 +82,11 @@ def test_step_by_step(spark, log, monkeypatch, values):
             path(steps.PARAMS),
             path(steps.RES_DOM_ANOMALIES),
             path(steps.RES_ASN_ANOMALIES),
+            *tables,
         ]
     )
-    main(["aggregate-res", source, path(steps.RES), *view])
-    main(["final-report", path(steps.RES), path(steps.RES_ASN_ANOMALIES), path(steps.REPORT)])
+    main(["aggregate-res", source, path(steps.RES), *view, *tables])
+    main(["final-report", path(steps.RES), path(steps.RES_ASN_ANOMALIES), path(steps.REPORT), *tables])
     assert sorted(read_csv(out / steps.RES_DOM_ANOMALIES)[1]) == ANOMALIES
     assert sorted(read_csv(out / steps.RES_ASN_ANOMALIES, " ")[1]) == CONFIRMED
     assert read_csv(out / steps.REPORT)[1] == REPORT

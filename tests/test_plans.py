@@ -4,8 +4,11 @@ import re
 
 import pytest
 
+from resolver_audit.operators.profiles import LINK
 from resolver_audit.operators.routing import Routes, with_networks
 from resolver_audit.plans.staging import Staging, staging_root
+from resolver_audit.sources import interchange
+from resolver_audit.sources.clustered import read_clustered, write_clustered
 from verification.queries import lazy_audit, staged_audit
 from verification.tables import view
 
@@ -55,3 +58,28 @@ def test_staging_root():
     assert staging_root(FakeSession(spark_master="local[8]")).startswith("/")
     with pytest.raises(ValueError):
         staging_root(FakeSession(spark_master="yarn"))
+
+
+def test_clustered_tables_are_not_shuffled_by_their_key(spark, tmp_path):
+    """Traits, names and servers of links come from a clustered table without an exchange of its rows."""
+    schema = "resolver string, asn string, feature string, value string, n bigint"
+    rows = [
+        (f"r{i % 9}", f"a {i % 4}", f, f"{f},\"{i % 7};", i)
+        for i in range(200)
+        for f in ("queries", "clen", "ttl", "nip", "servers")
+    ]
+    features = spark.createDataFrame(rows, schema)
+    write_clustered(features, str(tmp_path / "table"), LINK, 4)
+    back = read_clustered(spark, str(tmp_path / "table"))
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = interchange.traits_of(back)
+        assert "Exchange" not in plan(links)
+        joined = interchange.names_of(back).join(links.filter("n_sld > 0"), LINK).join(
+            interchange.servers_of(back, links.filter("n > 0")), LINK
+        )
+        assert "Exchange" not in plan(joined) and joined.count() > 0
+        assert "Exchange" in plan(interchange.traits_of(features))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
