@@ -103,7 +103,7 @@ def op8_vp_search(spark, sf_dir):
 @query
 def op9_min_cost_resharding(spark, sf_dir):
     # The old layout: twelve shards by text, of which the sixteen new ones keep as much as they can.
-    old = F.pmod(F.xxhash64(F.lit("old"), "text"), F.lit(12))
+    old = F.pmod(F.xxhash64(F.lit("old"), F.coalesce("text", F.lit(""))), F.lit(12))
     plan = Resharding(shards=16).plan(table(spark, sf_dir, "documents"), old)
     return plan.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",

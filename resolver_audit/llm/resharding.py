@@ -102,7 +102,8 @@ class Resharding:
         return documents.select(
             old.cast("int").alias("old"), doc_id.alias("doc_id"),
             (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"),
-            F.xxhash64("text").alias("h"), F.xxhash64(doc_id, F.xxhash64("text")).alias("d"),
+            # A null text is an empty one here too: equal texts share a hash.
+            F.xxhash64(text).alias("h"), F.xxhash64(doc_id, F.xxhash64(text)).alias("d"),
         )
 
     def levels(self) -> list[Column]:

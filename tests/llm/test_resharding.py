@@ -88,3 +88,13 @@ def test_rewrite_touches_only_what_changes(spark, documents, tmp_path, n_old):
     wanted = Counter((r.doc_id, r.shard) for r in plan.collect() if r.shard in changed)
     assert Counter((r.doc_id, r.shard) for r in written) == wanted
     assert all(r.old == r.shard for r in plan.collect() if r.shard not in changed)
+
+
+def test_null_and_empty_texts_stay_together(spark):
+    """Both have one byte and no text, so they are equal texts: no edge of a flow parts them."""
+    rows = [(i, f"text {i} " * 40) for i in range(400)] + [(1000 + i, None if i % 2 else "") for i in range(20)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    old = F.pmod(F.xxhash64(F.lit("old"), F.coalesce("text", F.lit(""))), F.lit(3))
+    plan = Resharding(shards=4).plan(documents, old).filter("doc_id >= 1000")
+    assert {(r.size, r.text_crc32) for r in plan.collect()} == {(1, 0)}
+    assert plan.select("shard").distinct().count() == 1
