@@ -13,10 +13,10 @@ from resolver_audit.llm.decontamination import Decontamination
 from resolver_audit.llm.license_scan import LicenseScan
 from resolver_audit.llm.rans import TokenFiles
 from resolver_audit.llm.ranked_search import RankedSearch
-from resolver_audit.llm.resharding import Resharding
+from resolver_audit.llm.resharding import Resharding, text_size, write_shards
 from resolver_audit.llm.sentencepiece_lattice import SentencePieceLattice
 from resolver_audit.llm.signature_join import SignatureJoin
-from resolver_audit.llm.storage import ship_code
+from resolver_audit.llm.storage import free_name, shared_folder, ship_code
 from resolver_audit.llm.token_counts import TokenCounts
 from resolver_audit.llm.vp_search import VpSearch
 from resolver_audit.llm.warc import WarcArchive
@@ -103,11 +103,16 @@ def op8_vp_search(spark, sf_dir):
 @query
 def op9_min_cost_resharding(spark, sf_dir):
     # The old layout: twelve shards by text, of which the sixteen new ones keep as much as they can.
+    documents = table(spark, sf_dir, "documents")
+    name, slot = (free_name(documents.columns, c) for c in ("shard", "slot"))
     old = F.pmod(F.xxhash64(F.lit("old"), F.coalesce("text", F.lit(""))), F.lit(12))
-    plan = Resharding(shards=16).plan(table(spark, sf_dir, "documents"), old)
-    return plan.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "old",
+    shards = write_shards(documents, old, name, shared_folder(spark, "reshard-old"))
+    rows = Resharding(shards=16).reshard(shards, name, shared_folder(spark, "reshard-new"), slot)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return rows.select(
+        "doc_id", text_size().alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col(name).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        old.cast("int").alias("old"),
     )
 
 

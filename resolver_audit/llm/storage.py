@@ -41,6 +41,14 @@ def stored(frame: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with underscores until no column is called so in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a shared folder, for tasks that write their own file format."""
     if "://" not in folder and not folder.startswith("file:"):
