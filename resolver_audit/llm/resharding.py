@@ -359,9 +359,10 @@ def in_order(shards: DataFrame, name: str, which: Column, slot: str) -> DataFram
         row, F.col(f"`{name}`").alias("of"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("index"),
     )
-    # A row for each file.
+    # A row for each file; stored, so that Spark knows its size and broadcasts it while it is small.
     files = at.groupBy("of", "file").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("of").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    files = stored(files, "reshard-files")
     number = (F.col("before") + F.col("index")).alias(slot)
     return at.join(files, "file").select(*[F.col(f"row.`{c}`").alias(c) for c in shards.columns], number)
