@@ -7,8 +7,8 @@ template votes for the diagonal p - t. Votes are summed by diagonal, neighbourin
 word by word against the template.
 
 Defined results: null and empty texts, and texts without words, have no words, no places and
-score 0. Rows with equal doc_id and text count once. Columns other than doc_id and text are
-ignored. An empty table gives an empty result.
+score 0. Every row has a row in the result, repeated rows too, and a null doc_id is one like others.
+Columns other than doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ from resolver_audit.llm.words import ALNUM, chunks, grams_within, phrase_hashes,
 #: Words of a k-gram; the shortest template has as many.
 K = 3
 
+#: Place of the row that every document has, beside those of its k-grams.
+HEAD = -1
+
 
 @dataclass(frozen=True)
 class Template:
@@ -80,10 +83,10 @@ class LicenseScan:
         return spark.createDataFrame(rows, "gram long, template int, t_pos int")
 
     def votes(self, documents: DataFrame) -> DataFrame:
-        """A row for each matched k-gram, and one at least for each document."""
+        """A row for each matched k-gram, and one at place HEAD for each document."""
         grams = keyed(documents).mapInArrow(_grams, "doc_id long, key long, n_words int, pos int, gram long")
         joined = grams.join(F.broadcast(self.positions(documents.sparkSession)), "gram", "left")
-        return joined.filter("template IS NOT NULL OR pos = 0").drop("gram")
+        return joined.filter((F.col("template").isNotNull()) | (F.col("pos") == HEAD)).drop("gram")
 
     def spans(self, votes: DataFrame) -> DataFrame:
         """(doc_id, key, template, start, stop): spans with enough votes, words start to stop - 1."""
@@ -96,6 +99,8 @@ class LicenseScan:
         span = ["doc_id", "key", "template"]
         diagonals = (
             votes.filter("template IS NOT NULL")
+            .select(*span, "pos", "t_pos")
+            .distinct()  # repeated rows vote once
             .groupBy(*span, (F.col("pos") - F.col("t_pos")).alias("diagonal"))
             .agg(F.count(F.lit(1)).alias("votes"))
             .join(F.broadcast(shape), "template")
@@ -154,7 +159,7 @@ class LicenseScan:
                 F.max("similarity").alias("score"),
             )
         )
-        docs = votes.filter("pos = 0").select("doc_id", "key", F.col("n_words").cast("long")).distinct()
+        docs = votes.filter(F.col("pos") == HEAD).select("doc_id", "key", F.col("n_words").cast("long"))
         same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("key").eqNullSafe(F.col("k"))
         return docs.join(of_doc, same, "left").select(
             "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
@@ -172,17 +177,17 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All k-grams of the texts by hash; a text with fewer words has one row without."""
+    """All k-grams of the texts by hash, and for each text a row at place HEAD without one."""
     for batch in batches:
         for part in chunks(batch):
             words = split_words(part.column("text"), ALNUM)
             place, gram = grams_within(words, K)
             owner = words.doc_of_word()[place]
-            short = np.flatnonzero(words.counts < K)
-            take = pa.array(np.concatenate([owner, short]))
+            heads = np.arange(len(words.counts))
+            take = pa.array(np.concatenate([owner, heads]))
             n_words = words.counts.astype(np.int32)
-            pos = np.concatenate([place - words.first[owner], np.zeros(len(short), dtype=np.int64)])
-            grams = np.concatenate([gram.view(np.int64), np.zeros(len(short), dtype=np.int64)])
+            pos = np.concatenate([place - words.first[owner], np.full(len(heads), HEAD)])
+            grams = np.concatenate([gram.view(np.int64), np.zeros(len(heads), dtype=np.int64)])
             missing = np.arange(len(grams)) >= len(gram)
             for lo in range(0, len(grams), 1 << 16):
                 cut = slice(lo, lo + (1 << 16))
