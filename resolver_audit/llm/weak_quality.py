@@ -185,8 +185,8 @@ class QualityModel:
 
 @dataclass(frozen=True)
 class WeakQuality:
-    """sample: about so many documents train the scorer at most, chosen by a hash of the text.
-    All documents count for the label model."""
+    """sample: about so many texts train the scorer at most, chosen by a hash of the text; equal texts
+    come once, with their number as weight. All documents count for the label model."""
 
     sample: int = 20_000
     rounds: int = 150
@@ -221,6 +221,10 @@ class WeakQuality:
         chosen = documents.select("text")
         if share < 1:
             chosen = chosen.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        # Copies are counted before anything comes to the driver: a text of a third of all rows is one row.
+        chosen = chosen.groupBy(F.xxhash64("text").alias("h")).agg(
+            F.first("text").alias("text"), F.count(F.lit(1)).alias("n")
+        )
 
         def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -231,19 +235,21 @@ class WeakQuality:
                     order = np.argsort(row, kind="stable")
                     at = np.searchsorted(row[order], np.arange(len(m) + 1))
                     lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x[order])) for x in (bucket, value)]
-                    yield pa.RecordBatch.from_arrays([pa.array(p), *lists], names=["junk", "bucket", "value"])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("h"), part.column("n"), pa.array(p), *lists],
+                        names=["h", "n", "junk", "bucket", "value"],
+                    )
 
-        taught = stored(
-            chosen.mapInArrow(teach, "junk double, bucket array<long>, value array<double>"), "quality-sample"
-        )
+        schema = "h long, n long, junk double, bucket array<long>, value array<double>"
+        taught = stored(chosen.mapInArrow(teach, schema), "quality-sample")
         weights, bias = trained(taught, self.rounds, self.decay)
         return QualityModel(model, weights, bias)
 
 
 def trained(taught: DataFrame, rounds: int, decay: float) -> tuple[np.ndarray, float]:
     """Logistic regression on posterior labels; the sample is bounded, so one process fits it."""
-    table = taught.toArrow()
-    y = table["junk"].to_numpy()
+    table = taught.toArrow().sort_by("h")
+    y, n = table["junk"].to_numpy(), table["n"].to_numpy().astype(float)
     if not len(y):
         return np.zeros(BUCKETS), 0.0
     lists = table["bucket"].combine_chunks()
@@ -253,7 +259,7 @@ def trained(taught: DataFrame, rounds: int, decay: float) -> tuple[np.ndarray, f
     square_w, square_b = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(rounds):
         z = np.bincount(row, weights=w[bucket] * value, minlength=len(y)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * n / n.sum()
         g = np.bincount(bucket, weights=error[row] * value, minlength=BUCKETS) + decay * w
         square_w += g * g
         square_b += error.sum() ** 2

@@ -1,5 +1,9 @@
+from itertools import product
+
 import numpy as np
+import pytest
 
+from resolver_audit.llm import weak_quality
 from resolver_audit.llm.weak_quality import CLEAN, JUNK, NOTHING, WeakQuality, estimated, kept, scored
 
 
@@ -37,3 +41,47 @@ def test_odd_texts(odd, nothing):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert all(r.score == 0 for r in rows if not (r.text or "").strip())
     assert scored(nothing, WeakQuality().fit(nothing), "score").count() == 0
+
+
+def test_copies_come_to_the_driver_once_and_count_as_often(spark, documents, monkeypatch):
+    """The scorer is the same as if all copies were taught one by one."""
+    some = [r.text for r in documents.limit(60).collect()]
+    rows = [(i, t) for i, t in enumerate(some * 2 + ["buy now!!! $$$ click @@@ here"] * 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    fit = weak_quality.trained
+
+    def watched(taught, rounds, decay):
+        seen.append(taught.collect())
+        return fit(taught, rounds, decay)
+
+    monkeypatch.setattr(weak_quality, "trained", watched)
+    model = WeakQuality().fit(frame)
+    assert len(seen[0]) == len({t for _, t in rows}) and sum(r.n for r in seen[0]) == len(rows)
+    # Plain gradient steps of the same kind, over every copy.
+    cells = [(r.junk, list(zip(r.bucket, r.value, strict=True))) for r in seen[0] for _ in range(r.n)]
+    w, bias, sw, sb = np.zeros(weak_quality.BUCKETS), 0.0, np.full(weak_quality.BUCKETS, 1e-8), 1e-8
+    for _ in range(20):
+        g, gb = 1e-4 * w, 0.0
+        for y, x in cells:
+            z = sum(w[k] * v for k, v in x) + bias
+            e = (1 / (1 + np.exp(-z)) - y) / len(cells)
+            gb += e
+            for k, v in x:
+                g[k] += e * v
+        sw, sb = sw + g * g, sb + gb**2
+        w, bias = w - 0.5 * g / np.sqrt(sw), bias - 0.5 * gb / np.sqrt(sb)
+    taught = spark.createDataFrame(seen[0], "h long, n long, junk double, bucket array<long>, value array<double>")
+    ours, our_bias = fit(taught, 20, 1e-4)
+    assert np.abs(ours - w).max() < 1e-6 and our_bias == pytest.approx(bias, abs=1e-6)
+    assert model.weights.shape == w.shape
+
+
+def test_estimates_equal_those_by_single_documents():
+    """Counts of patterns and the same documents one by one give the same model."""
+    patterns = np.array(list(product((JUNK, CLEAN, NOTHING), repeat=3)))
+    counts = np.arange(1, len(patterns) + 1)
+    together = estimated(patterns, counts.astype(float))
+    apart = estimated(np.repeat(patterns, counts, axis=0), np.ones(counts.sum()))
+    assert together.prior == pytest.approx(apart.prior, abs=1e-9)
+    assert np.abs(together.right - apart.right).max() < 1e-9
