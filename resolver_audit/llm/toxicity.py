@@ -281,12 +281,16 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = split_words(part.column("text"), ALNUM)
             toxic = np.asarray(part.column("toxic").to_numpy(zero_copy_only=False), dtype=np.int32)
             h = words.hashes
-            before, after = np.roll(h, 1), np.roll(h, -1)
+            doc = words.doc_of_word()
+            # The first and the last word of a text have no neighbour, whatever text lies beside.
+            new = np.diff(doc) > 0
+            before, after = np.zeros(len(h), dtype=np.uint64), np.zeros(len(h), dtype=np.uint64)
+            before[1:][~new], after[:-1][~new] = h[:-1][~new], h[1:][~new]
             around = mix(before * np.uint64(3) + mix(after))
             *_, longest = stem_ends(words)
             data = words.data.tobytes()
             stem = [data[lo:hi].decode("utf-8", "replace") for lo, hi in zip(words.start.tolist(), longest.tolist(), strict=True)]
-            columns = [h.view(np.int64), pa.array(stem, pa.string()), around.view(np.int64), toxic[words.doc_of_word()]]
+            columns = [h.view(np.int64), pa.array(stem, pa.string()), around.view(np.int64), toxic[doc]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c) for c in columns], names=["word", "stem", "context", "toxic"]
             )

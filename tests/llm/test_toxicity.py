@@ -2,6 +2,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from resolver_audit.llm import toxicity
 from resolver_audit.llm.queries import held_out
 from resolver_audit.llm.toxicity import (
     PATTERNS,
@@ -103,3 +104,16 @@ def test_held_out_recall_in_every_language(spark):
         print(lang, sum(toxic), len(toxic), sum(clean), len(clean))
         assert sum(toxic) >= 0.8 * len(toxic), lang
         assert sum(clean) <= 0.02 * len(clean), lang
+
+
+def test_neighbours_stay_within_a_text():
+    """A text's contexts are the same whatever lies beside it."""
+
+    def contexts(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([0] * len(texts))], names=["text", "toxic"])
+        return [tuple(row.values()) for out in toxicity._contexts(iter([batch])) for row in out.to_pylist()]
+
+    texts = ["one two three", "", None, "four", "two three one two"]
+    alone = [row for t in texts for row in contexts([t])]
+    assert contexts(texts) == alone
+    assert sorted(contexts(texts[::-1])) == sorted(alone)
