@@ -392,17 +392,26 @@ class SignatureJoin:
         return stored(now.join(buckets, F.col("token") == F.col("t")).select("token", "cls", "component", "size"), "open")
 
     def stars(self, buckets: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-        """Pairs (a, b) of classes of different components: each member with the pivot of its bucket."""
+        """Pairs (a, b) of classes of different components: each member with the pivot of its bucket.
+
+        A bucket is dealt to parts of about a block; pivots of parts are compared, and the best goes to each part.
+        """
         traits = classes.select(F.col("cls").alias("c"), "n", "central")
         placed = buckets.join(traits, F.col("cls") == F.col("c")).drop("c")
         colour = F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(2 * self.colours))
         order = F.when(colour < self.colours, F.col("central")).otherwise(F.xxhash64("cls", colour))
-        pivots = placed.groupBy("token").agg(
-            F.max(F.struct(order.alias("order"), "cls", "n", "component")).alias("pivot")
+        parts = F.ceil(F.col("size") / self.block).cast("long")
+        placed = placed.withColumn("part", F.pmod(F.xxhash64("cls"), parts))
+        pivots = (
+            placed.groupBy("token", "part")
+            .agg(F.max(F.struct(order.alias("order"), "cls", "n", "component")).alias("pivot"), F.max(parts).alias("parts"))
+            .groupBy("token")
+            .agg(F.max("pivot").alias("pivot"), F.max("parts").alias("parts"))
+            .select("token", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         )
         least, most = F.least("n", "pivot.n"), F.greatest("n", "pivot.n")
         return (
-            placed.join(pivots, "token")
+            placed.join(pivots, ["token", "part"])
             .filter((F.col("component") != F.col("pivot.component")) & (100 * least >= self.percent * most))
             .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b"))
             .distinct()
