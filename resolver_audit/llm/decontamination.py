@@ -14,8 +14,8 @@ the similarity are not read: no verification could accept them, so nothing is lo
 
 Defined results: null and empty texts and items match nothing. An item of fewer than five
 words is one shingle. Repeated rows of a document match alike; rows without doc_id keep a
-null doc_id. Items that share an item_id are separate texts of that item. Other columns play
-no part.
+null doc_id. Items that share an item_id are separate texts of that item, and repeated rows
+of an item count once. Items of any length are verified whole. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -32,13 +32,19 @@ from pyspark.sql import functions as F
 from resolver_audit.llm.words import ALNUM, Words, chunks, rolling, split_words
 
 SHINGLE = 5
+#: Words of the longest window. Neighbouring windows of many more words hardly differ, so that each
+#: would be near all others and pairs would grow with the square of a long item.
+MOST_WORDS = 600
 #: Text read at once: 64 counters for each word are kept.
 _CHUNK = 1 << 20
 
 
 def window_length(n_words: int) -> int:
-    """The class of an item: all of it up to 12 words, else a step of a geometric ladder below 0.85 of it."""
-    return n_words if n_words <= 12 else ladder(0.85 * n_words)
+    """The class of an item: all of it up to 12 words, else a step of a geometric ladder below 0.85 of it.
+
+    Windows have MOST_WORDS words at most; passages are verified at the length of the whole item all the same.
+    """
+    return n_words if n_words <= 12 else ladder(min(0.85 * n_words, MOST_WORDS))
 
 
 def ladder(limit: float) -> int:
@@ -190,7 +196,11 @@ def similarity(index: Index, item: int, window: np.ndarray) -> float:
 
 
 def matches(words: Words, index: Index, radius: int, least: float) -> Iterator[tuple[int, int, int, float]]:
-    """(text, item, first word, similarity) of the verified places in the texts."""
+    """(text, item, first word, similarity) of the verified places in the texts.
+
+    Places are verified in the order of the most they can reach; those that cannot come up to the best
+    place of the same text and item are left out.
+    """
     if not len(words.hashes) or not index.bands:
         return
     sizes = {min(SHINGLE, band.length) for band in index.bands}
@@ -214,6 +224,7 @@ def matches(words: Words, index: Index, radius: int, least: float) -> Iterator[t
     counts = bit_counts(hashes)
     here = np.arange(n)
     tried = set()
+    best: dict[tuple[int, int], float] = {}
     for band in index.bands:
         size = min(SHINGLE, band.length)
         known = mass[size]
@@ -225,26 +236,31 @@ def matches(words: Words, index: Index, radius: int, least: float) -> Iterator[t
         window, found = band.near(simhashes(counts, starts, band.length), radius)
         item, at = band.item[found], starts[window]
         pairs = np.unique(item * n + np.maximum(at - band.offset[found], begin[at]))
-        item, lo = pairs // n, pairs % n
+        item, at = pairs // n, pairs % n
+        # Places up to the reach around each, each place once: they begin behind those of the one before.
         reach = index.lengths[item] // 4
-        item, at = np.repeat(item, 2 * reach + 1), np.repeat(lo, 2 * reach + 1)
-        ends = np.cumsum(2 * reach + 1)
-        lo = at + np.arange(len(at)) - np.repeat(ends - reach - 1, 2 * reach + 1)
-        inside = (lo >= begin[at]) & (lo < end[at])
-        pairs = np.unique(item[inside] * n + lo[inside])
-        item, lo = pairs // n, pairs % n
+        start, stop = np.maximum(at - reach, begin[at]), np.minimum(at + reach + 1, end[at])
+        start[1:] = np.where(item[1:] == item[:-1], np.maximum(start[1:], stop[:-1]), start[1:])
+        number = stop - start
+        lo = np.arange(number.sum()) + np.repeat(start - np.cumsum(number) + number, number)
+        item = np.repeat(item, number)
         hi = np.minimum(lo + index.lengths[item], end[lo])
         # The most similarity that the weights of the passage's shingles allow.
         last = np.maximum(hi - size + 1, lo)
         own, other = index.totals[item], known[last] - known[lo]
         both = np.minimum(own, other)
         other = other + index.unseen * (strange[size][last] - strange[size][lo])
-        heavy = both >= enough * (own + other - both)
-        for i, a, b in zip(item[heavy].tolist(), lo[heavy].tolist(), hi[heavy].tolist(), strict=True):
-            if (i, a) in tried:
+        most = both / (own + other - both)
+        heavy = np.flatnonzero(most >= enough)
+        heavy = heavy[np.argsort(-most[heavy], kind="stable")]
+        columns = (c[heavy].tolist() for c in (item, lo, hi, most))
+        for i, a, b, bound in zip(*columns, strict=True):
+            pair = (int(doc[a]), i)
+            if (i, a) in tried or bound < best.get(pair, 0.0) - 1e-6:
                 continue
             tried.add((i, a))
             value = similarity(index, i, hashes[a:b])
+            best[pair] = max(best.get(pair, 0.0), value)
             if value >= least:
                 yield int(doc[a]), i, a - int(begin[a]), value
 
@@ -259,8 +275,8 @@ class Decontamination:
     items: int = 20_000
 
     def _indexes(self, benchmark: DataFrame) -> Iterator[Index]:
-        """One index for each bounded block of items."""
-        source = benchmark.select("item_id", "text")
+        """One index for each bounded block of items; rows that repeat an item and its text count once."""
+        source = benchmark.select("item_id", "text").distinct()
         total = source.count()
         blocks = -(-total // self.items)
         for block in range(blocks):

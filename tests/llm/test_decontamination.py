@@ -77,6 +77,20 @@ def test_odd_texts(spark, odd, nothing):
     assert Decontamination().kept(odd, items.limit(0)).count() == odd.count()
 
 
+def test_repeated_items_and_items_beyond_the_counters(spark, planted, benchmark):
+    documents, expected = planted
+    again = Decontamination(items=40).matches(documents, benchmark.union(benchmark).union(benchmark))
+    once = Decontamination().matches(documents, benchmark)
+    assert sorted(again.collect(), key=repr) == sorted(once.collect(), key=repr)
+    words = [f"v{i * i % 70_001}" for i in range(70_000)]
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = [" ".join(["before", *words, "after"]), " ".join([*words[:50_000], "changed", *words[50_001:]]), " ".join(words[:50_000])]
+    long = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.item_id, r.first_word, r.similarity >= 1) for r in Decontamination().matches(long, item).collect()}
+    assert found == {0: (1, 1, True), 1: (1, 0, False)}
+    assert [r.doc_id for r in Decontamination().kept(long, item).collect()] == [2]
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(1)
     index = index_of([(i, " ".join(f"t{i}w{k}" for k in range(40))) for i in range(30)], 4, 30)
