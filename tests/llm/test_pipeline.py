@@ -1,6 +1,9 @@
 """The registered queries keep their columns, and the pipeline does what its stages do one by one."""
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ import __spark_entry__
 import corpus_pipeline
 from resolver_audit.llm.oracle import ORACLES
 from resolver_audit.llm.queries import REGISTRY
+from resolver_audit.llm.storage import stored
 from verification.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -77,7 +81,65 @@ def test_stages_of_an_empty_table_and_of_columns_with_internal_names(spark, docu
             assert after.count() <= docs.count()
 
 
-def test_run(spark, documents):
-    kept = corpus_pipeline.run(spark, SF)
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and set(ids) < {r.doc_id for r in documents.select("doc_id").collect()}
+def plain_words(text):
+    lower = "".join(c.lower() if c.isascii() else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def plain_shingles(words):
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def holds_an_item(words, items, weight, unseen):
+    """Whether some passage of an item's length has a weighted Jaccard similarity of 0.8 with it."""
+    own = set(plain_shingles(words)) if len(words) >= 5 else set()
+    for item, grams in items:
+        if len(item) >= 5 and not own & set(grams):
+            continue
+        for start in range(len(words)):
+            window = plain_shingles(words[start : start + len(item)])
+            every = grams | window
+            both = sum(n * weight.get(g, unseen) for g, n in (grams & window).items())
+            if both >= 0.8 * sum(n * weight.get(g, unseen) for g, n in every.items()):
+                return True
+    return False
+
+
+def test_run_against_plain_python(spark, documents, monkeypatch):
+    """Each stage of run() on what its predecessor kept: learned ones keep rows as they are, the others are told by hand."""
+    import public_tokenizers
+    import sentencepiece
+    from test_signature_join import brute
+
+    steps = [documents]
+
+    def noted(frame, what):
+        steps.append(stored(frame, what))
+        return steps[-1]
+
+    monkeypatch.setattr(corpus_pipeline, "stored", noted)
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert len(steps) == 1 + len(corpus_pipeline.STAGES)
+    kept = [{r.doc_id: r for r in step.collect()} for step in steps[:-1]]
+    for before, after in zip(kept, kept[1:], strict=False):
+        assert all(before[i] == row for i, row in after.items())
+    judged = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = [i for i, r in judged.items() if r.quality == 1 and not r.toxic]
+    assert sum(i in kept[2] for i in good) >= 0.95 * len(good)
+    component = {i: c for i, _, c in brute([(r.doc_id, r.text) for r in kept[2].values()])}
+    assert set(kept[3]) == {i for i, c in component.items() if i == c} < set(kept[2])
+    benchmark = {(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    items = [(words, plain_shingles(words)) for _, text in benchmark if (words := plain_words(text))]
+    frequency = Counter(g for _, grams in items for g in grams)
+    weight = {g: 1 + math.log(len(benchmark) / n) for g, n in frequency.items()}
+    unseen = 1 + math.log(len(benchmark))
+    clean = {i for i, r in kept[3].items() if not holds_an_item(plain_words(r.text), items, weight, unseen)}
+    assert set(kept[4]) == clean < set(kept[3])
+    library = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    expected = {}
+    for i in clean:
+        text = kept[3][i].text or ""
+        data = text.replace("▁", " ").encode()
+        expected[i] = (library.encode(text), len(data), zlib.crc32(data))
+    assert len(rows) == len(expected)
+    assert {r.doc_id: (r.ids, r.n_bytes, r.text_crc32) for r in rows} == expected
