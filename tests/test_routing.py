@@ -83,3 +83,27 @@ def test_view_file(spark, tmp_path):
     path.write_text("; a comment\n1.2.3.0/24\t64500\n10.0.0.0/8\t64501\n")
     rows = sorted(tuple(r) for r in read_asn_view(spark, str(path)).collect())
     assert rows == [(0x01020300, 24, "64500"), (0x0A000000, 8, "64501")]
+
+
+def test_a_small_view_is_looked_up_where_the_rows_are(spark):
+    """Rows are not shuffled for their labels, and what they come from is read once."""
+    prefixes = [("10.0.0.0", 8, "8"), ("10.1.0.0", 16, "16"), ("10.1.1.0", 24, None), ("10.1.0.0", 16, "16")]
+    routes = Routes.of(asn_view(spark.createDataFrame(prefixes, "network string, prefix_len int, asn string")))
+    ips = ["10.9.9.9", "10.1.9.9", "10.1.1.9", "11.1.1.1", "10.01.1.1", None]
+    frame = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips * 2)], "id int, ip string")
+    found = with_networks(frame, routes)
+    expected = ["8", "16", "10.1.0.0", "11.1.0.0", "10.01.1.1", None] * 2
+    assert [r.asn for r in found.orderBy("id").collect()] == expected
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Scan ExistingRDD[id#") == 1 and "SortMergeJoin" not in text
+
+
+def test_both_ways_of_looking_up_agree(spark, monkeypatch):
+    from resolver_audit.operators import routing
+
+    rng = random.Random(5)
+    prefixes = random_view(rng, 60)
+    ips = [str(ipaddress.ip_address(int(n[0]) ^ rng.randrange(4))) for n in prefixes]
+    few = labels(spark, prefixes, ips)
+    monkeypatch.setattr(routing, "BROADCAST", 0)
+    assert labels(spark, prefixes, ips) == few
