@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from resolver_audit.functions.answers import all_ttls
 from resolver_audit.functions.names import second_level_domain
-from resolver_audit.operators.skew import LINE, SALT, in_lines, join_hot
+from resolver_audit.operators.skew import LINE, SALT, in_lines, join_counted
 
 CATEGORICAL = ("clen", "nip", "asn")
 PAIR_FEATURES = ("ttl", "clen", "nip", "asn", "sip")
@@ -91,8 +91,12 @@ def res_dom_counts(pairs: DataFrame) -> DataFrame:
 
 
 def res_dom_features(pairs: DataFrame, features: tuple[str, ...] = PAIR_FEATURES) -> DataFrame:
-    """Counters per (resolver, domain)."""
-    return sum_counters(pair_counters(pairs, features), *PAIR)
+    """Counters per (resolver, domain).
+
+    The judged rows, merged already, are placed by pair: they are a third of their counters,
+    and what groups these by pair again finds them side by side.
+    """
+    return sum_counters(pair_counters(pairs.repartition(*PAIR), features), *PAIR)
 
 
 def domain_features(counters: DataFrame) -> DataFrame:
@@ -101,9 +105,12 @@ def domain_features(counters: DataFrame) -> DataFrame:
 
 
 def with_global_frequency(pair_features: DataFrame, domain_features: DataFrame) -> DataFrame:
-    """Pair counters with ``global_n``, the frequency of the value over all resolvers."""
+    """Pair counters with ``global_n``, the frequency of the value over all resolvers.
+
+    No fewer than the counters that it adds up, each of which is 1 at least.
+    """
     overall = domain_features.withColumnRenamed("n", "global_n")
-    return join_hot(pair_features, overall, ["domain", "feature", "value"]).drop(SALT)
+    return join_counted(pair_features, overall, ["domain", "feature", "value"], "global_n")
 
 
 def judged_links(rows: DataFrame) -> DataFrame:
@@ -263,9 +270,12 @@ def res_profile(values: DataFrame) -> DataFrame:
     A resolver with very many values has several rows, which add up and share no value;
     the report uses ``resolver_stats``.
     """
+    lists = ("clients", "queries", "servers", "asns")
+    listed = F.col("feature").isin(*lists) & F.col("value").isNotNull()
+
     def members(feature: str) -> Column:
-        listed = F.collect_list(F.when(F.col("feature") == feature, F.col("value")))
-        return F.sort_array(listed)
+        of_feature = F.filter("_values", lambda entry: entry["feature"] == feature)
+        return F.sort_array(F.transform(of_feature, lambda entry: entry["value"])).alias(feature)
 
     responses = F.sum(F.when(F.col("feature") == "queries", F.col("n")))
     return (
@@ -273,7 +283,7 @@ def res_profile(values: DataFrame) -> DataFrame:
         .groupBy("resolver", LINE)
         .agg(
             F.coalesce(responses, F.lit(0)).alias("n"),
-            *[members(f).alias(f) for f in ("clients", "queries", "servers", "asns")],
+            F.collect_list(F.when(listed, F.struct("feature", "value"))).alias("_values"),
         )
-        .drop(LINE)
+        .select("resolver", "n", *[members(f) for f in lists])
     )

@@ -124,3 +124,28 @@ def test_no_filter_takes_an_answer_apart(spark):
         text = REGISTRY[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         filters = [line for line in text.splitlines() if re.match(r"\W*(\*\(\d+\) )?Filter ", line)]
         assert filters and not any("split(" in f and "><" in f for f in filters), name
+
+
+def test_only_hot_facts_are_copied(spark, monkeypatch):
+    """Facts that are as many as the rows stand once; those of a hot key are joined without a shuffle."""
+    from resolver_audit.operators import skew
+
+    monkeypatch.setattr(skew, "HOT", 10)
+    rows = [(f"r{i}", "hot.com" if i % 2 else f"d{i}.com", "clen", "0", 1) for i in range(100)]
+    pairs = spark.createDataFrame(rows, "resolver string, domain string, feature string, value string, n bigint")
+    found = profiles.with_global_frequency(pairs, profiles.domain_features(pairs))
+    assert sorted((r.resolver, r.domain, r.global_n) for r in found.collect()) == sorted(
+        (r, d, 50 if d == "hot.com" else 1) for r, d, *_ in rows
+    )
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert SALT not in text and "Generate" not in text
+
+
+def test_counters_of_a_pair_lie_side_by_side(spark):
+    """The judged rows are placed by pair; their counters, three times as many, are not shuffled."""
+    audit = Audit(spark.createDataFrame(list(hot_log(50)), COLUMNS), asn_view(
+        spark.createDataFrame([("1.0.0.0", 16, "A")], "network string, prefix_len int, asn string")))
+    pairs = profiles.judged_pairs(audit.address_rows)
+    text = profiles.res_dom_features(pairs)._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert not any("feature" in e for e in exchanges), exchanges
