@@ -41,17 +41,20 @@ LIST = "array<string>"
 
 
 def _counter(feature: str) -> Column:
-    entries = F.collect_list(F.when(F.col("feature") == feature, F.struct("value", "n")))
+    of_feature = F.filter("_values", lambda entry: entry["feature"] == feature)
+    entries = F.transform(of_feature, lambda entry: F.struct(entry["value"].alias("value"), entry["n"].alias("n")))
     return F.map_from_entries(F.sort_array(entries)).alias(feature)
 
 
 def _table(features: DataFrame, keys: list[str], maps: tuple[str, ...]) -> DataFrame:
+    """All values of a key and line are collected once, then told apart by feature."""
     responses = F.sum(F.when(F.col("feature") == "clen", F.col("n")))
+    values = F.collect_list(F.when(F.col("feature").isin(*maps), F.struct("feature", "value", "n")))
     return (
         in_lines(features, keys)
         .groupBy(*keys, LINE)
-        .agg(F.coalesce(responses, F.lit(0)).alias("n"), *[_counter(f) for f in maps])
-        .drop(LINE)
+        .agg(F.coalesce(responses, F.lit(0)).alias("_n"), values.alias("_values"))
+        .select(*keys, F.col("_n").alias("n"), *[_counter(f) for f in maps])
     )
 
 
@@ -184,6 +187,7 @@ def _lines(table: DataFrame, plain: list[str], documents: tuple[str, ...]) -> Da
 def _from_lines(
     lines: DataFrame, plain: list[str], documents: tuple[str, ...], kind: str
 ) -> DataFrame:
+    """Fields and documents are generated, so that a line is taken apart and parsed once."""
     split = lines.select(F.explode(F.array(F.split("value", ",", -1))).alias("_fields"))
     names = [*plain, *documents]
 
@@ -193,9 +197,10 @@ def _from_lines(
             return text.try_cast("bigint").alias(name)
         return (F.from_json(_unescaped(text), kind) if name in documents else text).alias(name)
 
+    parsed = F.struct(*[field(i, name) for i, name in enumerate(names)])
     return (
         split.filter(F.size("_fields") == len(names))
-        .select(*[field(i, name) for i, name in enumerate(names)])
+        .select(F.inline(F.array(parsed)))
         .dropna(subset=["n", *documents])
     )
 

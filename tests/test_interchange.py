@@ -145,3 +145,19 @@ def test_keys_of_many_values_take_several_lines(spark, monkeypatch):
     back = interchange.res_from_lines(interchange.res_lines(profile))
     (one,) = interchange.stats_of_table(back).filter("resolver = '10.0.0.1'").collect()
     assert (one["count"], one.queried_domains, one.returned_servers, one.clients) == (125250, 500, 50, 0)
+
+
+def test_rows_are_not_shuffled_to_find_their_line(spark, monkeypatch):
+    """Keys with many values take several lines; the counters meet only once, by key and line."""
+    from resolver_audit.operators import skew
+
+    monkeypatch.setattr(skew, "LINE_VALUES", 10)
+    rows = [("r", "big.com", "sip", f"1.0.0.{i}", i) for i in range(95)] + [("r", "a.com", "clen", "0", 3)]
+    features = spark.createDataFrame(rows, "resolver string, domain string, feature string, value string, n bigint")
+    table = interchange.res_dom_table(features)
+    text = table._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and "_salt" not in text
+    lines = table.collect()
+    assert sum(r.domain == "big.com" for r in lines) > 5 and sum(r.domain == "a.com" for r in lines) == 1
+    back = interchange.table_counters(interchange.res_dom_from_lines(interchange.res_dom_lines(table)), ["resolver", "domain"], ("sip", "clen"))
+    assert sorted(map(tuple, back.collect())) == sorted(rows)

@@ -352,14 +352,9 @@ def anomalies_res_asn(spark, sf_dir):
 # Resolvers and the report.
 
 
-def all_resolver_values(spark, sf_dir) -> DataFrame:
-    audit = lazy_audit(spark, sf_dir)
-    return profiles.resolver_values(audit.message_addresses, audit.clients)
-
-
 @query
 def res_profile(spark, sf_dir):
-    profile = profiles.res_profile(all_resolver_values(spark, sf_dir))
+    profile = profiles.res_profile(staged_audit(spark, sf_dir).resolver_values)
     lists = ("clients", "queries", "servers", "asns")
     return profile.select("resolver", "n", *[joined(name).alias(name) for name in lists])
 
