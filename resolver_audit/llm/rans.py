@@ -266,9 +266,11 @@ class WordEncoder:
             edges = offsets[1:-1]
             edges = edges[edges < len(data)]
             new[edges] = seen[edges]
-        packed = np.concatenate([[0], np.cumsum(seen)])
+        packed = np.zeros(len(seen) + 1, dtype=np.int32)
+        np.cumsum(seen, dtype=np.int32, out=packed[1:])
         begins = np.flatnonzero(new)
-        at = np.append(packed[begins], packed[-1]).astype(np.int32)
+        at = np.append(packed[begins], packed[-1])
+        del packed
         words = pa.StringArray.from_buffers(
             len(begins), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[seen]))
         ).dictionary_encode()
