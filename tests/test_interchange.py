@@ -149,8 +149,6 @@ def test_keys_of_many_values_take_several_lines(spark, monkeypatch):
 
 def test_rows_are_not_shuffled_to_find_their_line(spark, monkeypatch):
     """Keys with many values take several lines; the counters meet only once, by key and line."""
-    from resolver_audit.operators import skew
-
     monkeypatch.setattr(skew, "LINE_VALUES", 10)
     rows = [("r", "big.com", "sip", f"1.0.0.{i}", i) for i in range(95)] + [("r", "a.com", "clen", "0", 3)]
     features = spark.createDataFrame(rows, "resolver string, domain string, feature string, value string, n bigint")
