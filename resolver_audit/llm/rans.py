@@ -19,6 +19,7 @@ columns play no part. An empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -225,15 +226,26 @@ class WordEncoder:
 
     The tokenizer lower-cases, drops white space and never joins letters with such
     punctuation, so a text's ids are those of its words in order. Words are encoded once and
-    remembered up to a bound.
+    remembered up to a bound. Words of letters go through the tokenizer many in one text: each
+    of them is at least one of its pieces, and a piece ends with the one token that is marked so.
     """
 
     MOST = 1_000_000
+    #: Words of letters in one text.
+    JOINED = 256
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        # Tasks run beside each other already; the library's threads would only wait for cores.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Tokens that end a piece; None if some piece might end without one.
+        self.ending = None
+        if suffix and all(x in vocabulary and x + suffix in vocabulary for x in pre_tokenizers.ByteLevel.alphabet()):
+            self.ending = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ending[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -246,13 +258,32 @@ class WordEncoder:
             self._clear()
         fresh = [w for w in distinct if w not in self.number]
         if fresh:
-            encoded = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
+            joined, single = [], fresh
+            if self.ending is not None:
+                joined, single = [w for w in fresh if w.isalpha()], [w for w in fresh if not w.isalpha()]
+            more = [self._joined(joined[lo : lo + self.JOINED]) for lo in range(0, len(joined), self.JOINED)]
+            ids, sizes = zip(*more, self._singly(single), strict=True)
+            fresh, sizes = joined + single, np.concatenate(sizes)
             self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
-            sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(fresh))
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.array([i for e in encoded for i in e], dtype=np.uint32)])
+            self.flat = np.concatenate([self.flat, *ids])
         return np.fromiter(map(self.number.__getitem__, distinct), dtype=np.int64, count=len(distinct))
 
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has."""
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(words))
+        return np.array([i for e in encoded for i in e], dtype=np.uint32), sizes
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of letters, through one text; singly where the tokenizer parts one of them."""
+        (encoded,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(encoded.ids, dtype=np.uint32)
+        ends = np.flatnonzero(self.ending[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._singly(words)
+        return ids, np.diff(ends, prepend=0)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the texts, and all their ids."""
         offsets, data = binary_parts(texts)

@@ -95,3 +95,24 @@ def test_blocks_decode_alone(documents, tmp_path):
                 block = reader.block(k)
                 assert (whole[reader.firsts[k] : reader.firsts[k] + len(block)] == block).all()
     assert sum(r.n_docs for r in manifest.collect()) == documents.count()
+
+
+def test_words_of_letters_are_encoded_in_one_text():
+    """Words of letters share a text; one that the tokenizer parts (a dotted capital I) does no harm."""
+    from tokenizers import Tokenizer
+
+    words = ["the", "naïve", "漢字", "İstanbul", "ŉ", "ǆ", "Straße", "abc1", "don't", "12", "🙂", "ﬁne", "ªº", "zzzqqq"]
+    plain, encoder, calls = Tokenizer.from_file(PATH), WordEncoder(PATH), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return plain.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    for some in (words, [f"{a}{b}" for a in "abcdefgh" for b in ("the", "ing", "é")]):
+        calls.clear()
+        number = encoder._numbers(some)
+        found = [encoder.flat[encoder.begin[n] : encoder.begin[n + 1]].tolist() for n in number]
+        assert found == [plain.encode(w, add_special_tokens=False).ids for w in some]
+    assert calls == [1, 0]
