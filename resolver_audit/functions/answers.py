@@ -49,12 +49,21 @@ def ttls_valid(ttls: Column) -> Column:
     return ~F.exists(ttls, lambda ttl: ttl.isNull())
 
 
+def several_ttls(ttls: Column) -> Column:
+    """``all_ttls`` of a list of more than one; null where there is one only."""
+    return F.when(F.contains(ttls, F.lit(",")), all_ttls(ttls))
+
+
 def ttl_bounds(ttls: Column) -> tuple[Column, Column]:
     """Smallest and largest TTL of a list; null when one is not an integer."""
-    several, listed, last = F.contains(ttls, F.lit(",")), all_ttls(ttls), last_ttl(ttls)
-    valid = ttls_valid(listed)
+    return bounds_of(several_ttls(ttls), last_ttl(ttls))
+
+
+def bounds_of(several: Column, last: Column) -> tuple[Column, Column]:
+    """The same from ``several_ttls`` and ``last_ttl``."""
+    valid = ttls_valid(several)
 
     def bound(of_list: Column) -> Column:
-        return F.when(~several, last).when(valid, of_list)
+        return F.when(several.isNull(), last).when(valid, of_list)
 
-    return bound(F.array_min(listed)), bound(F.array_max(listed))
+    return bound(F.array_min(several)), bound(F.array_max(several))

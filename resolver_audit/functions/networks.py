@@ -14,12 +14,16 @@ def routable_text(ip: Column) -> Column:
 
 
 def ip_number(ip: Column) -> Column:
-    """A dotted IPv4 address as a bigint; null when it has no lookup."""
-    octets = F.split(ip, r"\.")
+    """A dotted IPv4 address as a bigint; null when it has no lookup.
+
+    Its parts are cut out of the text; a split into a list would be made again for each of them.
+    """
     number = F.lit(0).cast("bigint")
-    for i in range(4):
-        number = number * 256 + F.get(octets, F.lit(i)).try_cast("bigint")
-    return F.when(routable_text(ip), number)
+    for i in range(1, 5):
+        part = F.substring_index(F.substring_index(ip, ".", i), ".", -1)
+        number = number * 256 + part.try_cast("bigint")
+    four_parts = F.substring_index(ip, ".", 3) != ip
+    return F.when(four_parts & routable_text(ip), number)
 
 
 def network_label(ip: Column, asn: Column, has_lookup: Column) -> Column:

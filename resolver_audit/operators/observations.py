@@ -126,8 +126,9 @@ def addresses(observed: DataFrame, routes: Routes) -> DataFrame:
 def networks(observed: DataFrame, routes: Routes) -> DataFrame:
     """One row per observation and distinct network among its addresses.
 
-    As ``addresses`` with the observation's addresses in that network as ``ips``
-    (few by nature: records of one message) and ``n_ips`` for their number.
+    As ``addresses`` with ``n_ips`` for the number of the observation's addresses in that
+    network; ``addresses_in`` has the addresses themselves. All that is carried has a fixed
+    width, so that the rows are merged by hash where they are.
     """
     per_address = addresses(observed, routes)
     keys = [name for name in RESPONSE_KEY if name in observed.columns]
@@ -135,11 +136,18 @@ def networks(observed: DataFrame, routes: Routes) -> DataFrame:
     grouped = per_address.groupBy(*keys, "asn", "asn_raw").agg(
         *[F.max(name).alias(name) for name in carried],
         F.sum("n_ips").alias("n_ips"),
-        F.collect_list("ip").alias("ips"),
     )
     return with_case(grouped)
 
 
+def addresses_in(rows: DataFrame, routes: Routes) -> DataFrame:
+    """Distinct ``resolver, asn, ip``: the addresses behind some ``networks``, from their answers."""
+    answers = rows.select("resolver", "asn", "dans").distinct().withColumnRenamed("asn", "_network")
+    found = with_answer_profile(answers).select("resolver", "_network", F.explode("sips").alias("ip"))
+    labelled = with_networks(found.distinct(), routes).filter(F.col("asn") == F.col("_network"))
+    return labelled.select("resolver", "asn", "ip")
+
+
 def with_case(rows: DataFrame) -> DataFrame:
     """Adds ``domain``, the case-folded name."""
     return rows.withColumn("domain", F.lower("qname"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from resolver_audit.functions.answers import (
     addresses,
     answer_records,
+    bounds_of,
     is_ipv4,
     last_ttl,
-    ttl_bounds,
+    several_ttls,
 )
 from resolver_audit.sources.dns_log import LONG_LAYOUT_FIELDS, SHORT_LAYOUT_FIELDS
 
@@ -52,10 +53,14 @@ def _generated(value: Column) -> Column:
 
 
 def with_ttls(responses: DataFrame) -> DataFrame:
-    """Adds ``ttl_last`` (null: not an integer) and ``ttl_min``, ``ttl_max`` (null: one is not)."""
+    """Adds ``ttl_last`` (null: not an integer) and ``ttl_min``, ``ttl_max`` (null: one is not).
+
+    Lists of several TTLs are taken apart once, in a column of their own.
+    """
     text = F.col("danttls")
-    low, high = ttl_bounds(text)
-    return responses.withColumns({"ttl_last": last_ttl(text), "ttl_min": low, "ttl_max": high})
+    low, high = bounds_of(F.col("_ttls"), F.col("ttl_last"))
+    listed = responses.withColumns({"ttl_last": last_ttl(text), "_ttls": several_ttls(text)})
+    return listed.withColumns({"ttl_min": low, "ttl_max": high}).drop("_ttls")
 
 
 def records_of(responses: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Longest-prefix match of addresses against the ASN view, as equi-joins on (network, prefix_len).
 
-A view counted to be at most BROADCAST prefixes is sent out once, and the rows look up their
-network at each prefix length that occurs in it, the longest first, without being shuffled.
+A view counted to be at most BROADCAST prefixes is sent out, each prefix once, and the rows look
+up their network at each prefix length that occurs in it, the longest first, without being shuffled.
 For a larger one, every distinct address is paired with its networks at these lengths, joined
 to the view and keeps its longest match; the labels then go back to the rows by address, and
 which side is broadcast is Spark's choice.
@@ -65,14 +65,22 @@ def longest_match(numbers: DataFrame, routes: Routes) -> DataFrame:
     )
 
 
+def _signed(network: Column) -> Column:
+    """An address as an int: with a length it makes a key of 64 bits, which Spark looks up as one number."""
+    return (network - (1 << 31)).cast("int")
+
+
 def _looked_up(numbered: DataFrame, routes: Routes) -> DataFrame:
     """Adds ``_route_asn`` from a broadcast view. Each join finds one network at most, so rows stay as many."""
-    single = routes.prefixes.groupBy("network", "prefix_len").agg(F.struct(F.max("asn").alias("asn")).alias("_route"))
+    single = routes.prefixes.groupBy(_signed(F.col("network")).alias("network"), "prefix_len").agg(
+        F.struct(F.max("asn").alias("asn")).alias("_route")
+    )
     number, found = F.col("_number"), []
     for length in reversed(routes.lengths):
         found.append(f"_route_{length}")
-        asked = {"network": _network(number, F.lit(length)), "prefix_len": F.when(number.isNotNull(), F.lit(length))}
-        prefixes = F.broadcast(single.withColumnRenamed("_route", found[-1]))
+        network = _signed(_network(number, F.lit(length)))
+        asked = {"network": network, "prefix_len": F.when(number.isNotNull(), F.lit(length))}
+        prefixes = F.broadcast(single.filter(F.col("prefix_len") == length).withColumnRenamed("_route", found[-1]))
         numbered = numbered.withColumns(asked).join(prefixes, ["network", "prefix_len"], "left").drop(*asked)
     route = F.coalesce(*found)["asn"] if found else F.lit(None).cast("string")
     return numbered.withColumn("_route_asn", route)

@@ -27,7 +27,7 @@ NETWORK_COLUMNS = [
     "resolver",
     "qname",
     "domain",
-    "ips",
+    "dans",
     "asn",
     "asn_raw",
     "n",
@@ -47,7 +47,8 @@ class Audit:
     several results share are written once; without, everything stays lazy.
     ``from_text`` says that ``parsed`` holds all lines of a text log, with ``n_fields``:
     the log is then condensed into one stored table, so that the text is read once.
-    ``keep_ttls`` keeps in it what exported TTL counters need.
+    ``keep_ttls`` keeps in it what exported TTL counters need. ``once`` names tables that
+    only one of the results asked for reads; these are not stored.
     """
 
     def __init__(
@@ -58,6 +59,7 @@ class Audit:
         staging: Staging | None = None,
         from_text: bool = False,
         keep_ttls: bool = False,
+        once: tuple[str, ...] = (),
     ):
         self.parsed = parsed
         self.view = view
@@ -65,9 +67,10 @@ class Audit:
         self.staging = staging
         self.from_text = from_text
         self.keep_ttls = keep_ttls
+        self.once = once
 
     def _keep(self, name: str, frame: DataFrame) -> DataFrame:
-        return self.staging.keep(name, frame) if self.staging else frame
+        return self.staging.keep(name, frame) if self.staging and name not in self.once else frame
 
     @cached_property
     def routes(self) -> Routes:
@@ -173,11 +176,11 @@ class Audit:
 
     @cached_property
     def suspicious_servers(self) -> DataFrame:
-        """Address lists of the suspicious (resolver, network) only, from the first lookup."""
+        """Address lists of the suspicious (resolver, network) only, looked up again for these."""
         rows = profiles.judged_links(self.network_rows).join(
             self.suspicious_res_asn.select(*profiles.LINK), profiles.LINK, "left_semi"
         )
-        return profiles.address_lists(rows.select(*profiles.LINK, F.explode("ips").alias("ip")))
+        return profiles.address_lists(observations.addresses_in(rows, self.routes))
 
     @cached_property
     def evidence(self) -> DataFrame:

@@ -83,3 +83,16 @@ def test_clustered_tables_are_not_shuffled_by_their_key(spark, tmp_path):
         assert "Exchange" in plan(interchange.traits_of(features))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_networks_are_merged_by_hash(spark):
+    """Lists in a group would be sorted; what the rows carry has a fixed width."""
+    assert "ObjectHashAggregate" not in plan(lazy_audit(spark, SF).network_rows)
+
+
+def test_a_table_that_is_read_once_is_not_stored(spark, tmp_path):
+    audit = staged_audit(spark, SF, ("network_rows",))
+    audit.staging.folder = str(tmp_path)
+    found = sorted(map(tuple, audit.pair_profile.collect()), key=repr)
+    assert [p.name for p in tmp_path.iterdir()] == ["pair_profile"]
+    assert found == sorted(map(tuple, lazy_audit(spark, SF).pair_profile.collect()), key=repr)

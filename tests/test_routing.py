@@ -2,9 +2,11 @@
 
 import ipaddress
 import random
+import re
 
 import pytest
 
+from resolver_audit.operators.observations import addresses_in
 from resolver_audit.operators.routing import Routes, with_networks
 from resolver_audit.sources.asn_view import asn_view, read_asn_view
 
@@ -107,3 +109,30 @@ def test_both_ways_of_looking_up_agree(spark, monkeypatch):
     few = labels(spark, prefixes, ips)
     monkeypatch.setattr(routing, "BROADCAST", 0)
     assert labels(spark, prefixes, ips) == few
+
+
+def test_each_prefix_is_sent_once_under_a_key_of_64_bits(spark):
+    prefixes = [("255.0.0.0", 8, "8"), ("10.1.0.0", 16, "16"), ("0.0.0.0", 0, "0")]
+    routes = Routes.of(asn_view(spark.createDataFrame(prefixes, "network string, prefix_len int, asn string")))
+    ips = ["255.255.255.255", "10.1.2.3", "0.0.0.0", "127.255.255.255", "128.0.0.0", "1.2.3", "1.2.3.4.5", "1..2.3", "", "a.b.c.d"]
+    found = with_networks(spark.createDataFrame([(ip,) for ip in ips], "ip string"), routes)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    expected = {ip: ip for ip in ips[5:]} | dict.fromkeys(ips[2:5], "0") | {ips[0]: "8", ips[1]: "16", "1.2.3.4.5": "0"}
+    assert {r.ip: r.asn_raw for r in found.collect()} == expected
+    assert len(re.findall(r"HashedRelationBroadcastMode\(List\(\(shiftleft", text)) == 3
+    assert {int(n) for n in re.findall(r"prefix_len#\d+ = (\d+)\)", text)} == {0, 8, 16}
+
+
+def test_addresses_behind_networks_come_from_their_answers(spark):
+    prefixes = [("10.0.0.0", 8, "8"), ("10.1.0.0", 16, "16")]
+    routes = Routes.of(asn_view(spark.createDataFrame(prefixes, "network string, prefix_len int, asn string")))
+    rows = [
+        ("r", "8", "10.1.0.1|-><-|10.2.0.1|-><-|10.2.0.2|-><-|10.2.0.1"),
+        ("r", "16", "10.1.0.1|-><-|10.2.0.1"),
+        ("r", "8", "c.net|-><-|10.3.0.1"),
+        ("s", "9.9.0.0", "9.9.9.9|-><-|10.1.0.9"),
+        ("s", "8", ""),
+    ]
+    found = addresses_in(spark.createDataFrame(rows * 2, "resolver string, asn string, dans string"), routes)
+    expected = [("r", "16", "10.1.0.1"), *[("r", "8", ip) for ip in ("10.2.0.1", "10.2.0.2", "10.3.0.1")]]
+    assert sorted(map(tuple, found.collect())) == [*expected, ("s", "9.9.0.0", "9.9.9.9")]

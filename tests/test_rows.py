@@ -146,3 +146,16 @@ def test_rejected_rows(spark):
         "any_ttl": 2,
         "empty_name": 1,
     }
+
+
+def test_bounds_of_several_ttls(spark):
+    from resolver_audit.operators.responses import with_ttls
+
+    texts = ["1", "x", "", None, "3,1,2", "3,x", ",", "5,", "9223372036854775808,1", " 7 "]
+    found = with_ttls(spark.createDataFrame([(t,) for t in texts], "danttls string"))
+    assert found.columns == ["danttls", "ttl_last", "ttl_min", "ttl_max"]
+    for row in found.collect():
+        numbers = [int(x) if x.strip().isdigit() and int(x) < 2**63 else None for x in (row.danttls or "").split(",")]
+        valid = None not in numbers
+        assert row.ttl_last == numbers[-1]
+        assert (row.ttl_min, row.ttl_max) == ((min(numbers), max(numbers)) if valid else (None, None))

@@ -35,9 +35,9 @@ def lazy_audit(spark: SparkSession, sf_dir: str) -> Audit:
     return Audit(dns_log(spark, sf_dir), view(spark))
 
 
-def staged_audit(spark: SparkSession, sf_dir: str) -> Audit:
-    """For results that use it more than once."""
-    return Audit(dns_log(spark, sf_dir), view(spark), staging=Staging(spark))
+def staged_audit(spark: SparkSession, sf_dir: str, once: tuple[str, ...] = ()) -> Audit:
+    """For results that use it more than once, but for tables that they use ``once``."""
+    return Audit(dns_log(spark, sf_dir), view(spark), staging=Staging(spark), once=once)
 
 
 def joined(items: Column | str) -> Column:
@@ -254,21 +254,21 @@ def freq_cutoff_uniform(spark, sf_dir):
 
 @query
 def ttl_anomalies(spark, sf_dir):
-    ranges = staged_audit(spark, sf_dir).ttl_ranges
+    ranges = staged_audit(spark, sf_dir, ("network_rows",)).ttl_ranges
     fences = thresholds.ttl_fence(thresholds.res_dom_max_ttl(ranges))
     return detection.ttl_anomalies(ranges, fences)
 
 
 @query
 def feature_anomalies(spark, sf_dir):
-    counters = staged_audit(spark, sf_dir).pair_counters
+    counters = staged_audit(spark, sf_dir, ("network_rows",)).pair_counters
     unusual = thresholds.unusual_values(profiles.domain_features(counters))
     return detection.feature_anomalies(counters, unusual)
 
 
 @query
 def anomalies_res_dom(spark, sf_dir):
-    found = staged_audit(spark, sf_dir).anomalies_res_dom
+    found = staged_audit(spark, sf_dir, ("network_rows",)).anomalies_res_dom
     return found.select("resolver", "domain", joined("types").alias("types"))
 
 
@@ -277,12 +277,12 @@ def anomalies_res_dom(spark, sf_dir):
 
 @query
 def sld_per_asn(spark, sf_dir):
-    return detection.sld_per_asn(staged_audit(spark, sf_dir).network_slds)
+    return detection.sld_per_asn(staged_audit(spark, sf_dir, ("network_slds",)).network_slds)
 
 
 @query
 def count_per_asn_sld(spark, sf_dir):
-    return detection.count_per_asn_sld(staged_audit(spark, sf_dir).network_slds)
+    return detection.count_per_asn_sld(staged_audit(spark, sf_dir, ("network_slds",)).network_slds)
 
 
 @query
