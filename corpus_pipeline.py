@@ -14,35 +14,43 @@ from resolver_audit.llm.decontamination import Decontamination
 from resolver_audit.llm.queries import held_out, table, tokenizer_path
 from resolver_audit.llm.sentencepiece_lattice import SentencePieceLattice
 from resolver_audit.llm.signature_join import SignatureJoin, representatives
-from resolver_audit.llm.storage import ship_code, stored
+from resolver_audit.llm.storage import bounded_batches, ship_code, stored
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the Python workers of every stage need."""
+    ship_code(spark)
+    bounded_batches(spark)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label quality model accepts."""
-    ship_code(spark)
+    prepare(spark)
     return weak_quality.kept(docs, weak_quality.WeakQuality().fit(docs))
 
 
 def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar accepts; taught by the labels outside the held-out fifth."""
+    prepare(spark)
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
     return toxicity.kept(docs, toxicity.ToxicityTrainer().fit(docs, labels))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id."""
-    ship_code(spark)
+    prepare(spark)
     return representatives(docs, SignatureJoin())
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    prepare(spark)
     return Decontamination().kept(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's doc_id and ids, and length and checksum of the text decoded from these."""
-    ship_code(spark)
+    prepare(spark)
     return SentencePieceLattice(tokenizer_path("piece_bpe_32k.model")).round_trip(docs)
 
 

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,25 @@ def test_run_against_plain_python(spark, documents, monkeypatch):
         expected[i] = (library.encode(text), len(data), zlib.crc32(data))
     assert len(rows) == len(expected)
     assert {r.doc_id: (r.ids, r.n_bytes, r.text_crc32) for r in rows} == expected
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        texts = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text", "'en' AS lang", "'a' AS source")
+        corpus_pipeline.encoded(spark, texts, SF)
+        found = [r["size"] for r in texts.select("text").mapInArrow(sizes, "size long").collect()]
+        assert sum(found) > 20_000_000 and max(found) < 5_000_000
+        spark.conf.set(key, "1m")
+        corpus_pipeline.encoded(spark, texts, SF)
+        assert spark.conf.get(key) in ("1m", "1048576", "1048576b")
+    finally:
+        spark.conf.unset(key)
+        if had is not None:
+            spark.conf.set(key, had)
