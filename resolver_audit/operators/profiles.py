@@ -267,8 +267,7 @@ def resolver_stats(values: DataFrame, features: tuple[str, ...] = tuple(STATISTI
 def res_profile(values: DataFrame) -> DataFrame:
     """Number of responses and the sorted value lists of every resolver (export form).
 
-    A resolver with very many values has several rows, which add up and share no value;
-    the report uses ``resolver_stats``.
+    One row each, with all values; the report uses ``resolver_stats``, which needs no lists.
     """
     lists = ("clients", "queries", "servers", "asns")
     listed = F.col("feature").isin(*lists) & F.col("value").isNotNull()

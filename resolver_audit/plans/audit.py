@@ -223,9 +223,8 @@ class Audit:
 
     @cached_property
     def resolver_values(self) -> DataFrame:
-        """Everything each resolver was seen with."""
-        values = profiles.resolver_values(self.message_addresses, self.clients)
-        return self._keep("resolver_values", values)
+        """Everything each resolver was seen with. Its export reads it once, so that it is not stored."""
+        return profiles.resolver_values(self.message_addresses, self.clients)
 
     @cached_property
     def res_asn_table(self) -> DataFrame:

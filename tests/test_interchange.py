@@ -159,3 +159,14 @@ def test_rows_are_not_shuffled_to_find_their_line(spark, monkeypatch):
     assert sum(r.domain == "big.com" for r in lines) > 5 and sum(r.domain == "a.com" for r in lines) == 1
     back = interchange.table_counters(interchange.res_dom_from_lines(interchange.res_dom_lines(table)), ["resolver", "domain"], ("sip", "clen"))
     assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_a_resolver_has_one_line_however_many_values(spark):
+    """The rows of an export do not depend on how many values a key has."""
+    names = [f"n{i:05}.com" for i in range(10_050)]
+    content = [("10.0.0.1", "queries", name, 2) for name in names] + [("10.0.0.1", "clients", "c", 0), ("10.0.0.2", "queries", "a.com", 1)]
+    values = spark.createDataFrame(content, "resolver string, feature string, value string, n bigint")
+    found = {r.value.split(",")[0]: r.value for r in interchange.res_lines(profiles.res_profile(values)).collect()}
+    listed = ";".join(f'""{name}""' for name in names)
+    assert found["10.0.0.1"] == f'10.0.0.1,20100,"[""c""]","[{listed}]","[]","[]"'
+    assert profiles.res_profile(values).count() == len(found) == 2
