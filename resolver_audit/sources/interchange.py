@@ -36,8 +36,8 @@ COUNTER = "map<string,bigint>"
 LIST = "array<string>"
 
 
-# Counter tables: one map per feature, one row per key. A key with very many values has several
-# rows, which add up and share no value.
+# Counter tables: one map per feature, one row per key, however many values it has. Tables of short
+# lines, which other writers may make, have several rows of a key, which add up and share no value.
 
 
 def _counter(feature: str) -> Column:
@@ -47,7 +47,7 @@ def _counter(feature: str) -> Column:
 
 
 def _table(features: DataFrame, keys: list[str], maps: tuple[str, ...]) -> DataFrame:
-    """All values of a key and line are collected once, then told apart by feature."""
+    """All values of a key, which has one line unless short ones are asked for, are collected once, then told apart by feature."""
     responses = F.sum(F.when(F.col("feature") == "clen", F.col("n")))
     values = F.collect_list(F.when(F.col("feature").isin(*maps), F.struct("feature", "value", "n")))
     return (

@@ -170,3 +170,17 @@ def test_a_resolver_has_one_line_however_many_values(spark):
     listed = ";".join(f'""{name}""' for name in names)
     assert found["10.0.0.1"] == f'10.0.0.1,20100,"[""c""]","[{listed}]","[]","[]"'
     assert profiles.res_profile(values).count() == len(found) == 2
+
+
+def test_a_network_of_a_resolver_has_one_line_however_many_values(spark):
+    """As do the other counter tables: names, addresses and TTLs beyond any bound stay in the line of their key."""
+    content = [("10.0.0.1", "64500", "queries", f"n{i}.com", 1) for i in range(10_050)]
+    content += [("10.0.0.1", "64500", f, v, n) for f, v, n in (("clen", "0", 10_050), ("nip", "1", 10_050), ("ttl", "60", 9), ("servers", "1.2.3.4", 2))]
+    table = interchange.res_asn_table(spark.createDataFrame(content, LINKS))
+    (line,) = interchange.res_asn_lines(table).collect()
+    assert line.value.startswith('10.0.0.1,64500,10050,"{""n0.com"":1;')
+    back = interchange.res_asn_from_lines(interchange.res_asn_lines(table))
+    assert rows(interchange.table_counters(back, ["resolver", "asn"], interchange.RES_ASN_MAPS)) == sorted(content)
+    pairs = spark.createDataFrame([("r", "a.com", "sip", str(i), 1) for i in range(10_050)] + [("r", "a.com", "clen", "0", 7)], COUNTERS)
+    (row,) = interchange.res_dom_table(pairs).collect()
+    assert (row.n, len(row.sip), row.clen) == (7, 10_050, {"0": 7})
