@@ -83,15 +83,20 @@ def messages(responses: DataFrame) -> DataFrame:
     return with_answer_profile(with_ttls(responses).groupBy(*MESSAGE_KEY).agg(*_state()))
 
 
+def merged_responses(responses: DataFrame) -> DataFrame:
+    """Distinct responses, lists of TTLs apart, with their number."""
+    return responses.groupBy(*RESPONSE_KEY).agg(F.count(F.lit(1)).alias("n"))
+
+
 def observations(responses: DataFrame) -> DataFrame:
     """As ``messages``, one row for each list of TTLs."""
-    return with_state(responses.groupBy(*RESPONSE_KEY).agg(F.count(F.lit(1)).alias("n")))
+    return with_state(merged_responses(responses))
 
 
-def kept_observations(stored: DataFrame) -> DataFrame:
-    """The same from a condensed log that kept lists of TTLs apart."""
+def kept_responses(stored: DataFrame) -> DataFrame:
+    """Distinct responses from a condensed log that kept lists of TTLs apart."""
     found = stored.filter("kind = 'message'").withColumnRenamed("name", "qname")
-    return with_state(found.select(*RESPONSE_KEY, "n"))
+    return found.select(*RESPONSE_KEY, "n")
 
 
 def with_state(merged: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from resolver_audit.functions.answers import all_ttls
 from resolver_audit.functions.names import second_level_domain
+from resolver_audit.operators.observations import RESPONSE_KEY
 from resolver_audit.operators.skew import LINE, SALT, in_lines, join_counted
 
 CATEGORICAL = ("clen", "nip", "asn")
@@ -162,6 +163,32 @@ def res_asn_features(network_rows: DataFrame, address_rows: DataFrame) -> DataFr
     return sum_counters(counters.unionByName(ttl_counters(address_rows)), *LINK)
 
 
+def link_rows(address_rows: DataFrame) -> DataFrame:
+    """One row per response and network of an address, with the addresses in it.
+
+    Addresses of an observation lie side by side, so that nothing is shuffled. Labels tell networks
+    apart here, as they do in the (resolver, network) profile.
+    """
+    carried = [F.max(name).alias(name) for name in ("n", "clen", "n_servers")]
+    grouped = judged_links(address_rows).groupBy(*RESPONSE_KEY, "asn").agg(*carried, F.collect_list("ip").alias("ips"))
+    return grouped.select(*LINK, "qname", "danttls", *("n", "clen", "n_servers", "ips"))
+
+
+def link_features(address_rows: DataFrame, hot: bool = False) -> DataFrame:
+    """The counters of ``res_asn_features`` from the addresses of ``observations`` alone.
+
+    Rows are placed by (resolver, network) before they are taken apart into counters, five or more
+    of each, so that these are added up and collected where they are. Those of a ``hot`` resolver
+    may be too many for that: their counters are added up wherever they come from first.
+    """
+    n, rows = F.col("n"), link_rows(address_rows)
+    once = F.array(_entry("queries", "qname", n), _entry("clen", "clen", n), _entry("nip", "n_servers", n))
+    ttls = F.transform(all_ttls(F.col("danttls")), lambda ttl: _entry("ttl", ttl, F.col("n")))
+    servers = F.transform("ips", lambda ip: _entry("servers", ip, F.col("n")))
+    placed = rows if hot else rows.repartition(*LINK)
+    return sum_counters(placed.select(*LINK, F.inline(F.concat(once, ttls, servers))), *LINK)
+
+
 def _name(fold_case: bool) -> Column:
     return F.col("domain") if fold_case else F.col("qname")
 

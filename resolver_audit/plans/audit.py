@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from resolver_audit.operators import (
     thresholds,
 )
 from resolver_audit.operators.routing import Routes
+from resolver_audit.operators.skew import split_hot
 from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
 from resolver_audit.sources import interchange
@@ -98,14 +99,20 @@ class Audit:
         """One row per message and address."""
         return observations.addresses(self.messages, self.routes)
 
+    @cached_property
+    def distinct_responses(self) -> DataFrame:
+        """Messages, with lists of TTLs kept apart, and their number."""
+        if self.from_text and self.keep_ttls:
+            return observations.kept_responses(self.condensed)
+        return observations.merged_responses(self.responses)
+
+    def _addresses_of(self, found: DataFrame) -> DataFrame:
+        return observations.addresses(observations.with_state(found), self.routes)
+
     @cached_property
     def address_rows(self) -> DataFrame:
         """One row per message, list of TTLs and address, for exported TTL counters."""
-        if self.from_text and self.keep_ttls:
-            found = observations.kept_observations(self.condensed)
-        else:
-            found = observations.observations(self.responses)
-        return observations.addresses(found, self.routes)
+        return self._addresses_of(self.distinct_responses)
 
     @cached_property
     def network_rows(self) -> DataFrame:
@@ -215,11 +222,16 @@ class Audit:
     def res_dom_table(self) -> DataFrame:
         return interchange.res_dom_table(self.pair_features)
 
+    @cached_property
+    def _link_parts(self) -> list[DataFrame]:
+        """Counters per (resolver, network): those of ordinary resolvers, placed by it, and those of hot ones."""
+        ordinary, hot = map(self._addresses_of, split_hot(self.distinct_responses, F.col("resolver")))
+        return [profiles.link_features(ordinary), profiles.link_features(hot, hot=True)]
+
     @cached_property
     def link_features(self) -> DataFrame:
         """Counters of every feature per (resolver, network)."""
-        features = profiles.res_asn_features(self.network_rows, self.address_rows)
-        return self._keep("link_features", features)
+        return reduce(DataFrame.unionByName, self._link_parts)
 
     @cached_property
     def resolver_values(self) -> DataFrame:
@@ -228,7 +240,7 @@ class Audit:
 
     @cached_property
     def res_asn_table(self) -> DataFrame:
-        return interchange.res_asn_table(self.link_features)
+        return reduce(DataFrame.unionByName, map(interchange.res_asn_table, self._link_parts))
 
     @cached_property
     def res_table(self) -> DataFrame:

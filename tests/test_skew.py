@@ -12,6 +12,7 @@ from resolver_audit.operators.skew import SALT, SALTS, join_hot
 from resolver_audit.plans.audit import Audit
 from resolver_audit.plans.staging import Staging
 from resolver_audit.settings import AuditSettings
+from resolver_audit.sources import interchange
 from resolver_audit.sources.asn_view import asn_view
 from verification.queries import staged_audit
 
@@ -149,3 +150,51 @@ def test_counters_of_a_pair_lie_side_by_side(spark):
     text = profiles.res_dom_features(pairs)._jdf.queryExecution().executedPlan().toString()
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
     assert not any("feature" in e for e in exchanges), exchanges
+
+
+def test_hot_keys_are_split_off(spark, monkeypatch):
+    """Every row is in one of the two parts, also those without a key."""
+    from resolver_audit.operators import skew
+
+    monkeypatch.setattr(skew, "HOT", 10)
+    rows = [("hot", i) for i in range(1, 8)] + [(f"k{i}", 1) for i in range(30)] + [(None, 2)] * 3
+    frame = spark.createDataFrame(rows, "key string, n bigint")
+    ordinary, hot = skew.split_hot(frame, F.col("key"))
+    assert ordinary.columns == hot.columns == frame.columns
+    assert {r.key for r in hot.collect()} == {"hot"}
+    assert sorted(map(repr, ordinary.collect() + hot.collect())) == sorted(map(repr, frame.collect()))
+
+
+def links_audit(spark, tmp_path, *more):
+    view = asn_view(spark.createDataFrame([("1.0.0.0", 16, "A")], "network string, prefix_len int, asn string"))
+    rows = [(*r[:6], r[6] + "|-><-|7.0.0.1" * (i % 3), r[7] + ",5" * (i % 2)) for i, r in enumerate(hot_log(600))]
+    rows += [(None, "c", "n.com", "NOERROR", "1", "1", "1.0.0.1", "7"), *more]
+    return Audit(spark.createDataFrame(rows, COLUMNS), view, staging=Staging(spark, str(tmp_path / "kept")))
+
+
+def test_counters_of_a_network_lie_side_by_side(spark, tmp_path):
+    """A row for each response and network is placed; its counters, five times as many, are not shuffled nor stored."""
+    audit = links_audit(spark, tmp_path)
+    ordinary = audit._link_parts[0]
+    text = interchange.res_asn_table(ordinary)._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert exchanges and not any("feature" in e for e in exchanges), exchanges
+    assert sum(bool(re.match(r"resolver#\d+, asn#\d+", e)) for e in exchanges) == 1
+    assert audit.res_asn_table.count() > 400
+    assert not (tmp_path / "kept").exists()
+
+
+@pytest.mark.parametrize("most", [0, 2, 1_000_000])
+def test_hot_and_ordinary_resolvers_have_the_same_counters(spark, tmp_path, monkeypatch, most):
+    from resolver_audit.operators import skew
+
+    monkeypatch.setattr(skew, "HOT", most)
+    audit = links_audit(spark, tmp_path)
+    parts = [part.count() for part in audit._link_parts]
+    assert [bool(n) for n in parts] == [most > 0, most < 1_000_000]
+    whole = interchange.res_asn_table(profiles.res_asn_features(audit.network_rows, audit.address_rows))
+    assert sorted(map(repr, audit.res_asn_table.collect())) == sorted(map(repr, whole.collect()))
+    fields = ("r1", "c", "d.com", "NOERROR", "1", "1", "1.0.0.1|-><-|8.0.0.1", "7")
+    odd = links_audit(spark, tmp_path / "odd", *[(*fields[:i], None, *fields[i + 1 :]) for i in (0, 2, 6, 7)])
+    expected = profiles.res_asn_features(odd.network_rows, odd.address_rows)
+    assert sorted(map(repr, odd.link_features.collect())) == sorted(map(repr, expected.collect()))
