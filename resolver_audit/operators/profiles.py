@@ -8,7 +8,7 @@ folds them, so nothing is shuffled before it has to be. Inputs are the rows of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resolver_audit.functions.answers import all_ttls
@@ -22,6 +22,7 @@ FIXABLE = ("ttl", "cname", "nip")
 RESOLVER_FEATURES = ("queries", "servers", "asns")
 PAIR = ["resolver", "domain"]
 LINK = ["resolver", "asn"]
+GLOBAL = ["domain", "feature", "value"]
 
 
 def pair_keys(rows: DataFrame) -> list[str]:
@@ -91,13 +92,16 @@ def res_dom_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(*PAIR).agg(F.sum("n").alias("n"))
 
 
-def res_dom_features(pairs: DataFrame, features: tuple[str, ...] = PAIR_FEATURES) -> DataFrame:
+def res_dom_features(
+    pairs: DataFrame, features: tuple[str, ...] = PAIR_FEATURES, by: tuple[str, ...] = tuple(PAIR)
+) -> DataFrame:
     """Counters per (resolver, domain).
 
     The judged rows, merged already, are placed by pair: they are a third of their counters,
-    and what groups these by pair again finds them side by side.
+    and what groups these by pair again finds them side by side. Placed ``by`` domain, what adds
+    them up over resolvers does so as well.
     """
-    return sum_counters(pair_counters(pairs.repartition(*PAIR), features), *PAIR)
+    return sum_counters(pair_counters(pairs.repartition(*by), features), *PAIR)
 
 
 def domain_features(counters: DataFrame) -> DataFrame:
@@ -111,7 +115,17 @@ def with_global_frequency(pair_features: DataFrame, domain_features: DataFrame)
     No fewer than the counters that it adds up, each of which is 1 at least.
     """
     overall = domain_features.withColumnRenamed("n", "global_n")
-    return join_counted(pair_features, overall, ["domain", "feature", "value"], "global_n")
+    return join_counted(pair_features, overall, GLOBAL, "global_n")
+
+
+def with_placed_frequency(pair_features: DataFrame) -> DataFrame:
+    """The same for counters that are placed by domain: they are added up beside each other.
+
+    Joined to their own sums they would be shuffled again, by value. What lacks a domain or a value
+    has no frequency here either. All counters of a domain are in one task: for domains that are not hot.
+    """
+    known = pair_features.filter(F.col("domain").isNotNull() & F.col("value").isNotNull())
+    return known.withColumn("global_n", F.sum("n").over(Window.partitionBy(*GLOBAL)))
 
 
 def judged_links(rows: DataFrame) -> DataFrame:

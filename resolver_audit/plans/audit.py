@@ -214,9 +214,17 @@ class Audit:
 
     @cached_property
     def pair_features(self) -> DataFrame:
-        """Counters of every feature per (resolver, domain)."""
-        pairs = profiles.judged_pairs(self.address_rows)
-        return self._keep("pair_features", profiles.res_dom_features(pairs))
+        """Counters of every feature per (resolver, domain). Each result reads them once, so that they are not stored."""
+        return profiles.res_dom_features(profiles.judged_pairs(self.address_rows))
+
+    @cached_property
+    def pair_features_by_domain(self) -> tuple[DataFrame, DataFrame]:
+        """The same for names that are known: of ordinary domains, placed by domain, and of hot ones, placed by pair."""
+        # Without missing names above all parts, so that these share one merged table of responses.
+        named = self.distinct_responses.filter(F.lower("qname").isNotNull())
+        ordinary, hot = map(self._addresses_of, split_hot(named, F.lower("qname")))
+        of_ordinary = profiles.res_dom_features(profiles.judged_pairs(ordinary), by=("domain",))
+        return of_ordinary, profiles.res_dom_features(profiles.judged_pairs(hot))
 
     @cached_property
     def res_dom_table(self) -> DataFrame:

@@ -198,3 +198,32 @@ def test_hot_and_ordinary_resolvers_have_the_same_counters(spark, tmp_path, monk
     odd = links_audit(spark, tmp_path / "odd", *[(*fields[:i], None, *fields[i + 1 :]) for i in (0, 2, 6, 7)])
     expected = profiles.res_asn_features(odd.network_rows, odd.address_rows)
     assert sorted(map(repr, odd.link_features.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_counters_of_an_ordinary_domain_are_added_up_in_place(spark, tmp_path):
+    """Rows are placed by domain once; their counters are neither stored nor shuffled to find their frequency."""
+    audit = links_audit(spark, tmp_path)
+    ordinary, _ = audit.pair_features_by_domain
+    text = profiles.with_placed_frequency(ordinary)._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert sum(bool(re.match(r"domain#\d+, \d+$", e)) for e in exchanges) == 1
+    assert not any("feature" in e for e in exchanges) and "SortMergeJoin" not in text, exchanges
+    assert not (tmp_path / "kept").exists()
+
+
+@pytest.mark.parametrize("most", [0, 20, 1_000_000])
+def test_hot_and_ordinary_domains_have_the_same_frequencies(spark, tmp_path, monkeypatch, most):
+    """As joined to the sums over all resolvers; names that are missing, or spelled otherwise, as well."""
+    from resolver_audit.operators import skew
+
+    fields = ("r1", "c", "WWW.hot.com", "NOERROR", "1", "1", "1.0.0.1|-><-|8.0.0.1", "7")
+    more = [fields, *[(*fields[:i], None, *fields[i + 1 :]) for i in (0, 2, 6, 7)]]
+    audit = links_audit(spark, tmp_path, *more)
+    expected = profiles.with_global_frequency(audit.pair_features, profiles.domain_features(audit.pair_features))
+    monkeypatch.setattr(skew, "HOT", most)
+    ordinary, hot = audit.pair_features_by_domain
+    assert [bool(part.count()) for part in (ordinary, hot)] == [most > 0, most < 1_000_000]
+    found = profiles.with_placed_frequency(ordinary).unionByName(
+        profiles.with_global_frequency(hot, profiles.domain_features(hot)))
+    columns = ["resolver", "domain", "feature", "value", "n", "global_n"]
+    assert sorted(map(repr, found.select(columns).collect())) == sorted(map(repr, expected.select(columns).collect()))

@@ -174,8 +174,9 @@ def categorical_counters(spark, sf_dir) -> DataFrame:
 
 @query
 def value_global_freq(spark, sf_dir):
-    pairs = staged_audit(spark, sf_dir).pair_features
-    return profiles.with_global_frequency(pairs, profiles.domain_features(pairs)).select(
+    ordinary, hot = staged_audit(spark, sf_dir).pair_features_by_domain
+    of_hot = profiles.with_global_frequency(hot, profiles.domain_features(hot))
+    return profiles.with_placed_frequency(ordinary).unionByName(of_hot).select(
         "resolver", "domain", "feature", "value", "n", "global_n"
     )
 
