@@ -227,3 +227,15 @@ def test_hot_and_ordinary_domains_have_the_same_frequencies(spark, tmp_path, mon
         profiles.with_global_frequency(hot, profiles.domain_features(hot)))
     columns = ["resolver", "domain", "feature", "value", "n", "global_n"]
     assert sorted(map(repr, found.select(columns).collect())) == sorted(map(repr, expected.select(columns).collect()))
+
+
+def test_a_response_counts_once_per_label(spark, tmp_path):
+    """A view may call a network as unrouted addresses are pooled: both are one network then, as the SQL has it."""
+    view = asn_view(spark.createDataFrame([("1.0.0.0", 16, "9.9.0.0")], "network string, prefix_len int, asn string"))
+    rows = [("r", "c", "a.com", "NOERROR", "1", "1", "1.0.0.1|-><-|9.9.1.1", "7")]
+    audit = Audit(spark.createDataFrame(rows, COLUMNS), view, staging=Staging(spark, str(tmp_path)))
+    found = {(r.asn, r.feature, r.value): r.n for r in audit.link_features.collect()}
+    assert found == {
+        ("9.9.0.0", f, v): 1
+        for f, v in (("queries", "a.com"), ("clen", "0"), ("nip", "2"), ("ttl", "7"), ("servers", "1.0.0.1"), ("servers", "9.9.1.1"))
+    }
